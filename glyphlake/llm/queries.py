@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from glyphlake.llm import (  # noqa: F401
+    q01_mixing,
     q04_secrets,
+    q05_warc,
+    q07_chat,
+    q09_topk,
 )
 from glyphlake.llm.registry import ORACLE, QUERIES
 
