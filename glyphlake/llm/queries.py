@@ -7,6 +7,7 @@ from glyphlake.llm import (  # noqa: F401
     q04_secrets,
     q05_warc,
     q07_chat,
+    q08_html,
     q09_topk,
 )
 from glyphlake.llm.registry import ORACLE, QUERIES
