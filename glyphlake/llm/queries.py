@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from glyphlake.llm import (  # noqa: F401
     q01_mixing,
+    q02_decontaminate,
+    q03_simhash,
     q04_secrets,
     q05_warc,
+    q06_toxicity,
     q07_chat,
     q08_html,
     q09_topk,
