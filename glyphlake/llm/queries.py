@@ -12,6 +12,7 @@ from glyphlake.llm import (  # noqa: F401
     q07_chat,
     q08_html,
     q09_topk,
+    q10_quality,
 )
 from glyphlake.llm.registry import ORACLE, QUERIES
 

@@ -26,7 +26,7 @@ PREFIXES = (4, 5, 6)
 #: A term needs this share of the toxic examples, and log odds two standard errors above this.
 LEAST_SHARE, LEAST_ODDS = 0.005, math.log(3)
 #: Weight of the prior against the cosines of the neighbours.
-PRIOR_WEIGHT = 0.25
+PRIOR_WEIGHT = 0.1
 THRESHOLD = 0.7
 _APART = bytes(32 if chr(b) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else b for b in range(256))
 CACHE = 500_000
