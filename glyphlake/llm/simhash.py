@@ -78,6 +78,24 @@ def _ring_mask(segments: list[tuple[int, int]], first: int, length: int) -> int:
     return mask - (1 << BITS) if mask >> (BITS - 1) else mask
 
 
+def ring_near(d: Column, distance: int, segments: int) -> Column:
+    """Whether fingerprints that differ in the bits of d pass the pigeonring filter and then the full Hamming check.
+
+    Some start must have chains whose differences stay within their budgets for every length; of lengths with equal
+    budgets the longest says it all.
+    """
+    seg = _segments(segments)
+    free = [length * distance // segments for length in range(1, segments + 1)]
+    ends = [n for n in range(1, segments) if free[n - 1] < free[n]]
+    chains = F.lit(False)
+    for i in range(segments):
+        ok = F.lit(True)
+        for n in ends:
+            ok = ok & (F.bit_count(d.bitwiseAND(F.lit(_ring_mask(seg, i, n)))) <= free[n - 1])
+        chains = chains | ok
+    return chains & (F.bit_count(d) <= distance)
+
+
 def links(fps: DataFrame, distance: int = 2, segments: int = 8, bucket: int = 48) -> DataFrame:
     """Pairs (u, v) of different values of fps.fp that connect all values at most `distance` bits apart.
 
@@ -98,15 +116,7 @@ def links(fps: DataFrame, distance: int = 2, segments: int = 8, bucket: int = 48
     b = written(b.join(n, ["i", "key"]), "simhash-buckets")
     # pairs of small buckets, in arrays: chains first, then the whole distance
     def near(x: Column, y: Column) -> Column:
-        d = x.bitwiseXOR(y)
-        chains = F.lit(False)
-        for i in range(segments):
-            ok = F.lit(True)
-            for length in range(clean + 1, segments):
-                if free[length - 1] < free[length]:  # a longer chain with the same budget says more
-                    ok = ok & (F.bit_count(d.bitwiseAND(F.lit(_ring_mask(seg, i, length)))) <= free[length - 1])
-            chains = chains | (ok & (d.bitwiseAND(F.lit(masks[i])) == 0))
-        return chains & (F.bit_count(d) <= distance)
+        return ring_near(x.bitwiseXOR(y), distance, segments)
 
     few = b.where(F.col("n") <= bucket).groupBy("i", "key").agg(F.sort_array(F.collect_list("fp")).alias("m"))
     pairs = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (y > x) & near(x, y)), lambda y: F.struct(x.alias("u"), y.alias("v")))))
