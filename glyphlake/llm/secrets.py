@@ -110,3 +110,31 @@ def listed(spans: Column, kinds: list[str] | None = None) -> Column:
 
 def count_of(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
+
+
+def redacted(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, ledger: str | None = None, mark: str = "[REDACTED]", max_broadcast_rows: int = 200_000) -> DataFrame:
+    """docs with every span replaced by mark; an n_chars column follows the new length. Overlapping spans are one.
+
+    Texts without a secret are unchanged, null too. Columns and their order stay.
+    """
+    found = scan(docs.withColumn("_text", F.col(text)).withColumn("_path", F.xxhash64(text_of(text))), "_path", "_text", rules, ledger)
+    hits = found.where(F.size("spans") > 0).groupBy("digest").agg(F.first("spans").alias("_spans"))
+    path = new_path(docs.sparkSession, "secrets-hits")
+    hits.withColumnRenamed("digest", "_digest").write.parquet(path)
+    hits = docs.sparkSession.read.schema(f"_digest string, _spans {SPAN}").parquet(path)
+    if hits.count() <= max_broadcast_rows:
+        hits = F.broadcast(hits)
+    joined = docs.join(hits, F.sha2(F.encode(text_of(text), "UTF-8"), 256) == F.col("_digest"), "left")
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        piece = F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], piece).otherwise(acc["out"]).alias("out"))
+
+    new = F.aggregate("_spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(text))))
+    clean = F.when(F.col("_spans").isNull(), F.col(text)).otherwise(new)
+    out = {c: F.col(c) for c in docs.columns}
+    out[text] = clean.alias(text)
+    if "n_chars" in out:
+        out["n_chars"] = F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length(clean)).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return joined.select(*out.values())
