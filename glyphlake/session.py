@@ -27,3 +27,14 @@ def local_session(cpus: str | int | None = None, partitions: int = 8, app: str =
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the tables as a DataFrame, read by Spark so that any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def checkpointed(df):
+    """df.checkpoint() in the folder of spark.checkpoint.dir, or in a new temporary one where that is unset."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc.getConf().get("spark.checkpoint.dir") and not sc.getCheckpointDir():
+        import tempfile
+
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="glyphlake-checkpoint-"))
+    return df.checkpoint()
