@@ -43,9 +43,9 @@ def placement(adv_x: Column, left: Column, top: Column, half_em: Column) -> Colu
     return F.struct((-_div(F.shiftright(adv_x, 6) - left, 2)).alias("off_x"), (half_em - top).alias("off_y"))
 
 
-def pen_positions(glyphs: DataFrame, line: list[str], order: str, advance: str = "adv_x", name: str = "pen_x") -> DataFrame:
+def pen_positions(glyphs: DataFrame, line: list[str], order: str | list[str], advance: str = "adv_x", name: str = "pen_x") -> DataFrame:
     """glyphs with the pen's position before each: the advances so far on the line, in whole pixels."""
-    w = W.partitionBy(*line).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    w = W.partitionBy(*line).orderBy(*([order] if isinstance(order, str) else order)).rowsBetween(W.unboundedPreceding, -1)
     return glyphs.withColumn(name, F.coalesce(F.sum(F.shiftright(F.col(advance), 6)).over(w), F.lit(0)).cast("bigint"))
 
 

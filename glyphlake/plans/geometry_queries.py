@@ -50,14 +50,15 @@ def best_point_dpi(spark, sf_dir):
     return g.best_point_dpi(spark.createDataFrame([(128, 8), (64, 4), (32, 2), (16, 1)], "dim int, padding int"))
 
 
-SWEEP = "l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS q"
 # each order is a sweep over line numbers: 50 images, those out of their cell, and empty ones
-SWEEP_SQL = """SELECT l_orderkey AS font, l_linenumber AS "offset", 50::BIGINT AS image_count, (CASE WHEN l_quantity >= 30 THEN 50 ELSE l_quantity END)::BIGINT AS out_of_cell, (CASE WHEN l_quantity <= 2 THEN 50 ELSE 0 END)::BIGINT AS empty_cell FROM lineitem"""
+SWEEP_SQL = """SELECT l_orderkey AS font, l_linenumber AS "offset", 50::BIGINT AS image_count, (CASE WHEN l_quantity >= 30 THEN 50 ELSE l_quantity END)::BIGINT AS out_of_cell, (CASE WHEN l_quantity <= 2 THEN 50 ELSE 0 END)::BIGINT AS empty_cell
+FROM (SELECT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL)"""
 
 
 def _sweep(spark, sf_dir):
     q = F.col("l_quantity")
-    return table(spark, sf_dir, "lineitem").select(
+    runs = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"))
+    return runs.select(
         F.col("l_orderkey").alias("font"), F.col("l_linenumber").alias("offset"), F.lit(50).cast("bigint").alias("image_count"),
         F.when(q >= 30, 50).otherwise(q).cast("bigint").alias("out_of_cell"), F.when(q <= 2, 50).otherwise(0).cast("bigint").alias("empty_cell"),
     )
@@ -79,10 +80,10 @@ def sweep_stop(spark, sf_dir):
 
 
 @query("pen_advance", """
-SELECT l_orderkey, l_linenumber, coalesce(sum((l_quantity * 64 + l_linenumber)::BIGINT >> 6) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pen_x FROM lineitem""")
+SELECT l_orderkey, l_linenumber, coalesce(sum((l_quantity * 64 + l_linenumber)::BIGINT >> 6) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pen_x FROM lineitem""")
 def pen_advance(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") * 64 + F.col("l_linenumber")).cast("bigint").alias("adv_x"))
-    return g.pen_positions(l, ["l_orderkey"], "l_linenumber").drop("adv_x")
+    return g.pen_positions(l, ["l_orderkey"], ["l_linenumber", "adv_x"]).drop("adv_x")
 
 
 @query("column_shift", """

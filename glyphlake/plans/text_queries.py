@@ -77,7 +77,7 @@ def utf8_lengths(spark, sf_dir):
 
 
 @query("atlas_lines", """
-WITH l AS (SELECT i AS line, string_agg(chr(32 + k), '' ORDER BY k) AS symbols FROM (SELECT unnest(range(0, 95)) AS k, k // 12 AS i) GROUP BY i)
+WITH l AS (SELECT i AS line, string_agg(chr((32 + k)::INT), '' ORDER BY k) AS symbols FROM (SELECT unnest(range(0, 95)) AS k, k // 12 AS i) GROUP BY i)
 SELECT line::INT AS line, symbols, length(symbols)::INT AS n FROM l""")
 def atlas_lines(spark, sf_dir):
     return spark.range(1).select(F.posexplode(text.printable_atlas()).alias("line", "symbols")).withColumn("n", F.length("symbols"))
