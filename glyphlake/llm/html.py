@@ -55,7 +55,7 @@ class _Lines(HTMLParser):
     def flush(self) -> None:
         if self.text:
             text = " ".join("".join(self.text).split())
-            if text and not (self.stack and self.stack[-1][2]):
+            if text:
                 self.lines.append((text, max(1, self.tags), tuple(x[1] for x in self.stack)))
             self.text.clear()
             self.tags = 0
@@ -97,8 +97,7 @@ class _Lines(HTMLParser):
         if tag in VOID:
             return
         out = bool(self.stack) and self.stack[-1][2]
-        if not out and self.is_out(tag, attrs):
-            self.flush()
+        if not out and self.is_out(tag, attrs):  # its text is not taken; an inline one does not part its block
             out = True
         self.made += 1
         self.stack.append((tag, self.made, out))
@@ -133,7 +132,7 @@ class _Lines(HTMLParser):
         for k in range(len(self.stack) - 1, -1, -1):
             name = self.stack[k][0]
             if name == tag:
-                if tag in BLOCK or self.stack[k][2] != (k > 0 and self.stack[k - 1][2]):
+                if tag in BLOCK:
                     self.flush()
                 del self.stack[k:]
                 return
