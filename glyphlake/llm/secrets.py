@@ -132,9 +132,10 @@ def redacted(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULE
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], piece).otherwise(acc["out"]).alias("out"))
 
     new = F.aggregate("_spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(text))))
-    clean = F.when(F.col("_spans").isNull(), F.col(text)).otherwise(new)
+    joined = joined.withColumn("_clean", F.when(F.col("_spans").isNull(), F.col(text)).otherwise(new))
     out = {c: F.col(c) for c in docs.columns}
-    out[text] = clean.alias(text)
+    out[text] = F.col("_clean").alias(text)
     if "n_chars" in out:
-        out["n_chars"] = F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length(clean)).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+        length = F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("_clean"))
+        out["n_chars"] = length.cast(docs.schema["n_chars"].dataType).alias("n_chars")
     return joined.select(*out.values())

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphlake.llm import chat, mixing, secrets
-from glyphlake.llm.registry import ORACLE
+from glyphlake.llm.queries import ORACLE
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 PLAN_PYTHON = re.compile("Python|Pandas|Arrow")
