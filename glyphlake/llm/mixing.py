@@ -61,7 +61,7 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[in
     n_slots = -(-int(wanted) // block) if words else 0
 
     # each document's first word on its source's line
-    cells = max(1, min(1 << 16, d.count() // 20_000))
+    cells = max(1, min(1 << 13, d.count() // 2_000))
     d = d.withColumn("cell", F.pmod("h", F.lit(cells)))
     cell_sums = d.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"))
     line = W.partitionBy("source").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
