@@ -1,6 +1,7 @@
 """Toxicity by the nearest labelled examples.
 
-Terms are words and their first letters, chosen by how much more often toxic training texts hold them. The exact TF-IDF
+Terms are words and their first letters, alone or so many times in a text, chosen by how pure in toxic training texts
+they are. The exact TF-IDF
 cosine of a text with every example is searched by a block-max inverted index: postings lie in blocks of examples, the
 maxima of a block bound its cosines, and blocks are opened from the highest bound down until none can change the k
 nearest. Their votes, weighted by cosine, and a prior give the score; the nearest ones are its evidence.
@@ -22,9 +23,13 @@ from glyphlake.llm.common import text_of, written
 #: Labelled rows that are learned from, at most, of each label; terms that are kept, at most.
 EXAMPLES, TERMS = 10_000, 2048
 NEIGHBOURS, BLOCK = 15, 64
-PREFIXES = (4, 5, 6)
-#: A term needs this share of the toxic examples, and log odds two standard errors above this.
-LEAST_SHARE, LEAST_ODDS = 0.005, math.log(3)
+PREFIXES = (4, 5, 6, 7)
+#: A word or prefix makes a further term where a text has it so often: cosines alone forget how often.
+OFTEN = (2, 4)
+#: A term is chosen if this share of the labelled texts with it is toxic, counted with SHRINK more at the overall rate.
+LEAST_PURITY, SHRINK = 0.6, 3.0
+#: Share of the toxic examples that must have it: with more examples, chance and copies make more terms look pure.
+LEAST_SHARE = 0.01
 #: Weight of the prior against the cosines of the neighbours.
 PRIOR_WEIGHT = 0.1
 THRESHOLD = 0.7
@@ -36,11 +41,25 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(_APART).split()
 
 
-def terms_of(word: bytes) -> tuple[str, ...]:
+def stems_of(word: bytes) -> tuple[str, ...]:
     w = word.decode("utf-8", "replace")
     return (w, *(w[:n] + "*" for n in PREFIXES if len(w) > n))
 
 
+def counted(text: str, known: dict[bytes, tuple], stems) -> dict:
+    """How often a text has each stem; known remembers the stems of words, up to CACHE of them."""
+    own: dict = {}
+    for w, n in Counter(words_of(text)).items():
+        got = known.get(w)
+        if got is None:
+            if len(known) > CACHE:
+                known.clear()
+            got = known[w] = stems(w)
+        for s in got:
+            own[s] = own.get(s, 0) + n
+    return own
+
+
 def held_out(key: Column) -> Column:
     """Rows of which labels are never learned: crc32 of the key as text leaves 1 on division by 3."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -110,7 +129,7 @@ def score_all(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, term
     weight = {y: sizes[y] / taught[y] for y in taught}
     weight = {y: w / weight.get(1, w) for y, w in weight.items()}
 
-    chosen = _choose(rows.join(F.broadcast(sample), "k"), taught, terms)
+    chosen = _choose(rows.join(F.broadcast(sample), "k").dropDuplicates(["t"]), weight, prior, taught.get(1, 0), terms)
     number = {t: i for i, t in enumerate(chosen)}
     vectors = written(_vectors(spark, rows, number), "tox-vectors")
     n_docs = vectors.count()
@@ -147,12 +166,13 @@ def score_all(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, term
                 evidence.append(cache[at][1])
             yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(scores, pa.float64()), pa.array(evidence, kind)], names=["k", "score", "neighbours"])
 
-    out = vectors.mapInArrow(judge, "k bigint, score double, neighbours array<struct<doc_id:bigint,cosine:double,label:int>>")
+    # vectors are small beside the search: dealt out evenly, or a few tasks would do it all
+    out = vectors.repartition(max(1, n_docs // 10_000)).mapInArrow(judge, "k bigint, score double, neighbours array<struct<doc_id:bigint,cosine:double,label:int>>")
     return out.select(F.col("k").alias(key), held_out(F.col("k")).alias("held_out"), "score", "neighbours")
 
 
-def _choose(rows: DataFrame, taught: dict[int, int], most: int) -> list[str]:
-    """The terms, best first, by the lower bound of their log odds."""
+def _choose(rows: DataFrame, weight: dict[int, float], prior: float, taught: int, most: int) -> list[str]:
+    """The terms that mark toxic texts, purest first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: dict[int, Counter] = {0: Counter(), 1: Counter()}
@@ -167,48 +187,38 @@ def _choose(rows: DataFrame, taught: dict[int, int], most: int) -> list[str]:
 
         for batch in batches:
             for t, y in zip(batch.column("t").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                own: set[str] = set()
-                for w in set(words_of(t)):
-                    if w not in known:
-                        if len(known) > CACHE:
-                            known.clear()
-                        known[w] = terms_of(w)
-                    own.update(known[w])
-                n[y].update(own)
+                own = counted(t, known, stems_of)
+                n[y].update(own.keys())
+                n[y].update(f"{s}|{k}" for s, c in own.items() if c > 1 for k in OFTEN if c >= k)
             if len(n[0]) + len(n[1]) > CACHE:
                 yield out()
         yield out()
 
-    if len(taught) < 2:
+    if len(weight) < 2:
         return []
     n = rows.select("t", "y").mapInArrow(count, "term string, n0 bigint, n1 bigint").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    odds = F.log((F.col("n1") + 0.5) / (taught[1] + 1)) - F.log((F.col("n0") + 0.5) / (taught[0] + 1))
-    low = odds - 2 * F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))
-    best = n.where(F.col("n1") >= max(3, LEAST_SHARE * taught[1])).withColumn("low", low).where(F.col("low") >= LEAST_ODDS)
-    return [r.term for r in best.orderBy(F.col("low").desc(), "term").limit(most).collect()]
+    toxic, whole = F.col("n1") * weight[1], F.col("n1") * weight[1] + F.col("n0") * weight[0]
+    best = n.withColumn("purity", (toxic + SHRINK * prior) / (whole + SHRINK)).where((F.col("purity") >= LEAST_PURITY) & (F.col("n1") >= LEAST_SHARE * taught))
+    return [r.term for r in best.orderBy(F.col("purity").desc(), "term").limit(most).collect()]
 
 
 def _vectors(spark, rows: DataFrame, number: dict[str, int]) -> DataFrame:
     """(k, terms, tf): the chosen terms of each text, by number, and how often it holds them."""
-    chosen = spark.sparkContext.broadcast(number)
+    stems: dict[str, list[tuple[int, int]]] = {}
+    for term, at in number.items():
+        stem, bar, often = term.rpartition("|")
+        stems.setdefault(stem if bar else term, []).append((int(often) if bar else 1, at))
+    chosen = spark.sparkContext.broadcast(stems)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, known = chosen.value, {}
+        stems, known = chosen.value, {}
         for batch in batches:
             terms, tf = [], []
             for t in batch.column("t").to_pylist():
-                own: dict[int, int] = {}
-                for w in words_of(t):
-                    got = known.get(w)
-                    if got is None:
-                        if len(known) > CACHE:
-                            known.clear()
-                        got = known[w] = tuple(number[x] for x in terms_of(w) if x in number)
-                    for i in got:
-                        own[i] = own.get(i, 0) + 1
-                order = sorted(own)
-                terms.append(order)
-                tf.append([own[i] for i in order])
+                own = counted(t, known, lambda w: tuple(x for x in stems_of(w) if x in stems))
+                got = {at: c if k == 1 else 1 for s, c in own.items() for k, at in stems[s] if c >= k}
+                terms.append(sorted(got))
+                tf.append([got[i] for i in sorted(got)])
             kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(terms, kind), pa.array(tf, kind)], names=["k", "terms", "tf"])
 
@@ -216,6 +226,6 @@ def _vectors(spark, rows: DataFrame, number: dict[str, int]) -> DataFrame:
 
 
 def _unit(terms: list[int], tf: list[int], idf: np.ndarray) -> dict[int, float]:
-    w = {t: f * float(idf[t]) for t, f in zip(terms, tf, strict=True)}
+    w = {t: (1 + math.log(f)) * float(idf[t]) for t, f in zip(terms, tf, strict=True)}
     norm = math.sqrt(sum(x * x for x in w.values()))
     return {t: x / norm for t, x in w.items()}
