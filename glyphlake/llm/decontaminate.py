@@ -1,12 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: pairs of words as seeds, then Smith-Waterman alignment.
 
-The n-grams of the test items are counted over the training texts; those in the fewest documents are an item's seeds.
-A document that holds a seed is aligned with the item around it, by words, and the local alignment score over the score
-of the whole item tells copies, edited and paraphrased ones among them, from chance.
+An alignment with m matches and e edits scores 2m - e and keeps at least m - 1 - e of the item's pairs of neighbouring
+words, so one that scores `threshold` of an item of n words keeps (2 * threshold - 1) * n - 1 of its n - 1 pairs: the need.
+All pairs but the need - 1 most common ones are seeds; whatever is edited, one of them is left. A document that holds
+a seed and the needed pairs is aligned with the item around the seeds, by words, and the local alignment score over the
+score of the whole item tells copies, edited and paraphrased ones among them, from chance.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -17,10 +20,9 @@ from pyspark.sql import functions as F
 
 from glyphlake.llm.common import text_of
 
-NGRAM = 3
+#: Items of fewer words match nothing.
+LEAST_WORDS = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: An item's n-grams of the lowest document frequency, as a share of all, are its seeds; and so are all below RARE.
-SEED_SHARE, RARE = 0.5, 5
 #: Share of an item's own score from which a document counts as contaminated: a fifth of the words replaced is 0.7.
 THRESHOLD = 0.7
 #: Characters of test items that are held at once; more are worked off in chunks, each with a pass over the texts.
@@ -66,18 +68,25 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
+def pairs_of(words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+    return zip(words, words[1:], strict=False)
+
+
 class Items:
-    """Test items by their n-grams."""
+    """Test items by their seeds."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], seeds: set[tuple[bytes, ...]] | None = None) -> None:
+    def __init__(self, items: list[tuple[int, list[bytes]]], threshold: float = THRESHOLD) -> None:
         self.items = items
-        self.at: dict[tuple[bytes, ...], list[tuple[int, int]]] = defaultdict(list)
-        for k, (_, words) in enumerate(items):
-            for j, gram in enumerate(zip(*(words[i:] for i in range(NGRAM)), strict=False)):
-                if seeds is None or gram in seeds:
-                    self.at[gram].append((k, j))
+        self.pairs = [list(pairs_of(words)) for _, words in items]
+        self.need = [max(1, math.ceil((2 * threshold - 1) * len(words) - 1 - 1e-9)) for _, words in items]
+        often = Counter(pair for own in self.pairs for pair in own)
+        self.at: dict[tuple[bytes, bytes], list[tuple[int, int]]] = defaultdict(list)
+        for k, own in enumerate(self.pairs):
+            rare = sorted(range(len(own)), key=lambda j: (often[own[j]], j))
+            for j in rare[: len(own) - self.need[k] + 1]:
+                self.at[own[j]].append((k, j))
         self.at = dict(self.at)
-        self.grams = frozenset(self.at)
+        self.known = frozenset(often)
         self.number: dict[bytes, int] = {}
         for _, words in items:
             for w in words:
@@ -85,23 +94,23 @@ class Items:
         self.codes = [np.array([self.number[w] for w in words], np.int64) for _, words in items]
 
 
-def grams_in(words: list[bytes], grams: frozenset) -> set[tuple[bytes, ...]]:
-    return grams.intersection(zip(words, words[1:], words[2:], strict=False))
-
-
 def matches(words: list[bytes], items: Items, threshold: float) -> list[tuple]:
     """(item index, score share, start word, stop word) of the items that the text holds."""
-    if not grams_in(words, items.grams):
+    here = items.known.intersection(pairs_of(words))
+    seeded = {k for pair in here for k, _ in items.at.get(pair, ())}
+    seeded = {k for k in seeded if sum(map(here.__contains__, items.pairs[k])) >= items.need[k]}
+    if not seeded:
         return []
     hits: dict[int, list[int]] = defaultdict(list)
-    for p, gram in enumerate(zip(words, words[1:], words[2:], strict=False)):
-        for k, j in items.at.get(gram, ()):
-            hits[k].append(p - j)
+    for p, pair in enumerate(pairs_of(words)):
+        for k, j in items.at.get(pair, ()):
+            if k in seeded:
+                hits[k].append(p - j)
     codes = np.array([items.number.get(w, -1) for w in words], np.int64)
     out = []
     for k, starts in hits.items():
         length = len(items.codes[k])
-        slack = max(4, length // 3)
+        slack = max(4, math.ceil(2 * (1 - threshold) * length))  # no more words are inserted at this score
         best = (0.0, 0, 0)
         spans: list[list[int]] = []
         for s in sorted(set(starts)):  # windows that overlap are one
@@ -114,7 +123,7 @@ def matches(words: list[bytes], items: Items, threshold: float) -> list[tuple]:
             window = codes[lo:hi]
             # words in common, counted once each as often as the item has them, bound the score from above
             present = np.isin(items.codes[k], window).sum()
-            if present < threshold * length:
+            if present < threshold * length - 1e-9:
                 continue
             score, start, stop = align(items.codes[k], window)
             share = score / (MATCH * length)
@@ -131,7 +140,7 @@ def _chunks(items: DataFrame, chars: int) -> Iterator[list[tuple[int, list[bytes
     for c in range(n):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == c).select("item_id", "text").distinct()
         rows = sorted((r for r in part.collect() if r[0] is not None), key=lambda r: (r[0], r[1]))
-        yield [(i, w) for i, t in rows if len(w := words_of(t or "")) >= NGRAM]
+        yield [(i, w) for i, t in rows if len(w := words_of(t or "")) >= LEAST_WORDS]
 
 
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
@@ -140,7 +149,8 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     score: alignment score over the item's own, from threshold to 1. A document that holds several items has a row for
     each, with its best place. Null texts count as empty; items with null id or fewer than three words match nothing;
     documents with a null key are returned with it; empty tables give no rows. Items are broadcast in chunks of at most
-    chunk_chars characters, so any number of them works; texts are read whole, twice for each chunk, and never shuffled.
+    chunk_chars characters, so any number of them works; texts are read whole, once for each chunk, and never shuffled.
+    No pair at the threshold is missed where (2 * threshold - 1) * words > 1, as it is at THRESHOLD for every item.
     """
     spark: SparkSession = docs.sparkSession
     rows = docs.select(F.col(key).cast("bigint").alias("k"), text_of(text).alias("t"))
@@ -153,24 +163,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
 
 
 def _one_chunk(spark, rows: DataFrame, chunk: list, threshold: float, schema: str) -> DataFrame:
-    every = spark.sparkContext.broadcast(Items(chunk))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, n = every.value.grams, Counter()
-        for batch in batches:
-            for t in batch.column("t").to_pylist():
-                n.update(grams_in(words_of(t), grams))
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([b" ".join(g).decode("utf-8", "replace") for g in n]), pa.array(n.values(), pa.int64())], names=["gram", "n"])
-
-    counted = rows.select("t").mapInArrow(count, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    frequency = {tuple(g.encode().split(b" ")): n for g, n in counted.collect()}  # at most the n-grams of a chunk
-    seeds: set[tuple[bytes, ...]] = set()
-    for _, words in chunk:
-        own = sorted(set(zip(words, words[1:], words[2:], strict=False)), key=lambda g: (frequency.get(g, 0), g))
-        seeds.update(own[: max(1, round(len(own) * SEED_SHARE))])
-        seeds.update(g for g in own if frequency.get(g, 0) <= RARE)
-    chosen = spark.sparkContext.broadcast(Items(chunk, seeds))
+    chosen = spark.sparkContext.broadcast(Items(chunk, threshold))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = chosen.value

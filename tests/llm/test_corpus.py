@@ -164,6 +164,28 @@ def test_contaminated(spark, chunk_chars):
     assert decontaminate.contaminated(d, spark.createDataFrame([], "item_id bigint, text string")).count() == 0
 
 
+def test_contaminated_by_edited_copies_beside_exact_ones(spark):
+    """Copies that keep few or none of the rarest passages are found beside many exact copies."""
+    rng = random.Random(8)
+    items = [(n, [f"v{rng.randrange(10**6)}" for _ in range(n)]) for n in (3, 5, 15, 24, 40, 60)]
+    texts, want = [], set()
+    for n, w in items:
+        sixth = [f"new{i}" if i % 6 == 5 else x for i, x in enumerate(w)]
+        second = [y for i, x in enumerate(w) for y in ([x, f"more{i}"] if i % 2 and i < n - 1 else [x])]
+        for copy in [w] * 6 + [sixth, second]:
+            around = [[f"a{rng.randrange(10**6)}" for _ in range(rng.randint(0, 30))] for _ in range(2)]
+            texts.append((len(texts), around[0] + copy + around[1]))
+            if brute_alignment(w, copy) >= decontaminate.THRESHOLD * 2 * n:
+                want.add((len(texts) - 1, n))
+    assert len(want) == 8 * len(items)
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in texts], TEXT)
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, text string")
+    got = decontaminate.contaminated(d, b).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+    by = dict(items)
+    assert all(abs(r.score - brute_alignment(by[r.item_id], texts[r.doc_id][1]) / (2 * r.item_id)) < 1e-9 for r in got)
+
+
 def test_quality(spark):
     rng = random.Random(7)
     rows, labels = [], []
