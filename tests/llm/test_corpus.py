@@ -114,6 +114,24 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
     assert neardup.deduplicated(spark.createDataFrame([], TEXT)).count() == 0
 
 
+def test_near_duplicates_on_one_template(spark):
+    """Pairs at 0.81 among hundreds of texts that are all similar at 0.75."""
+    rng = random.Random(9)
+    texts = []
+    for _ in range(150):
+        shared, *own = [rng.sample(range(200), k) for k in (9, 6, 6)]
+        new = {i: rng.randrange(10**9) for i in shared}
+        for places in own:  # words at 5 i + 2 break other shingles each
+            mine = {i: rng.randrange(10**9) for i in places} | new
+            texts.append(" ".join(f"x{mine[j // 5]}" if j % 5 == 2 and j // 5 in mine else f"w{j}" for j in range(1000)))
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 1.8 * len(sets[i] & sets[j]) >= 0.8 * (len(sets[i]) + len(sets[j]))]
+    want = brute_classes(links, len(texts))
+    assert 100 < len(set(want)) < 300
+    kept = neardup.deduplicated(spark.createDataFrame(list(enumerate(texts)), TEXT)).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(want))
+
+
 def test_repeated_row_stays_once(spark):
     d = spark.createDataFrame([(1, "same row here"), (1, "same row here"), (None, "z"), (None, "z"), (2, "other")], TEXT)
     assert sorted(str(r.doc_id) for r in neardup.deduplicated(d).collect()) == ["1", "2", "None"]
