@@ -1,8 +1,9 @@
 """Mixing sources to target weights by a low-discrepancy schedule. DataFrame functions only.
 
 Documents of a source are laid on one line of words in a shuffled order and cut into blocks of equal length. Slot n of
-the schedule holds the point frac(n * golden ratio); cumulative target weights map points to sources; the k-th slot of
-a source takes its k-th block, starting over after the last.
+the schedule holds the point frac(n * golden ratio); cumulative weights, the slots that each source's target needs, map
+points to sources; the k-th slot of a source takes its k-th block, starting over after the last. Small sources have
+shorter blocks, so that each has enough slots to meet its target whatever the total.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ from glyphlake.llm.common import WORD, text_of, written
 
 #: Words per slot follow from the total so that there are about this many slots, whatever the input.
 SLOTS = 1 << 20
+#: A source's blocks are so short that its target needs this many slots, or a slot for each word; fewer, down to
+#: FEWEST_SLOTS, where there are so many sources that these slots would be more than SLOTS.
+SOURCE_SLOTS, FEWEST_SLOTS = 1 << 10, 1 << 6
 
 
 def words_of(text: Column) -> Column:
@@ -57,8 +61,11 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[in
     per_source = written(targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), share, cap, weights), "mix-targets")
     total = per_source.agg(F.sum("source_size"), F.sum("target"), F.count(F.lit(1))).first()
     words, wanted, n_sources = int(total[0] or 0), float(total[1] or 0), int(total[2])
-    block = max(1, -(-int(wanted) // slots))
-    n_slots = -(-int(wanted) // block) if words else 0
+    longest = max(1, -(-int(wanted) // slots))
+    least = max(FEWEST_SLOTS, min(SOURCE_SLOTS, SLOTS // max(1, n_sources)))
+    length = F.greatest(F.lit(1), F.least(F.lit(longest), F.floor(F.col("target") / least))).cast("bigint")
+    per_source = per_source.withColumn("block_size", length).withColumn("slots", F.ceil(F.col("target") / F.col("block_size")).cast("bigint"))
+    n_slots = int(per_source.agg(F.sum("slots")).first()[0] or 0) if words else 0
 
     # each document's first word on its source's line
     cells = max(1, min(1 << 13, d.count() // 2_000))
@@ -66,7 +73,7 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[in
     cell_sums = d.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"))
     line = W.partitionBy("source").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
     cell_sums = cell_sums.select(F.col("source").alias("s"), F.col("cell").alias("c"), F.coalesce(F.sum("cell_size").over(line), F.lit(0)).alias("cell_at"))
-    sources = per_source.select(F.col("source").alias("ps"), "rank", "source_size", "target")
+    sources = per_source.select(F.col("source").alias("ps"), "rank", "source_size", "target", "block_size")
     d = d.join(_small(cell_sums, n_sources * cells), F.col("source").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("c"))).drop("s", "c")
     d = d.join(_small(sources, n_sources), F.col("source").eqNullSafe(F.col("ps"))).drop("ps")
     inside = W.partitionBy("rank", "cell").orderBy("h", "key", "size").rowsBetween(W.unboundedPreceding, -1)
@@ -75,10 +82,11 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[in
     d = d.drop("h", "cell", "cell_at")
 
     # documents cut at block borders: as many pieces as documents and blocks together
-    times = block_times(spark, per_source, n_slots, block, cap)
-    first, last = F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block)
+    times = block_times(spark, per_source, n_slots, cap)
+    own = F.col("block_size")
+    first, last = F.expr("at div block_size"), F.expr("(at + size - 1) div block_size")
     pieces = d.where("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
-    length = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("at"), F.col("block") * block)
+    length = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * own) - F.greatest(F.col("at"), F.col("block") * own)
     pieces = pieces.withColumn("length", length).join(times, ["rank", "block"], "left")
     row = ["key", *(f"_keep_{c}" for c in keep), "source", "size", "source_size", "target", "rank", "at"]
     taken = pieces.groupBy(*row).agg(F.sum(F.col("length") * F.coalesce("times", F.lit(0))).alias("taken"))
@@ -93,7 +101,7 @@ def _small(df: DataFrame, rows: int, most: int = 1 << 17) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
-def block_times(spark, per_source: DataFrame, n_slots: int, block: int, cap: float, cells: int = 4096) -> DataFrame:
+def block_times(spark, per_source: DataFrame, n_slots: int, cap: float, cells: int = 4096) -> DataFrame:
     """(rank, block, times): how many slots of the schedule take each block of each source.
 
     The slots are a bounded number, so ranking those of one source in one task is bounded too. Points and the
@@ -102,8 +110,8 @@ def block_times(spark, per_source: DataFrame, n_slots: int, block: int, cap: flo
     up = W.orderBy("rank").rowsBetween(W.unboundedPreceding, W.currentRow)
     whole = W.partitionBy().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     cum = per_source.where("target > 0").select(
-        "rank", F.ceil(F.col("source_size") / block).cast("bigint").alias("blocks"),
-        (F.sum("target").over(up) / F.sum("target").over(whole)).alias("hi"),
+        "rank", F.ceil(F.col("source_size") / F.col("block_size")).cast("bigint").alias("blocks"),
+        (F.sum("slots").over(up) / F.sum("slots").over(whole)).alias("hi"),
     )
     cum = cum.withColumn("lo", F.coalesce(F.lag("hi").over(W.orderBy("rank")), F.lit(0.0)))
     cum = cum.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * cells), F.floor(F.col("hi") * cells))))

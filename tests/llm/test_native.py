@@ -54,6 +54,15 @@ def test_mix_against_brute_force(spark):
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(d.repartition(7), slots=20_000).collect()))
 
 
+def test_mix_of_small_sources_beside_a_large_one(spark):
+    """A source of some hundred words meets its target where the others' blocks are longer than all of it."""
+    rows = [(i, "w " * 500, "en", "large", 0) for i in range(200)]
+    rows += [(1000 * s + i, "w " * 50, "en", f"m{s:02}" if s % 2 else f"k{s:02}", 0) for s in range(1, 13) for i in range(s)]
+    for r in mixing.mix(spark.createDataFrame(rows, DOC), slots=64).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("source_size").alias("n")).collect():
+        assert abs(r.taken - r.target) <= max(5, 0.01 * r.target), r
+        assert r.taken <= 2 * r.n
+
+
 def test_mix_edges(spark):
     assert mixing.mix(spark.createDataFrame([], DOC)).count() == 0
     assert [(r.size, r.taken, r.target) for r in mixing.mix(spark.createDataFrame([(1, None, "en", "a", 0)], DOC)).collect()] == [(0, 0, 0.0)]
