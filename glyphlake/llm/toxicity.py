@@ -1,10 +1,10 @@
 """Toxicity by the nearest labelled examples.
 
-Terms are words and their first letters, alone or so many times in a text, chosen by how pure in toxic training texts
-they are. The exact TF-IDF
-cosine of a text with every example is searched by a block-max inverted index: postings lie in blocks of examples, the
-maxima of a block bound its cosines, and blocks are opened from the highest bound down until none can change the k
-nearest. Their votes, weighted by cosine, and a prior give the score; the nearest ones are its evidence.
+A text is the vector of all its words and their first letters that occur in the examples, weighted by TF-IDF and by how
+much a term tells toxic from other examples beyond chance; no term of the examples is left out. The exact cosine of a
+text with every example is searched by a block-max inverted index: examples lie in blocks, the maxima of a block bound
+its cosines, and blocks are opened from the highest bound down until none can change the k nearest. Their votes,
+weighted by cosine and calibrated on examples that are not in the index, give the score; the nearest are its evidence.
 """
 
 from __future__ import annotations
@@ -16,216 +16,340 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glyphlake.llm.common import text_of, written
 
-#: Labelled rows that are learned from, at most, of each label; terms that are kept, at most.
-EXAMPLES, TERMS = 10_000, 2048
+#: Labelled rows that are learned from, at most, of each label, and their characters, at most.
+EXAMPLES, CHARS = 2_000, 8_000_000
+#: One in so many of them is not indexed, and fits the calibration.
+ASIDE = 5
 NEIGHBOURS, BLOCK = 15, 64
-PREFIXES = (4, 5, 6, 7)
-#: A word or prefix makes a further term where a text has it so often: cosines alone forget how often.
-OFTEN = (2, 4)
-#: A term is chosen if this share of the labelled texts with it is toxic, counted with SHRINK more at the overall rate.
-LEAST_PURITY, SHRINK = 0.6, 3.0
-#: Share of the toxic examples that must have it: with more examples, chance and copies make more terms look pure.
-LEAST_SHARE = 0.01
+PREFIXES = (4, 6)
+#: A term's weight grows with its log odds between the labels beyond so many standard errors; FLOOR is the least.
+ERRORS, FLOOR = 1.5, 0.4
+#: Terms in a larger share of the examples have dense lists.
+DENSE = 0.05
+#: Texts that are searched for together.
+TOGETHER = 128
 #: Weight of the prior against the cosines of the neighbours.
 PRIOR_WEIGHT = 0.1
 THRESHOLD = 0.7
 _APART = bytes(32 if chr(b) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else b for b in range(256))
-CACHE = 500_000
+#: Words whose terms a task remembers.
+CACHE = 200_000
+#: Document frequencies are summed as arrays of so many terms.
+CHUNK = 4096
 
 
 def words_of(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(_APART).split()
 
 
-def stems_of(word: bytes) -> tuple[str, ...]:
+def terms_of(word: bytes) -> tuple[str, ...]:
+    """The word and its prefixes, marked by a star."""
     w = word.decode("utf-8", "replace")
     return (w, *(w[:n] + "*" for n in PREFIXES if len(w) > n))
 
 
-def counted(text: str, known: dict[bytes, tuple], stems) -> dict:
-    """How often a text has each stem; known remembers the stems of words, up to CACHE of them."""
-    own: dict = {}
-    for w, n in Counter(words_of(text)).items():
-        got = known.get(w)
-        if got is None:
-            if len(known) > CACHE:
-                known.clear()
-            got = known[w] = stems(w)
-        for s in got:
-            own[s] = own.get(s, 0) + n
-    return own
-
-
 def held_out(key: Column) -> Column:
     """Rows of which labels are never learned: crc32 of the key as text leaves 1 on division by 3."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+class Vocabulary:
+    """Numbers of terms. The terms of a word are remembered, for up to CACHE words."""
+
+    def __init__(self, number: dict[str, int], grow: bool = False) -> None:
+        self.number, self.grow = number, grow
+        self._forget()
+
+    def _forget(self) -> None:
+        #: words by place; the terms of the word at place p are flat[ends[p] : ends[p + 1]]
+        self.places: dict[bytes, int] = {}
+        self.ends = np.zeros(1 << 10, np.int64)
+        self.flat = np.zeros(1 << 12, np.int64)
+
+    def __getstate__(self) -> dict:
+        return {"number": self.number}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__init__(state["number"])
+
+    def _learn(self, word: bytes) -> int:
+        if self.grow:
+            got = [self.number.setdefault(t, len(self.number)) for t in terms_of(word)]
+        else:
+            got = [n for t in terms_of(word) if (n := self.number.get(t)) is not None]
+        place = len(self.places)
+        if place + 2 > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        at = int(self.ends[place])
+        if at + len(got) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[at : at + len(got)] = got
+        self.ends[place + 1] = at + len(got)
+        self.places[word] = place
+        return place
+
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The terms of a text by number, ascending, and how often it has each."""
+        often = Counter(words_of(text))
+        if not often:
+            return np.zeros(0, np.int64), np.zeros(0)
+        if len(self.places) + len(often) > CACHE:
+            self._forget()
+        places = list(map(self.places.get, often))
+        if None in places:
+            places = [self._learn(w) if p is None else p for p, w in zip(places, often, strict=True)]
+        places = np.array(places, np.int64)
+        at, n = _ranges(self.ends[places], self.ends[places + 1])
+        terms, where = np.unique(self.flat[at], return_inverse=True)
+        return terms, np.bincount(where, weights=np.repeat(np.fromiter(often.values(), np.float64, len(often)), n), minlength=len(terms))
+
+
+def unit(terms: np.ndarray, tf: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weights of a text's terms, of length 1 together."""
+    w = (1 + np.log(tf)) * weight[terms]
+    norm = math.sqrt(float(w @ w))
+    return w / norm if norm > 0 else w
+
+
+def _ranges(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers from each start up to its stop, one range after another, and the lengths."""
+    n = stops - starts
+    ends = np.cumsum(n)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - n), n), n
+
+
 class BlockMax:
-    """An inverted index over unit vectors, in blocks with the maximum weight of each term."""
+    """An inverted index over unit vectors in blocks.
+
+    Terms in a larger share of the vectors than `dense` have dense lists, and their maxima in each block bound what they
+    add to its products; lists of all other terms are short and are added up in full first.
+    """
 
-    def __init__(self, vectors: list[dict[int, float]], n_terms: int, block: int = BLOCK) -> None:
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK, dense: float = DENSE) -> None:
         self.block, self.n = block, len(vectors)
         self.blocks = max(1, -(-self.n // block))
-        self.top = np.zeros((n_terms, self.blocks))
-        postings: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for i, v in enumerate(vectors):
-            for t, w in v.items():
-                postings[t].append((i, w))
-                self.top[t, i // block] = max(self.top[t, i // block], w)
-        self.ids = [np.array([i for i, _ in p], np.int64) for p in postings]
-        self.weights = [np.array([w for _, w in p]) for p in postings]
-        edges = np.arange(self.blocks + 1) * block
-        self.cuts = [np.searchsorted(ids, edges) for ids in self.ids]
-
-    def nearest(self, query: dict[int, float], k: int) -> list[tuple[int, float]]:
-        """The k vectors of the highest positive dot product, ties to the smaller number: exact."""
-        terms = list(query)
-        bound = np.array([query[t] for t in terms]) @ self.top[terms]
-        best: list[tuple[float, int]] = []
-        least = 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == k and bound[b] < least - 1e-12:
-                break
-            score = np.zeros(self.block)
-            for t in terms:
-                lo, hi = self.cuts[t][b], self.cuts[t][b + 1]
-                if lo < hi:
-                    score[self.ids[t][lo:hi] - b * self.block] += query[t] * self.weights[t][lo:hi]
-            best += [(-float(score[j]), int(b * self.block + j)) for j in np.flatnonzero(score > 0)]
-            best.sort()
-            del best[k:]
-            if len(best) == k:
-                least = -best[-1][0]
-        return [(i, -s) for s, i in best]
-
-
-def score_all(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS, k: int = NEIGHBOURS, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
+        ids = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors])
+        terms = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
+        weights = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
+        frequent = np.flatnonzero(np.bincount(terms, minlength=n_terms) > max(dense * self.n, 1))
+        self.column = np.full(n_terms, -1, np.int64)
+        self.column[frequent] = np.arange(len(frequent))
+        at = self.column[terms]
+        lists = np.zeros((self.blocks * block, len(frequent)))
+        lists[ids[at >= 0], at[at >= 0]] = weights[at >= 0]
+        self.lists = lists.reshape(self.blocks, block, -1)
+        self.top = self.lists.max(axis=1, initial=0)
+        ids, terms, weights = ids[at < 0], terms[at < 0], weights[at < 0]
+        order = np.lexsort((ids, terms))
+        self.ids, self.weights = ids[order], weights[order]
+        self.starts = np.searchsorted(terms[order], np.arange(n_terms + 1))
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the numbers and products of the k vectors with the highest positive ones: exact.
+
+        Ties go to the smaller number; products that differ after the twelfth digit only are ties.
+        """
+        m, rows = len(queries), self.blocks * self.block
+        query = np.repeat(np.arange(m), [len(t) for t, _ in queries])
+        terms = np.concatenate([t for t, _ in queries]) if m else np.zeros(0, np.int64)
+        weights = np.concatenate([w for _, w in queries]) if m else np.zeros(0)
+        at = self.column[terms]
+        frequent = at >= 0
+        factors = np.zeros((self.lists.shape[2], m))
+        factors[at[frequent], query[frequent]] = weights[frequent]
+        query, terms, weights = query[~frequent], terms[~frequent], weights[~frequent]
+        postings, n = _ranges(self.starts[terms], self.starts[terms + 1])
+        score = np.bincount(np.repeat(query * rows, n) + self.ids[postings], weights=self.weights[postings] * np.repeat(weights, n), minlength=m * rows)
+        score = score.reshape(m, self.blocks, self.block).astype(float)
+        bound = score.max(axis=2) + (self.top @ factors).T
+        # first the blocks of the highest bounds, then all that can still hold one of the k nearest
+        likely = min(self.blocks, -(-2 * k // self.block) + 1)
+        first = np.argpartition(-bound, likely - 1, axis=1)[:, :likely]
+        opened = np.zeros((m, self.blocks), bool)
+        opened[np.arange(m)[:, None], first] = True
+        self._open(score, opened, factors)
+        some = score[np.arange(m)[:, None], first].reshape(m, -1)
+        least = np.partition(some, -min(k, some.shape[1]), axis=1)[:, -min(k, some.shape[1])] if some.shape[1] >= k else np.zeros(m)
+        more = ~opened & (bound >= np.maximum(least, 0.0)[:, None] - 1e-9) & (bound > 0)
+        self._open(score, more, factors)
+        score[~(opened | more)] = 0.0
+        score = np.round(score.reshape(m, rows), 12)
+        out = []
+        for own in score:
+            near = np.flatnonzero(own > 0)
+            if len(near) > k:
+                near = near[own[near] >= np.partition(own[near], -k)[-k]]
+            near = near[np.lexsort((near, -own[near]))[:k]]
+            out.append((near, own[near]))
+        return out
+
+    def _open(self, score: np.ndarray, which: np.ndarray, factors: np.ndarray) -> None:
+        """Adds the dense lists of each block to the scores of the queries that open it."""
+        for b in np.flatnonzero(which.any(axis=0)):
+            own = np.flatnonzero(which[:, b])
+            score[own, b] += (self.lists[b] @ factors[:, own]).T
+
+
+class Model:
+    """Examples, their weights and the calibration: all that scoring needs."""
+
+    def __init__(self, texts: list[tuple[int, str, int]], sizes: dict[int, int]) -> None:
+        """texts: (key, text, label) in a fixed order; sizes: labelled rows of each label."""
+        total = sum(sizes.values())
+        self.prior = (sizes.get(1, 0) + 0.5) / (total + 1)
+        self.vocabulary = Vocabulary({}, grow=True)
+        self.rows = [(k, y, *self.vocabulary.counts(t)) for k, t, y in texts]
+        self.vocabulary.grow = False
+        self.n_terms = len(self.vocabulary.number)
+        taught = Counter(y for _, y, _, _ in self.rows)
+        #: an example stands for this many labelled rows, toxic ones for one
+        each = {y: sizes[y] / n for y, n in taught.items()}
+        self.each = {y: e / each.get(1, e) for y, e in each.items()}
+        self.calibration = (0.0, 1.0)
+
+    def fit(self, frequency: np.ndarray, n_docs: int, k: int = NEIGHBOURS) -> None:
+        """Weights, index and calibration, from the terms' document frequencies over n_docs documents."""
+        parts: tuple[list, list] = ([], [])
+        for place, r in enumerate(self.rows):
+            parts[place % ASIDE == 0].append(r)
+        kept, aside = parts if len({r[1] for r in parts[1]}) == 2 and len({r[1] for r in parts[0]}) == 2 else (self.rows, [])
+        had = np.zeros((2, self.n_terms))
+        for _, y, terms, _ in kept:
+            had[y, terms] += 1
+        n = np.array([[sum(r[1] == y for r in kept)] for y in (0, 1)])
+        yes, no = had + 0.5, n - had + 0.5
+        odds = np.log(yes[1] / no[1]) - np.log(yes[0] / no[0])
+        error = np.sqrt((1 / yes + 1 / no).sum(axis=0))
+        beyond = np.maximum(0.0, np.abs(odds) - ERRORS * error) if n.min() else np.zeros(self.n_terms)
+        self.weight = (np.log((1 + n_docs) / (1 + frequency)) + 1) * (FLOOR + beyond)
+        # like texts share a block: by their heaviest term
+        kept = [(*r[:2], r[2], unit(r[2], r[3], self.weight)) for r in kept if len(r[2])]
+        kept.sort(key=lambda r: (r[2][int(r[3].argmax())], -r[3].max(), r[0]))
+        self.told = [(r[0], r[1]) for r in kept]
+        self.votes = np.array([self.each[r[1]] for r in kept])
+        self.toxic = np.array([r[1] == 1 for r in kept], bool)
+        self.index = BlockMax([(r[2], r[3]) for r in kept], self.n_terms)
+        self.calibration = (0.0, 1.0)
+        if aside:
+            x = np.array([_logit(share) for share, _, _ in self.votes_of([r[2:] for r in aside], k)])
+            y = np.array([r[1] for r in aside], float)
+            self.calibration = _platt(x, y, np.array([self.each[r[1]] for r in aside]))
+        self.rows = []
+
+    def votes_of(self, counted: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """For each text the share of toxic votes among the nearest, the prior if there are none, and these with their cosines."""
+        for i in range(0, len(counted), TOGETHER):
+            for at, cosine in self.index.nearest([(t, unit(t, tf, self.weight)) for t, tf in counted[i : i + TOGETHER]], k):
+                own = cosine * self.votes[at]
+                share = (own[self.toxic[at]].sum() + PRIOR_WEIGHT * self.prior) / (own.sum() + PRIOR_WEIGHT)
+                yield float(share), at, cosine
+
+    def scores(self, texts: list[str], k: int) -> Iterator[tuple[float, list[dict]]]:
+        """The score of each text and its evidence."""
+        a, b = self.calibration
+        for i in range(0, len(texts), TOGETHER):
+            for share, at, cosine in self.votes_of([self.vocabulary.counts(t) for t in texts[i : i + TOGETHER]], k):
+                near = [{"doc_id": self.told[j][0], "cosine": float(c), "label": self.told[j][1]} for j, c in zip(at[:3], cosine[:3], strict=True)]
+                yield 1 / (1 + math.exp(-min(30.0, max(-30.0, a + b * _logit(share))))), near
+
+
+def _logit(p: float) -> float:
+    p = min(1 - 1e-6, max(1e-6, p))
+    return math.log(p / (1 - p))
+
+
+def _platt(x: np.ndarray, y: np.ndarray, each: np.ndarray) -> tuple[float, float]:
+    """Intercept and slope of a logistic curve through votes x and labels y; drawn toward leaving the votes as they are."""
+    beta = np.array([0.0, 1.0])
+    z = np.stack([np.ones(len(x)), x], axis=1)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
+        gradient = z.T @ (each * (y - p)) - (beta - np.array([0.0, 1.0]))
+        step = np.linalg.solve((z * (each * p * (1 - p))[:, None]).T @ z + np.eye(2), gradient)
+        beta = beta + np.clip(step, -1, 1)
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(beta[0]), float(max(beta[1], 0.05))
+
+
+def score_all(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, chars: int = CHARS, k: int = NEIGHBOURS, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """Every row of docs as (key, held_out, score, neighbours): score from 0 to 1, higher for likelier toxic.
 
-    Learned are terms, weights and examples from at most `examples` labelled rows of each label, the first by a hash of
-    the key, with no held-out row among them; each label counts by its number of labelled rows. Inverse document
-    frequencies are of all documents. A text without a chosen term, empty or null, gets the rate of toxic examples
-    among such texts. neighbours: up to three nearest examples as (key, cosine, label). Without labels of both kinds
-    every score is the smoothed rate of toxic labels. Rows with null key are scored too; of repeated labels of a key the
-    highest counts. Only keys, terms and vectors of examples come to the driver, all bounded by the parameters.
+    Learned is from at most `examples` labelled rows of each label and at most about `chars` characters of their texts,
+    the first by a hash of the key, with no held-out row among them. Of rows that repeat a key the one with the least
+    text hash is the example, and of its labels the highest counts. The vocabulary is all that the examples hold;
+    inverse document frequencies are of all documents. neighbours: up to three nearest examples as (key, cosine, label).
+    Empty and null texts, and texts that share no term with the examples, get the calibrated rate of toxic labels.
+    Without any label every score is 0.5; with labels of one kind all votes are alike. Rows with null keys are scored
+    too; long texts are read whole; an empty table gives an empty result; other columns are ignored. Only examples and
+    the frequencies of their terms come to the driver, both bounded by the parameters.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("bigint").alias("k"), text_of(text).alias("t"))
-    known = labels.select(F.col(key).cast("bigint").alias("k"), F.col(label).cast("int").alias("y")).where(F.col("k").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("k")))
-    known = known.groupBy("k").agg(F.max("y").alias("y"))
-    sizes = {y: n for y, n in known.groupBy("y").count().collect()}
-    order = F.xxhash64(F.lit(7), "k")
-    sample = known.where("y = 0").orderBy(order, "k").limit(examples).union(known.where("y = 1").orderBy(order, "k").limit(examples))
-    sample = written(sample, "tox-sample")
-    taught = {y: n for y, n in sample.groupBy("y").count().collect()}
-    total = sum(sizes.values())
-    prior = (sizes.get(1, 0) + 0.5) / (total + 1)
-    #: an example stands for this many labelled rows, toxic ones for one
-    weight = {y: sizes[y] / taught[y] for y in taught}
-    weight = {y: w / weight.get(1, w) for y, w in weight.items()}
-
-    chosen = _choose(rows.join(F.broadcast(sample), "k").dropDuplicates(["t"]), weight, prior, taught.get(1, 0), terms)
-    number = {t: i for i, t in enumerate(chosen)}
-    vectors = written(_vectors(spark, rows, number), "tox-vectors")
-    n_docs = vectors.count()
-    frequency = dict(vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect())
-    idf = np.array([math.log((1 + n_docs) / (1 + frequency.get(i, 0))) + 1 for i in range(len(chosen))])
-    there = vectors.join(F.broadcast(sample), "k").groupBy("k").agg(F.first("terms").alias("terms"), F.first("tf").alias("tf"), F.max("y").alias("y"))
-    taken = sorted(there.collect(), key=lambda r: (list(zip(r.terms, r.tf, strict=True)), r.k))  # like texts share a block
-    blank, filled = [r for r in taken if not r.terms], [r for r in taken if r.terms]
-    index = BlockMax([_unit(r.terms, r.tf, idf) for r in filled], len(chosen))
-    mass, toxic = sum(weight[r.y] for r in blank), sum(weight[r.y] for r in blank if r.y)
-    empty_score = (toxic + PRIOR_WEIGHT * prior) / (mass + PRIOR_WEIGHT)
-    model = spark.sparkContext.broadcast((index, idf, [(r.k, r.y, weight[r.y]) for r in filled], empty_score, prior))
+    model = Model(*_examples(rows, labels, examples, chars, key, label))
+    frequency, n_docs = _frequencies(spark, rows, model)
+    model.fit(frequency, n_docs, k)
+    sent = spark.sparkContext.broadcast(model)
+    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, idf, told, empty_score, prior = model.value
-        cache: dict = {}
-        kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
+        model = sent.value
         for batch in batches:
-            scores, evidence = [], []
-            for t, f in zip(batch.column("terms").to_pylist(), batch.column("tf").to_pylist(), strict=True):
-                if not t:
-                    scores.append(empty_score)
-                    evidence.append([])
-                    continue
-                at = (tuple(t), tuple(f))
-                if at not in cache:
-                    if len(cache) > CACHE // 10:
-                        cache.clear()
-                    near = index.nearest(_unit(t, f, idf), k)
-                    up = sum(s * told[i][2] for i, s in near if told[i][1])
-                    every = sum(s * told[i][2] for i, s in near)
-                    cache[at] = (up + PRIOR_WEIGHT * prior) / (every + PRIOR_WEIGHT), [{"doc_id": told[i][0], "cosine": s, "label": told[i][1]} for i, s in near[:3]]
-                scores.append(cache[at][0])
-                evidence.append(cache[at][1])
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(scores, pa.float64()), pa.array(evidence, kind)], names=["k", "score", "neighbours"])
-
-    # vectors are small beside the search: dealt out evenly, or a few tasks would do it all
-    out = vectors.repartition(max(1, n_docs // 10_000)).mapInArrow(judge, "k bigint, score double, neighbours array<struct<doc_id:bigint,cosine:double,label:int>>")
+            made = list(model.scores(batch.column("t").to_pylist(), k))
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array([s for s, _ in made], pa.float64()), pa.array([e for _, e in made], kind)], names=["k", "score", "neighbours"])
+
+    out = rows.mapInArrow(judge, "k bigint, score double, neighbours array<struct<doc_id:bigint,cosine:double,label:int>>")
     return out.select(F.col("k").alias(key), held_out(F.col("k")).alias("held_out"), "score", "neighbours")
 
 
-def _choose(rows: DataFrame, weight: dict[int, float], prior: float, taught: int, most: int) -> list[str]:
-    """The terms that mark toxic texts, purest first."""
+def _examples(rows: DataFrame, labels: DataFrame, examples: int, chars: int, key: str, label: str) -> tuple[list[tuple[int, str, int]], dict[int, int]]:
+    """Texts of the sample as (key, text, label) in the order of a hash, and how many rows have each label."""
+    known = labels.select(F.col(key).cast("bigint").alias("k"), F.col(label).cast("int").alias("y")).where(F.col("k").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("k")))
+    known = written(known.groupBy("k").agg(F.max("y").alias("y")), "tox-known")
+    sizes = dict(known.groupBy("y").count().collect())
+    order = F.xxhash64(F.lit(7), "k")
+    sample = known.where("y = 0").orderBy(order, "k").limit(examples).union(known.where("y = 1").orderBy(order, "k").limit(examples))
+    own = rows.join(F.broadcast(sample), "k").groupBy("k", "y").agg(F.min(F.struct(F.xxhash64("t").alias("h"), F.col("t").alias("t"))).alias("o"))
+    own = written(own.select("k", "y", "o.t"), "tox-examples")
+    before = W.partitionBy("y").orderBy(order, "k").rowsBetween(W.unboundedPreceding, -1)
+    own = own.withColumn("before", F.coalesce(F.sum(F.length("t")).over(before), F.lit(0))).where(F.col("before") < chars)
+    return [(r.k, r.t, r.y) for r in own.orderBy(order, "k").select("k", "t", "y").collect()], sizes
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: dict[int, Counter] = {0: Counter(), 1: Counter()}
-        known: dict[bytes, tuple[str, ...]] = {}
 
-        def out() -> pa.RecordBatch:
-            every = list(n[0].keys() | n[1].keys())
-            batch = pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *(pa.array([n[y][t] for t in every], pa.int64()) for y in (0, 1))], names=["term", "n0", "n1"])
-            n[0].clear()
-            n[1].clear()
-            return batch
+def _frequencies(spark, rows: DataFrame, model: Model) -> tuple[np.ndarray, int]:
+    """In how many of all rows each term of the model occurs, and the number of rows.
 
+    Tasks count into arrays, which are summed in two steps of grouped calls, so no call holds those of all tasks.
+    """
+    sent = spark.sparkContext.broadcast(model.vocabulary)
+    n_terms = model.n_terms
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        vocabulary, n = sent.value, np.zeros(n_terms + 1, np.int64)  # the last counts rows
         for batch in batches:
-            for t, y in zip(batch.column("t").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                own = counted(t, known, stems_of)
-                n[y].update(own.keys())
-                n[y].update(f"{s}|{k}" for s, c in own.items() if c > 1 for k in OFTEN if c >= k)
-            if len(n[0]) + len(n[1]) > CACHE:
-                yield out()
-        yield out()
-
-    if len(weight) < 2:
-        return []
-    n = rows.select("t", "y").mapInArrow(count, "term string, n0 bigint, n1 bigint").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    toxic, whole = F.col("n1") * weight[1], F.col("n1") * weight[1] + F.col("n0") * weight[0]
-    best = n.withColumn("purity", (toxic + SHRINK * prior) / (whole + SHRINK)).where((F.col("purity") >= LEAST_PURITY) & (F.col("n1") >= LEAST_SHARE * taught))
-    return [r.term for r in best.orderBy(F.col("purity").desc(), "term").limit(most).collect()]
-
-
-def _vectors(spark, rows: DataFrame, number: dict[str, int]) -> DataFrame:
-    """(k, terms, tf): the chosen terms of each text, by number, and how often it holds them."""
-    stems: dict[str, list[tuple[int, int]]] = {}
-    for term, at in number.items():
-        stem, bar, often = term.rpartition("|")
-        stems.setdefault(stem if bar else term, []).append((int(often) if bar else 1, at))
-    chosen = spark.sparkContext.broadcast(stems)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stems, known = chosen.value, {}
-        for batch in batches:
-            terms, tf = [], []
-            for t in batch.column("t").to_pylist():
-                own = counted(t, known, lambda w: tuple(x for x in stems_of(w) if x in stems))
-                got = {at: c if k == 1 else 1 for s, c in own.items() for k, at in stems[s] if c >= k}
-                terms.append(sorted(got))
-                tf.append([got[i] for i in sorted(got)])
-            kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(terms, kind), pa.array(tf, kind)], names=["k", "terms", "tf"])
-
-    return rows.mapInArrow(run, "k bigint, terms array<int>, tf array<int>")
-
-
-def _unit(terms: list[int], tf: list[int], idf: np.ndarray) -> dict[int, float]:
-    w = {t: (1 + math.log(f)) * float(idf[t]) for t, f in zip(terms, tf, strict=True)}
-    norm = math.sqrt(sum(x * x for x in w.values()))
-    return {t: x / norm for t, x in w.items()}
+            for t in batch.column("t"):
+                n[vocabulary.counts(t.as_py())[0]] += 1
+                n[-1] += 1
+        part = TaskContext.get().partitionId() % 64
+        for c in range(0, len(n), CHUNK):
+            if n[c : c + CHUNK].any():
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([part], pa.int64()), pa.array([n[c : c + CHUNK].tobytes()], pa.binary())], names=["c", "part", "n"])
+
+    def summed(group: pa.Table) -> pa.Table:
+        n = sum(np.frombuffer(x.as_py(), np.int64) for x in group["n"])
+        return pa.table({"c": group["c"][:1], "part": group["part"][:1], "n": pa.array([n.tobytes()], pa.binary())})
+
+    kind = "c bigint, part bigint, n binary"
+    counted = rows.select("t").mapInArrow(count, kind).groupBy("c", "part").applyInArrow(summed, kind).groupBy("c").applyInArrow(summed, kind)
+    whole = np.zeros(n_terms + 1, np.int64)
+    for r in counted.collect():
+        n = np.frombuffer(r.n, np.int64)
+        whole[r.c : r.c + len(n)] = n
+    return whole[:-1], int(whole[-1])

@@ -3,6 +3,8 @@
 import hashlib
 import math
 import random
+import re
+import zlib
 
 import numpy as np
 import pytest
@@ -121,20 +123,24 @@ def test_extract(spark):
 # toxicity
 
 
-def test_block_max_is_exact():
-    rng = random.Random(4)
+@pytest.mark.parametrize("dense", [0.0, 0.2, 1.0])
+def test_block_max_is_exact(dense):
+    rng = np.random.default_rng(4)
     vectors = []
     for _ in range(700):
-        v = {t: rng.random() for t in rng.sample(range(40), rng.randint(1, 6))}
-        n = math.sqrt(sum(x * x for x in v.values()))
-        vectors.append({t: x / n for t, x in v.items()})
+        t = np.sort(rng.choice(40, rng.integers(1, 7), replace=False))
+        w = rng.random(len(t)) * rng.choice([0.01, 1.0], len(t))
+        vectors.append((t, w / np.sqrt(w @ w)))
     vectors += vectors[:50]
-    index = toxicity.BlockMax(vectors, 40, 32)
-    for q in vectors[:120]:
-        want = sorted(((-sum(q[t] * v.get(t, 0.0) for t in q), i) for i, v in enumerate(vectors)))
-        got = index.nearest(q, 15)
-        assert np.allclose([s for _, s in got], [-s for s, _ in want[:15] if s < 0])
-        assert [round(s, 9) for _, s in got] == sorted((round(s, 9) for _, s in got), reverse=True)
+    full = np.zeros((len(vectors), 40))
+    for i, (t, w) in enumerate(vectors):
+        full[i, t] = w
+    index = toxicity.BlockMax(vectors, 40, 32, dense)
+    asked = [*vectors[:120], (np.zeros(0, np.int64), np.zeros(0))]
+    for q, (at, score) in enumerate(index.nearest(asked, 15)):
+        every = np.round(full @ full[q], 12) if q < 120 else np.zeros(len(full))
+        want = sorted(np.flatnonzero(every > 0), key=lambda i: (-every[i], i))[:15]
+        assert np.allclose(score, every[want]) and (list(at) == want or np.allclose(every[at], every[want]))
 
 
 def toxic_rows(n, seed):
@@ -167,6 +173,65 @@ def test_scores_held_out(spark):
     assert other[9002].neighbours[0].label == 1
 
 
+def test_scores_against_brute_force(spark):
+    """Weights, cosines, votes and calibration by plain dictionaries over all words and prefixes."""
+    rows, labels = toxic_rows(300, 2)
+    rows += [(5, "another text of a repeated key foulone"), (1000, "no such words anywhere"), (1001, None)]
+    got = sorted(map(tuple, toxicity.score_all(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")).collect()), key=str)
+    again = sorted(map(tuple, toxicity.score_all(spark.createDataFrame(rows[::-1], "doc_id bigint, text string").repartition(5), spark.createDataFrame(labels, "doc_id bigint, toxic int")).collect()), key=str)
+    assert [(g[0], g[1], round(g[2], 9)) for g in got] == [(g[0], g[1], round(g[2], 9)) for g in again]
+
+    def counted(text):
+        out = {}
+        for w in re.findall(r"\w+", (text or "").lower()):
+            for t in {w, *(w[:n] + "*" for n in (4, 6) if len(w) > n)}:
+                out[t] = out.get(t, 0) + 1
+        return out
+
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").select(F.col("doc_id").alias("k"), F.coalesce("text", F.lit("")).alias("t"))
+    texts, sizes = toxicity._examples(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int"), 10**6, 10**9, "doc_id", "toxic")
+    train = [(i, y) for i, y in labels if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert sorted((k, y) for k, _, y in texts) == sorted(train) and sizes == {y: sum(b == y for _, b in train) for y in (0, 1)}
+    vectors = [(k, y, counted(t)) for k, t, y in texts]
+    kept, aside = [v for n, v in enumerate(vectors) if n % 5], [v for n, v in enumerate(vectors) if n % 5 == 0]
+    vocabulary = {t for v in vectors for t in v[2]}
+    df = {t: 0 for t in vocabulary}
+    for _, t in rows:
+        for x in counted(t).keys() & vocabulary:
+            df[x] += 1
+    n = [sum(v[1] == y for v in kept) for y in (0, 1)]
+    weight = {}
+    for t in vocabulary:
+        c = [sum(t in v[2] for v in kept if v[1] == y) + 0.5 for y in (0, 1)]
+        r = [n[y] - c[y] + 1 for y in (0, 1)]
+        odds, error = math.log(c[1] / r[1]) - math.log(c[0] / r[0]), math.sqrt(sum(1 / x for x in c + r))
+        weight[t] = (math.log((1 + len(rows)) / (1 + df[t])) + 1) * (0.4 + max(0.0, abs(odds) - 1.5 * error))
+
+    def unit(v):
+        w = {t: (1 + math.log(k)) * weight[t] for t, k in v.items() if t in weight}
+        norm = math.sqrt(sum(x * x for x in w.values())) or 1.0
+        return {t: x / norm for t, x in w.items()}
+
+    examples = [(k, y, unit(v)) for k, y, v in kept]
+    each = {0: sizes[0] / sum(y == 0 for _, _, y in texts), 1: sizes[1] / sum(y for _, _, y in texts)}
+    prior = (sizes[1] + 0.5) / (sum(sizes.values()) + 1)
+
+    def logit(v):
+        u = unit(v)
+        near = sorted(((sum(x * e.get(t, 0.0) for t, x in u.items()), y) for _, y, e in examples), reverse=True)
+        near = [x for x in near if x[0] > 1e-12]
+        tied = len(near) > 15 and near[14][0] - near[15][0] < 1e-9 and near[14][1] != near[15][1]
+        w = [(c * each[y] / each[1], y) for c, y in near[:15]]
+        p = (sum(c for c, y in w if y) + 0.1 * prior) / (sum(c for c, _ in w) + 0.1)
+        return math.log(p / (1 - p)), tied
+
+    a, b = toxicity._platt(np.array([logit(v)[0] for _, _, v in aside]), np.array([float(y) for _, y, _ in aside]), np.array([each[y] / each[1] for _, y, _ in aside]))
+    want = sorted(((i, a + b * x, tied) for i, (x, tied) in ((i, logit(counted(t))) for i, t in rows)), key=str)
+    scored = sorted(((k, math.log(s / (1 - s))) for k, _, s, _ in got), key=str)
+    ok = sum(k == i and abs(x - y) < 1e-6 for (k, x), (i, y, _) in zip(scored, want, strict=True))
+    assert ok >= len(rows) - sum(t for _, _, t in want) and ok > 0.95 * len(rows)
+
+
 def test_scores_without_labels(spark):
     d = spark.createDataFrame([(1, "a"), (2, None)], "doc_id bigint, text string")
     assert {r.score for r in toxicity.score_all(d, spark.createDataFrame([], "doc_id bigint, toxic int")).collect()} == {0.5}
