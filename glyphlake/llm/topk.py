@@ -20,13 +20,19 @@ from glyphlake.llm.common import written
 
 #: Low bits of each component that the slices leave to the exact step.
 DROPPED = 2
+#: Components and scores beyond these stop there, so that sums of differences stay within 64 bits.
+MOST = (1 << 62) - (1 << 10)
+MOST_SCORE = (1 << 63) - 1
+#: Bytes of query vectors that are broadcast at once.
+QUERY_BYTES = 32_000_000
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def quantised(vector: Column, scale: int = 256) -> Column:
-    """floor(scale * x) for each component; null if the vector or a component is null or not finite."""
+    """floor(scale * x) for each component, at most MOST either way; null if the vector or a component is null or not finite."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when(~bad, F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("int")))
+    within = lambda x: F.greatest(F.lit(float(-MOST)), F.least(F.lit(float(MOST)), x))
+    return F.when(~bad, F.transform(vector, lambda x: F.floor(within(x.cast("double") * scale))))
 
 
 class BitSliced:
@@ -37,6 +43,7 @@ class BitSliced:
         self.n, self.dims = self.rows.shape
         # non-negative codes: the shift is the same for all rows, so it does not change their order for a query
         self.base = self.rows.min(axis=0, initial=0) if self.n else np.zeros(self.dims, np.int64)
+        self.widest = max(abs(int(self.rows.max(initial=0))), abs(int(self.rows.min(initial=0))))
         codes = (self.rows - self.base) >> DROPPED
         self.bits = max(1, int(codes.max(initial=0)).bit_length())
         width = -(-self.n // 64) * 8
@@ -129,11 +136,17 @@ class BitSliced:
         return np.flatnonzero(chosen)
 
     def top(self, query: np.ndarray, k: int, ids: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and exact scores of the k best rows whose id is not own; ties go to the smaller id."""
-        n_own = int((ids == own).sum())
-        at = self.candidates(query, k + n_own)
+        """Ids and exact scores of the k best rows whose id is not own; ties go to the smaller id.
+
+        Where products may leave 64 bits, all rows are scored in unbounded integers, and scores stop at MOST_SCORE.
+        """
+        wide = self.widest * max(abs(int(query.max(initial=0))), abs(int(query.min(initial=0)))) * self.dims > MOST_SCORE
+        at = np.arange(self.n) if wide else self.candidates(query, k + int((ids == own).sum()))
         at = at[ids[at] != own]
-        score = self.rows[at] @ query
+        if wide:
+            score = np.array([max(-MOST_SCORE, min(MOST_SCORE, x)) for x in self.rows[at].astype(object) @ query.astype(object)], np.int64)
+        else:
+            score = self.rows[at] @ query
         order = np.lexsort((ids[at], -score))[:k]
         return ids[at][order], score[order]
 
@@ -147,58 +160,73 @@ def _padded(values: list, dims: int) -> np.ndarray:
     return out
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256, key: str = "vec_id", vector: str = "embedding", block_rows: int = 8192, block_queries: int = 256) -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256, key: str = "vec_id", vector: str = "embedding", block_rows: int = 8192, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """For each row that the condition `queries` marks, the k rows of other key with the highest integer inner product.
 
-    Rows (query_id, rank from 1, vec_id, score), all if fewer than k; ties go to the smaller key. Vectors that are null
+    Rows (query_id, rank from 1, vec_id, score), all if fewer than k; ties go to the smaller key; rows that repeat the key
+    of a query are queries of their own. Vectors that are null
     or hold a null, NaN or infinite component take no part, nor do rows with a null key; of repeated keys every row is a
-    candidate. Shorter vectors are padded with zeros. An empty table gives an empty result. Other columns are ignored.
+    candidate. Shorter vectors are padded with zeros. Components stop at MOST, scores at MOST_SCORE, either way; scores
+    that stop there are ties. An empty table gives an empty result. Other columns are ignored.
 
-    Rows are hashed into groups of about block_rows; query blocks are sent to every group, so each group meets every
-    query in blocks, and only k rows for a query leave a group.
+    Queries are broadcast in blocks of about query_bytes. For each such block every task goes through its rows in index
+    blocks of block_rows and keeps the k best of each query, so a task holds one index block and one query block, and only
+    k rows for a query leave a task. Rows are moved once, queries are never shuffled.
     """
-    v = vectors.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), quantised(F.col(vector), scale).alias("v"), queries.alias("q"))
-    v = written(v.where("v IS NOT NULL").withColumn("n", F.xxhash64(F.monotonically_increasing_id())), "topk-vectors")
-    total = v.count()
-    groups = max(1, -(-total // block_rows))
-    rows = v.select(F.pmod("n", F.lit(groups)).cast("int").alias("g"), "id", "v", F.lit(False).alias("is_query"))
-    asked = v.where("q").select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), "id", "v", F.lit(True).alias("is_query"))
-    both = rows.unionByName(asked).repartition(groups, "g").sortWithinPartitions("g", "is_query")
+    spark = vectors.sparkSession
+    v = vectors.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), quantised(F.col(vector), scale).alias("v"), queries.alias("q")).where("v IS NOT NULL")
+    v = written(v.withColumn("n", F.xxhash64(F.monotonically_increasing_id())), "topk-vectors")
+    total, size = v.agg(F.count(F.lit(1)), F.sum(F.when(F.col("q"), 8 * F.size("v") + 100))).first()
+    tasks = max(1, min(-(-total // block_rows), 4 * spark.sparkContext.defaultParallelism))
+    rows = written(v.select("id", "v").repartition(tasks), "topk-rows")
+    out = None
+    blocks = max(1, -(-(size or 0) // query_bytes))
+    for b in range(blocks):
+        asked = v.where("q").where(F.pmod("n", F.lit(blocks)) == b).select("id", "v").collect()
+        sent = spark.sparkContext.broadcast([(r.id, np.array(r.v, np.int64)) for r in asked])
+        got = rows.mapInArrow(_searcher(sent, k, block_rows), "query bigint, query_id bigint, vec_id bigint, score bigint")
+        if blocks > 1:
+            got = written(got, "topk-found")
+        got = got.select(F.lit(b).alias("block"), "*")
+        out = got if out is None else out.unionByName(got)
+    # rows of a repeated query key are queries of their own with equal results
+    best = W.partitionBy("block", "query").orderBy(F.col("score").desc(), "vec_id")
+    top = out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return top.select("query_id", "rank", "vec_id", "score")
+
+
+def _searcher(sent, k: int, block_rows: int):
+    """The search of a task: its rows, block by block, against the queries that were sent."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: list[tuple[BitSliced, np.ndarray]] = []
-        buffer: tuple[list, list] = ([], [])
-        group = None
+        asked = sent.value
+        best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(asked)
+        ids: list[int] = []
+        values: list = []
 
         def close() -> None:
-            if buffer[0]:
-                ids, vals = np.array(buffer[0], np.int64), buffer[1]
-                index.append((BitSliced(_padded(vals, max(map(len, vals)))), ids))
-                buffer[0].clear()
-                buffer[1].clear()
+            dims = max(map(len, values))
+            index, own = BitSliced(_padded(values, dims)), np.array(ids, np.int64)
+            for q, (i, vec) in enumerate(asked):
+                at, score = index.top(_padded([vec[:dims]], dims)[0], k, own, i)
+                at, score = np.concatenate([best[q][0], at]), np.concatenate([best[q][1], score])
+                order = np.lexsort((at, -score))[:k]
+                best[q] = at[order], score[order]
+            ids.clear()
+            values.clear()
 
         for batch in batches:
-            found: list[tuple] = []
-            for g, i, vec, is_query in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if g != group:
-                    group = g
-                    index.clear()
-                    buffer[0].clear()
-                    buffer[1].clear()
-                if not is_query:
-                    buffer[0].append(i)
-                    buffer[1].append(vec)
-                    if len(buffer[0]) >= 2 * block_rows:
-                        close()
-                    continue
-                close()
-                for block, ids in index:
-                    query = _padded([vec[: block.dims]], block.dims)[0]
-                    for x, s in zip(*block.top(query, k, ids, i), strict=True):
-                        found.append((i, int(x), int(s)))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["query_id", "vec_id", "score"])
-
-    got = both.mapInArrow(search, "query_id bigint, vec_id bigint, score bigint")
-    best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return got.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            for i, vec in zip(batch.column("id").to_pylist(), batch.column("v").to_pylist(), strict=True):
+                ids.append(i)
+                values.append(vec)
+                if len(ids) >= block_rows:
+                    close()
+        if ids:
+            close()
+        for q in range(0, len(asked), 10_000):
+            part = range(q, min(len(asked), q + 10_000))
+            n = [len(best[j][0]) for j in part]
+            columns = [np.repeat(list(part), n), np.repeat([asked[j][0] for j in part], n), *(np.concatenate([best[j][c] for j in part]) for c in (0, 1))]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["query", "query_id", "vec_id", "score"])
+
+    return search

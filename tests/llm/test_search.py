@@ -48,6 +48,19 @@ def test_nearest_edges(spark):
     assert sorted(tuple(r) for r in topk.nearest(few, F.col("vec_id") == 0).collect()) == [(0, 1, 1, 131072), (0, 2, 2, 131072)]
 
 
+def test_nearest_of_wide_and_many(spark):
+    """Components beyond 64 bits stop, scores too; repeated query keys and several query blocks lose nothing."""
+    rows = [(i, [float(i % 7), 1.0]) for i in range(120)] + [(50, [3.0, 3.0]), (200, [1e8, 0.0]), (201, [1e30, -1e30]), (202, [1e30, 1.0]), (203, [-1e30, 0.0])]
+    got = topk.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id").isin(0, 50, 100, 201, 200), 3, block_rows=32, query_bytes=150).collect()
+    codes = [(i, [max(-topk.MOST, min(topk.MOST, math.floor(256 * x))) for x in v]) for i, v in rows]
+    want = []
+    for q, v in codes:
+        if q in (0, 50, 100, 200, 201):
+            dot = [(-max(-topk.MOST_SCORE, min(topk.MOST_SCORE, sum(a * b for a, b in zip(v, x, strict=True)))), i) for i, x in codes if i != q]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(dot)[:3])]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_slices_prune(spark):
     rows = np.floor(np.random.default_rng(0).normal(0, 30, (5000, 64))).astype(int)
     b = topk.BitSliced(rows)
