@@ -1,9 +1,10 @@
 """Main text of web pages from the events of the standard library's streaming parser.
 
-Events become lines: runs of text between block-level tags, with the number of tags in them. The text-to-tag ratios of
-the lines, smoothed by a Gaussian, are split by a threshold; the lines above it point out the content region, which is
-the article element that holds them or, without one, the smallest element that holds most of their text. All lines of
-the region count, short ones too, but those in menus, headers, footers, sidebars, notices, adverts, forms and comments.
+Events become lines: runs of text between block-level tags, with the number of tags in them. Lines in menus, headers,
+footers, sidebars, notices, adverts, forms and comments are left out by rule. The text-to-tag ratios of the others,
+smoothed by a Gaussian, are split by a threshold into content and the rest, and the content region is the deepest element
+that holds all of the content. All lines of the region count, short ones too; where articles hold most of the content,
+those of the articles.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -26,9 +28,13 @@ BLOCK = frozenset(
 OUT = frozenset(
     "script style head title noscript template nav footer aside form button select textarea input iframe object svg canvas menu dialog audio video map".split()
 )
-#: First parts of the words in class and id that mark what is not main text, and whole words that do.
-OUT_STEMS = ("advert", "banner", "breadcrumb", "comment", "consent", "cookie", "disqus", "masthead", "navbar", "navig", "newsletter", "pagination", "popup", "promo", "recommend", "sidebar", "social", "sponsor", "subscri", "widget")
-OUT_WORDS = frozenset("ad ads alert aside footer header hidden login menu modal nav notice notices pager related reply replies respond search share sharing skip toolbar".split())
+#: Names in class and id that mark what is not main text, alone, at the end of a compound or before words of PARTS.
+OUT_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising alert aside banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header hidden "
+    "login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promos promotion recommendations recommended related "
+    "replies reply respond search share sharing sidebar skip social sponsor sponsored sponsors subscribe subscription toolbar widget widgets".split()
+)
+PARTS = frozenset("a area b bar block body bottom box button buttons c container cta d form icon icons inner item items left link links list main outer panel right row section slot text top unit wrap wrapper".split())
 OUT_ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A start tag of these ends an open paragraph; of the pairs below, an open element of the same kind.
@@ -38,34 +44,49 @@ CONTAINERS = frozenset("article body div html main section table td ul ol dl for
 SIGMA, SHARE = 1.0, 1.0
 
 
+@lru_cache(10_000)
+def _marked(value: str) -> bool:
+    """Whether a name in a class or id marks what is not main text."""
+    for name in value.split():
+        words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+        if words and (words[-1] in OUT_NAMES or any(w in OUT_NAMES and PARTS.issuperset(words[i + 1 :]) for i, w in enumerate(words))):
+            return True
+    return False
+
+
 class _Lines(HTMLParser):
-    """Collects lines as (text, tags, path of open elements, in an article)."""
+    """Collects lines as (text, tags, innermost element); every event takes a time that does not grow with the depth."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool]] = []  # tag, number of the element, out
-        self.made = 0
+        #: open elements as (tag, number, out), and where in it the open elements of each tag and kind are
+        self.stack: list[tuple[str, int, bool]] = []
+        self.open: dict[str, list[int]] = {}
+        #: element by number: the one around it, its tag; number 0 is the page
+        self.parent, self.tag = [0], [""]
         self.text: list[str] = []
         self.tags = 0
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
-        self.articles: list[int] = []
-        self.mains: list[int] = []
-        self.elements: dict[int, str] = {}
+        self.lines: list[tuple[str, int, int]] = []
 
     def flush(self) -> None:
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                self.lines.append((text, max(1, self.tags), tuple(x[1] for x in self.stack)))
+                self.lines.append((text, max(1, self.tags), self.stack[-1][1] if self.stack else 0))
             self.text.clear()
             self.tags = 0
 
+    def last(self, *kinds: str) -> int:
+        """The place of the innermost open element of these tags and kinds, -1 for none."""
+        return max((at[-1] for kind in kinds if (at := self.open.get(kind))), default=-1)
+
     def pop_to(self, k: int) -> None:
-        self.flush()
-        del self.stack[k:]
+        while len(self.stack) > k:
+            for kind in _kinds(self.stack.pop()[0]):
+                self.open[kind].pop()
 
     def is_out(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        inside = any(x[0] in ("article", "main") for x in self.stack)
+        inside = self.last("article", "main") >= 0
         if tag in OUT or tag == "header" and not inside:
             return True
         if self.stack and self.stack[-1][0] == "header":  # in an article's header only headings are text of it
@@ -81,10 +102,8 @@ class _Lines(HTMLParser):
                 return True
             if name == "role" and value.lower() in OUT_ROLES:
                 return True
-            if name in ("class", "id"):
-                for word in re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()):
-                    if (word in OUT_WORDS or word.startswith(OUT_STEMS)) and not (tag in HEADING and inside):
-                        return True
+            if name in ("class", "id") and _marked(value) and not (tag in HEADING and inside):
+                return True
         return False
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -96,48 +115,41 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        out = bool(self.stack) and self.stack[-1][2]
-        if not out and self.is_out(tag, attrs):  # its text is not taken; an inline one does not part its block
-            out = True
-        self.made += 1
-        self.stack.append((tag, self.made, out))
-        if not out:
-            self.elements[self.made] = tag
-            if tag == "article" and not any(x[0] == "article" for x in self.stack[:-1]):
-                self.articles.append(self.made)
-            elif tag == "main" or dict(attrs).get("role") == "main":
-                self.mains.append(self.made)
+        # text of an element that is out is not taken; an inline one does not part its block
+        out = bool(self.stack) and self.stack[-1][2] or self.is_out(tag, attrs)
+        self.parent.append(self.stack[-1][1] if self.stack else 0)
+        self.tag.append("" if out else tag)
+        for kind in _kinds(tag):
+            self.open.setdefault(kind, []).append(len(self.stack))
+        self.stack.append((tag, len(self.tag) - 1, out))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # as HTML reads it: the slash means nothing
 
     def close_implied(self, tag: str) -> None:
         if tag in ("article", "main", "footer", "body"):  # never inside a menu or the head: those were left open
-            for k, x in enumerate(self.stack):
-                if x[0] in ("nav", "head"):
-                    self.pop_to(k)
-                    break
-        for k in range(len(self.stack) - 1, -1, -1):
-            name = self.stack[k][0]
-            if name == "p" or name in SIBLINGS.get(tag, ()):
-                self.pop_to(k)
-                break
-            if name in CONTAINERS or name in BLOCK and name in ("blockquote", "li", "dd", "th", "figure"):
-                break
+            first = min((at[0] for kind in ("nav", "head") if (at := self.open.get(kind))), default=-1)
+            if first >= 0:
+                self.flush()
+                self.pop_to(first)
+        k = self.last("p", *SIBLINGS.get(tag, ()))
+        if k >= 0 and k >= self.last(":holder"):
+            self.pop_to(k)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in VOID:
             return
         self.tags += 1
-        for k in range(len(self.stack) - 1, -1, -1):
-            name = self.stack[k][0]
-            if name == tag:
-                if tag in BLOCK:
-                    self.flush()
-                del self.stack[k:]
-                return
-            if tag not in BLOCK and name in BLOCK or tag == "p" and name in CONTAINERS or tag not in CONTAINERS and name in ("article", "main", "body"):
-                return  # no such element is open here
+        k = self.last(tag)
+        barrier = -1 if tag in BLOCK else self.last(":block")
+        if tag == "p":
+            barrier = max(barrier, self.last(":container"))
+        if tag not in CONTAINERS:
+            barrier = max(barrier, self.last("article", "main", "body"))
+        if k >= 0 and k >= barrier:  # otherwise no such element is open here
+            if tag in BLOCK:
+                self.flush()
+            self.pop_to(k)
 
     def handle_data(self, data: str) -> None:
         if self.stack and (self.stack[-1][2] or self.stack[-1][0] == "header"):
@@ -145,6 +157,19 @@ class _Lines(HTMLParser):
         self.text.append(data)
 
 
+@lru_cache(1_000)
+def _kinds(tag: str) -> tuple[str, ...]:
+    """Under which names an open element is found: its tag, and what it stops."""
+    kinds = [tag]
+    if tag in BLOCK:
+        kinds.append(":block")
+    if tag in CONTAINERS:
+        kinds.append(":container")
+    if tag in CONTAINERS or tag in ("blockquote", "li", "dd", "th", "figure"):
+        kinds.append(":holder")
+    return tuple(kinds)
+
+
 def smoothed(ratios: list[float], sigma: float = SIGMA) -> list[float]:
     radius = max(1, math.ceil(2 * sigma))
     kernel = [math.exp(-(d * d) / (2 * sigma * sigma)) for d in range(-radius, radius + 1)]
@@ -171,31 +196,37 @@ def main_text(page: str | None) -> str:
     mean = sum(ratio) / len(ratio)
     threshold = SHARE * math.sqrt(sum((r - mean) ** 2 for r in ratio) / len(ratio))
     content = [i for i, r in enumerate(ratio) if r >= threshold] or list(range(len(lines)))
-    region = _region(parser, lines, content)
-    return "\n".join(text for text, _, path in lines if region is None or region & set(path))
+    chosen = _region(parser, lines, content)
+    return "\n".join(text for text, _, e in lines if chosen[e])
 
 
-def _region(parser: _Lines, lines: list, content: list[int]) -> set[int] | None:
-    """Numbers of the elements whose lines are the main text; None for all lines."""
-    for named in (parser.articles, parser.mains):
-        if named:
-            held = {e for i in content for e in lines[i][2] if e in set(named)}
-            return held or set(named)
-    chars: dict[int, int] = {}
+def _region(parser: _Lines, lines: list, content: list[int]) -> list[bool]:
+    """Of each element whether its own lines are main text. Elements are numbered from the outside in."""
+    n = len(parser.tag)
+    own = [0] * n  # lines of content in each element
     for i in content:
-        for e in lines[i][2]:
-            chars[e] = chars.get(e, 0) + len(lines[i][0])
-    whole = sum(len(lines[i][0]) for i in content)
-    # the deepest container with nearly all of the content; elements are numbered from the outside in
-    best = [e for e, n in chars.items() if n >= 0.8 * whole and parser.elements[e] in CONTAINERS]
-    return {max(best)} if best else None
+        own[lines[i][2]] += 1
+    for e in range(n - 1, 0, -1):
+        own[parser.parent[e]] += own[e]
+    region = max(e for e in range(n) if own[e] == own[0])  # the deepest one with all of the content
+    article = [False] * n
+    for e in range(1, n):
+        article[e] = article[parser.parent[e]] or parser.tag[e] == "article"
+    in_articles = sum(len(lines[i][0]) for i in content if article[lines[i][2]])
+    if 2 * in_articles >= sum(len(lines[i][0]) for i in content):
+        return article
+    inside = [False] * n
+    for e in range(n):
+        inside[e] = e == region or e > 0 and inside[parser.parent[e]]
+    return inside
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html) as (page_id, url, text, n_chars); one row for each row, null html as empty.
 
-    Pages are parsed one by one, whole, with no shuffle; memory is bounded by the longest page. Other columns are
-    ignored. White space inside a block becomes one space; blocks are joined by newlines.
+    Pages are parsed one by one, whole, with no shuffle, in a time linear in their length; memory is bounded by the
+    longest page. Null ids and urls, and rows that repeat, are returned as they are; an empty table gives an empty
+    result; other columns are ignored. White space inside a block becomes one space; blocks are joined by newlines.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -125,6 +126,45 @@ def test_region_without_article():
     assert lines[0] == "Head" and lines[-1] == "end" and len(lines) == 6
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<div id=page><h1>Head</h1><div class=entry>LONG</div><p>end</p></div><footer>f</footer>", "Head\nLONG\nend"),
+        ("<article><h2>A</h2><p>LONG</article><article><p>x</article><div>stray</div>", "A\nLONG\nx"),
+        ("<main><div class=card><article><p>teaser</article></div><section><p>LONG<p>LONG</section></main>", "teaser\nLONG\nLONG"),
+        ("<article><section class='social-history'><p>LONG</section><p class=commentary>c<div id=search-results>r</div><div class='search-box'>s</div><ul class=shareLinks><li>t</ul><div class='post comment-list'>u</div></article>", "LONG\nc\nr"),
+    ],
+)
+def test_region_by_ratio(page, want):
+    long = "long running text of the story " * 12
+    assert html.main_text(page.replace("LONG", long)) == want.replace("LONG", long.strip())
+
+
+@pytest.mark.parametrize("piece", ["<div>text ", "<b>text ", "<p><b><i>text", "<li>text</i> ", "<article><nav>text ", "<span></b>text"])
+def test_deep_pages_are_linear(piece):
+    times = []
+    for n in (4_000, 32_000):
+        began = time.perf_counter()
+        html.main_text(piece * n)
+        times.append(time.perf_counter() - began)
+    assert times[1] < 30 * times[0] + 0.5
+
+
+def test_extraction_equals_a_cut_by_tags(spark, small):
+    """On the pages of the tables, whose menus, adverts and footers are known, the text is the article, cut by patterns."""
+    import html as entities
+
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    want = {}
+    for r in pages.collect():
+        body = re.search(r"<article>(.*)</article>", r.html or "", re.S)
+        blocks = re.split(r"</?(?:p|h1|div|li|ul)\b[^>]*>", re.sub(r"<!--.*?-->|<(script|style)\b.*?</\1>", "", body[1] if body else "", flags=re.S))
+        blocks = [" ".join(entities.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br ?/?>", " ", x))).split()) for x in blocks]
+        want[r.page_id] = "\n".join(x for x in blocks if x)
+    got = {r.page_id: r.text for r in html.extract(pages).collect()}
+    assert got == want
+
+
 def test_extract(spark):
     d = spark.createDataFrame([(1, "u", "<article><p>a</article>", "clash"), (None, None, None, "x")], PAGE + ", text string")
     assert sorted((str(r.page_id), r.text, r.n_chars) for r in html.extract(d).collect()) == [("1", "a", 1), ("None", "", 0)]
