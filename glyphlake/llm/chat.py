@@ -1,8 +1,8 @@
 """Chat formatting in budgeted windows. DataFrame functions only.
 
 Prefix sums of turn tokens cut a conversation into turn-aligned spans. A window holds the system turn, a limited history
-of turns that earlier windows had already, and the span; the loss mask covers only assistant texts of the span, so each
-is a target once.
+of turns that earlier windows had already, and the span, all within the budget; the loss mask covers only assistant texts
+of the span, so each is a target once.
 """
 
 from __future__ import annotations
@@ -31,42 +31,53 @@ def unescaped(c: Column, table=ESCAPES) -> Column:
     return c
 
 
-def tokens_of(text: Column) -> Column:
-    """An upper estimate of a turn's tokens: a token for four bytes, and four for the template."""
-    return F.ceil(F.octet_length(text) / 4).cast("bigint") + 4
-
-
 def rendered(turn: Column) -> Column:
     return F.concat(F.lit(OPEN), escaped(turn["role"], ROLE_ESCAPES), F.lit(MID), escaped(turn["text"]), F.lit(CLOSE))
 
 
+def tokens_of(turn: Column) -> Column:
+    """What a turn costs of the budget: a token for each four bytes of it as rendered, escapes and template included."""
+    return F.ceil(F.octet_length(rendered(turn)) / 4).cast("bigint")
+
+
 def windows(turns: DataFrame, budget: int = 2048, history_turns: int = 2, history_budget: int = 256) -> DataFrame:
     """turns (conv_id, turn, role, text) as windows (conv_id, window, n_context, formatted, mask).
 
-    Turns are ordered by turn, role and text, nulls first; null roles and texts count as empty. A span holds the turns
-    whose prefix sum of tokens ends in the same stretch of half the budget, and so at most budget tokens unless one turn
-    alone has more than half of it: turns are never cut. n_context counts the leading turns that an earlier window had:
-    the first system turn, then up to history_turns turns right before the span while they have at most history_budget
-    tokens together. mask: array of (start, end) in code points of formatted. Other columns are ignored; an empty table
-    gives none. One shuffle by conv_id; windows and the frames that they need are bounded by the budget.
+    Turns are ordered by turn, role and text, nulls first; null roles and texts count as empty; equal turns all stay. A
+    span holds the turns whose prefix sum of tokens ends in the same stretch, half of what the budget leaves beside the
+    system turn and the history; one that alone is longer than a stretch is a span of its own. n_context counts the
+    leading turns that an earlier window had: the first system turn, then up to history_turns turns right before the
+    span while they have at most history_budget tokens together and the window stays within the budget. So a window
+    exceeds the budget only where one turn and the system turn do: turns are never cut. mask: array of (start, end) in
+    code points of formatted. Other columns are ignored; an empty table gives none. One shuffle by conv_id; windows and
+    the frames that they need are bounded by the budget and the longest turn.
     """
+    one = F.struct("role", "text")
     t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    t = t.withColumn("tokens", tokens_of(F.col("text")))
-    order = W.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    t = t.withColumn("tokens", tokens_of(one))
+    whole = W.partitionBy("conv_id")
+    order = whole.orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     before = order.rowsBetween(W.unboundedPreceding, W.currentRow)
-    one = F.struct("role", "text")
     t = t.withColumn("ends", F.sum("tokens").over(before)).withColumn("no", F.row_number().over(order))
-    t = t.withColumn("window", F.floor((F.col("ends") - 1) / (budget // 2)).cast("bigint"))
-    t = t.withColumn("sys_no", F.min(F.when(F.col("role") == "system", F.col("no"))).over(before))
-    t = t.withColumn("sys", F.first(F.when(F.col("role") == "system", one), ignorenulls=True).over(before))
+    t = t.withColumn("sys", F.min(F.when(F.col("role") == "system", F.struct("no", "tokens", one.alias("t")))).over(whole))
+    left = budget - history_budget - F.coalesce(F.col("sys.tokens"), F.lit(0))
+    t = t.withColumn("stretch", F.greatest(F.lit(1), F.floor(left / 2)))
+    t = t.withColumn("part", F.floor((F.col("ends") - 1) / F.col("stretch")).cast("bigint"))
     t = t.withColumn("past", F.collect_list(F.struct("no", "tokens", one.alias("t"))).over(order.rowsBetween(-history_turns, -1)))
-    first = F.min_by(F.struct("no", "sys_no", "sys", "past"), "no")
-    w = t.groupBy("conv_id", "window").agg(first.alias("first"), F.array_sort(F.collect_list(F.struct("no", "role", "text"))).alias("span"))
-    w = w.select("conv_id", "window", "first.*", "span")
+    head = F.when(~F.col("part").eqNullSafe(F.lag("part").over(order)), F.struct("no", "tokens"))
+    t = t.withColumn("head", head).withColumn("head", F.max("head").over(before))
+    after_long = (F.col("head.tokens") > F.col("stretch")) & (F.col("no") > F.col("head.no"))
+    t = t.withColumn("window", 2 * F.col("part") + after_long.cast("bigint"))
+    first = F.min_by(F.struct("no", "sys", "past"), "no")
+    w = t.groupBy("conv_id", "window").agg(first.alias("first"), F.sum("tokens").alias("tokens"), F.array_sort(F.collect_list(F.struct("no", "role", "text"))).alias("span"))
+    w = w.select("conv_id", "window", "first.*", "tokens", "span")
     # of the history the longest tail within its budget, without the system turn that stands in front anyway
+    led = F.coalesce(F.col("sys.no") < F.col("no"), F.lit(False))
+    room = F.least(F.lit(history_budget), budget - F.col("tokens") - F.when(led, F.col("sys.tokens")).otherwise(0))
+    w = w.withColumn("room", room)
     tail_of = lambda p: F.aggregate(F.filter("past", lambda q: q["no"] >= p["no"]), F.lit(0).cast("bigint"), lambda a, q: a + q["tokens"])
-    history = F.filter("past", lambda p: (tail_of(p) <= history_budget) & ~p["no"].eqNullSafe(F.col("sys_no")))
-    system = F.when(F.col("sys_no") < F.col("no"), F.array("sys")).otherwise(F.array().cast(f"array<{TURN}>"))
+    history = F.filter("past", lambda p: (tail_of(p) <= F.col("room")) & ~p["no"].eqNullSafe(F.col("sys.no")))
+    system = F.when(led, F.array("sys.t")).otherwise(F.array().cast(f"array<{TURN}>"))
     context = F.concat(system, F.transform(history, lambda p: p["t"]))
     w = w.select("conv_id", "window", context.alias("context"), "span")
     ctx = F.array_join(F.transform("context", rendered), "")

@@ -13,20 +13,24 @@ SQL = r"""
 WITH raw AS (
   SELECT conv_id, turn, role, text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
-t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, (strlen(coalesce(text, '')) + 3) // 4 + 4 AS tokens FROM raw),
-n AS (SELECT *, row_number() OVER o AS no, sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS ends,
-        7 + length(replace(replace(replace(replace(role, '\', '\b'), '#', '\h'), '<', '\l'), ':', '\c'))
-          + length(replace(replace(replace(text, '\', '\b'), '#', '\h'), '<', '\l')) + 7 AS chars
+t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    replace(replace(replace(replace(coalesce(role, ''), '\', '\b'), '#', '\h'), '<', '\l'), ':', '\c') AS er,
+    replace(replace(replace(coalesce(text, ''), '\', '\b'), '#', '\h'), '<', '\l') AS et FROM raw),
+n AS (SELECT *, 14 + length(er) + length(et) AS chars, (14 + strlen(er) + strlen(et) + 3) // 4 AS tokens, row_number() OVER o AS no,
+        sum((14 + strlen(er) + strlen(et) + 3) // 4) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS ends
       FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
-s AS (SELECT *, ((ends - 1) // 1024)::BIGINT AS win FROM n),
-firsts AS (SELECT conv_id, win, min(no) AS no FROM s GROUP BY ALL),
-sys AS (SELECT conv_id, min(no) AS sys_no FROM s WHERE role = 'system' GROUP BY ALL),
-h AS (SELECT f.conv_id, f.win, p.no, p.chars, sum(p.tokens) OVER (PARTITION BY f.conv_id, f.win ORDER BY p.no DESC) AS tail, sys_no
-      FROM firsts f JOIN s p ON p.conv_id IS NOT DISTINCT FROM f.conv_id AND p.no BETWEEN f.no - 2 AND f.no - 1
-      LEFT JOIN sys ON sys.conv_id IS NOT DISTINCT FROM f.conv_id),
-hist AS (SELECT conv_id, sum(chars) AS chars FROM h WHERE tail <= 256 AND no IS DISTINCT FROM sys_no GROUP BY ALL),
-sysc AS (SELECT f.conv_id, sum(s.chars) AS chars FROM firsts f JOIN sys ON sys.conv_id IS NOT DISTINCT FROM f.conv_id
-         JOIN s ON s.conv_id IS NOT DISTINCT FROM f.conv_id AND s.no = sys.sys_no WHERE sys.sys_no < f.no GROUP BY ALL),
+sys AS (SELECT conv_id, min(no) AS sys_no, arg_min(tokens, no) AS sys_tokens, arg_min(chars, no) AS sys_chars FROM n WHERE role = 'system' GROUP BY ALL),
+b AS (SELECT n.*, sys_no, coalesce(sys_tokens, 0) AS sys_tokens, sys_chars, greatest(1, (2048 - 256 - coalesce(sys_tokens, 0)) // 2) AS stretch
+      FROM n LEFT JOIN sys ON sys.conv_id IS NOT DISTINCT FROM n.conv_id),
+p AS (SELECT *, ((ends - 1) // stretch)::BIGINT AS part FROM b),
+s AS (SELECT *, 2 * part + (no > min(no) OVER (PARTITION BY conv_id, part) AND first_value(tokens) OVER (PARTITION BY conv_id, part ORDER BY no) > stretch)::INT AS win FROM p),
+firsts AS (SELECT conv_id, win, min(no) AS no, sum(tokens) AS tokens, any_value(sys_no) AS sys_no, any_value(sys_tokens) AS sys_tokens, any_value(sys_chars) AS sys_chars FROM s GROUP BY conv_id, win),
+h AS (SELECT f.conv_id, f.win, p.no, p.chars, sum(p.tokens) OVER (PARTITION BY f.conv_id, f.win ORDER BY p.no DESC) AS tail, f.sys_no,
+        least(256, 2048 - f.tokens - CASE WHEN f.sys_no < f.no THEN f.sys_tokens ELSE 0 END) AS room
+      FROM firsts f JOIN s p ON p.conv_id IS NOT DISTINCT FROM f.conv_id AND p.no BETWEEN f.no - 2 AND f.no - 1),
+hist AS (SELECT conv_id, sum(chars) AS chars FROM h WHERE tail <= room AND no IS DISTINCT FROM sys_no GROUP BY ALL),
+sysc AS (SELECT conv_id, sum(sys_chars) AS chars FROM firsts WHERE sys_no < no GROUP BY ALL),
 g AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY no)) AS turns_sha256,
         coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
         sha256(coalesce(string_agg(text, '' ORDER BY no) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars) AS chars

@@ -1,5 +1,6 @@
 """Mixing, secrets and chat formatting."""
 
+import random
 import re
 
 import pytest
@@ -148,10 +149,40 @@ def test_windows_round_trip(spark):
     assert len(windows) > 3
     for x in windows[1:]:
         assert x.t[0].role == "system" and x.n_context <= 3
-        assert sum(-(-len(t.text.encode()) // 4) + 4 for t in x.t[x.n_context :]) <= 512
+        assert -(-len(x.formatted.encode()) // 4) <= 512
     assert any(x.n_context > 1 for x in windows)
 
 
+def test_windows_keep_their_budget(spark):
+    """System turns of half the budget, turns near it, texts that double by escaping: only a turn too long for it exceeds it."""
+    rng = random.Random(3)
+    rows = []
+    for c in range(60):
+        system = rng.choice([0, 50, 1000, 4000, 9000])
+        rows += [(c, 0, "system", "s" * system)] * bool(system)
+        rows += [(c, i + 1, ["user", "assistant"][i % 2], rng.choice("#x") * rng.choice([0, 10, 580, 2320, 3900, 9000])) for i in range(rng.randint(1, 30))]
+    w = chat.windows(spark.createDataFrame(rows, CONV))
+    cost = lambda t: -(-len("".join(chat_rendered(t.role, t.text)).encode()) // 4)
+    longer = 0
+    for x in read_back(w):
+        if sum(map(cost, x.t)) > 2048:
+            longer += 1
+            assert len(x.t) - x.n_context == 1 and x.n_context <= 1 and (not x.n_context or x.t[0].role == "system")
+        own = [r for r in rows if r[0] == x.conv_id]
+        assert x.window == 0 or own[0][2] != "system" or x.t[0].role == "system"
+    assert longer
+    got = {}
+    for x in read_back(w):
+        got.setdefault(x.conv_id, []).extend((t.role, t.text) for t in x.t[x.n_context :])
+    assert got == {c: [(r[2], r[3]) for r in rows if r[0] == c] for c in range(60)}
+
+
+def chat_rendered(role, text):
+    for plain, code in chat.ESCAPES:
+        role, text = role.replace(plain, code), text.replace(plain, code)
+    return chat.OPEN, role.replace(":", "\\c"), chat.MID, text, chat.CLOSE
+
+
 def test_windows_edges(spark):
     assert chat.windows(spark.createDataFrame([], CONV)).count() == 0
     d = spark.createDataFrame([(1, 0, "user", "x", 5, 6)], CONV + ", window int, no int")
