@@ -13,11 +13,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a new temporary one where it is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         at = getattr(spark, "_glyphlake_dir", None)
         if not at:
+            master = spark.sparkContext.master
+            if not (master == "local" or master.startswith("local[")):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             at = spark._glyphlake_dir = "file://" + tempfile.mkdtemp(prefix="glyphlake-")
     return at.rstrip("/")
 
@@ -36,3 +39,12 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 def text_of(c: str | Column) -> Column:
     """The text, empty for null."""
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+
+
+def own_names(df: DataFrame, *columns: str) -> tuple:
+    """df with its columns named by their place, the new names of the given columns, and all new names.
+
+    So no column of df, whatever its name, clashes with those that an operator adds; the operator names them back.
+    """
+    names = [f"_column_{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), *(names[df.columns.index(c)] for c in columns), names

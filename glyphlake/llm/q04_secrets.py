@@ -12,6 +12,8 @@ _KINDS = {
     "access": ("AKIA[A-Z0-9]+", 0, 16),
     "hex": ("[0-9a-f]+", 0, 32),
 }
+_BASE = tuple(_KINDS)
+_KINDS |= {r.kind: (r.pattern, r.group, r.least) for r in secrets.MORE_RULES}
 
 
 def _spans_sql(rank: int, kind: str) -> str:
@@ -27,11 +29,12 @@ def _spans_sql(rank: int, kind: str) -> str:
 SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t FROM documents),
 s AS (SELECT id, rank, kind, start, start + n AS stop FROM ({' UNION ALL '.join(_spans_sql(k, x) for k, x in enumerate(_KINDS))})
-      WHERE counted >= CASE kind WHEN 'assign' THEN 8 WHEN 'access' THEN 16 ELSE 32 END),
+      WHERE counted >= CASE kind WHEN 'assign' THEN 8 WHEN 'access' THEN 16 WHEN 'hex' THEN 32 ELSE 1 END),
 a AS (SELECT id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+             string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < {len(_BASE)}) AS base,
              string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans FROM s GROUP BY id)
 SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
-       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN a USING (id)"""
 
 

@@ -2,28 +2,34 @@
 
 Every text is addressed by its SHA-256. A ledger keeps, for each (digest, rule version), the spans that the rule found.
 A scan reads only the pairs that the ledger lacks, one representative text per digest, and joins the findings back to
-every path (here: document) that holds the blob. DataFrame functions only.
+every path (here: document) that holds the blob. Texts are scanned where they lie: only digests, paths and spans move.
+DataFrame functions only.
 """
 
 from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphlake.llm.common import new_path, text_of
+from glyphlake.llm.common import new_path, own_names, text_of, written
 
 
 @dataclass(frozen=True)
 class Rule:
-    """pattern: Java regular expression; group: of which the length counts; least: code points that it needs."""
+    """pattern: Java regular expression; group: of which the length counts; least: code points that it needs.
+
+    hints: strings of which every match holds one; texts without any are not searched.
+    """
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 1
+    hints: tuple[str, ...] = ()
 
     @property
     def version(self) -> str:
@@ -34,9 +40,18 @@ class Rule:
 #: the least length is part of the pattern.
 RULES = (
     Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
-    Rule("access", r"AKIA[A-Z0-9]{12,}"),
+    Rule("access", r"AKIA[A-Z0-9]{12,}", hints=("AKIA",)),
     Rule("hex", r"[0-9a-f]{32,}"),
 )
+#: Public formats of keys and tokens, found beside the others.
+MORE_RULES = (
+    Rule("key", r"-----BEGIN [A-Z0-9\x20]*PRIVATE KEY-----[A-Za-z0-9+/=:,\x20\r\n-]*?-----END [A-Z0-9\x20]*PRIVATE KEY-----", hints=("PRIVATE KEY-----",)),
+    Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_-]{20,}", hints=("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-")),
+    Rule("cloud", r"AIza[A-Za-z0-9_-]{35,}|ASIA[A-Z0-9]{16,}|[sr]k_live_[A-Za-z0-9]{16,}", hints=("AIza", "ASIA", "k_live_")),
+    Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}", hints=("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-")),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", hints=("eyJ",)),
+)
+ALL_RULES = RULES + MORE_RULES
 
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
@@ -58,39 +73,53 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end"))
         return F.struct(end.alias("at"), F.when(x["g"] >= rule.least, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
 
-    return F.when(text.rlike(rule.pattern), F.aggregate(steps, zero, step, lambda acc: acc["found"])).otherwise(F.array().cast(SPAN))
+    likely = text.rlike(rule.pattern)
+    if rule.hints:
+        likely = reduce(lambda a, b: a | b, (F.contains(text, F.lit(h)) for h in rule.hints)) & likely
+    return F.when(likely, F.aggregate(steps, zero, step, lambda acc: acc["found"])).otherwise(F.array().cast(SPAN))
 
 
-def scan(versions: DataFrame, path: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, ledger: str | None = None) -> DataFrame:
+def scan(versions: DataFrame, path: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = ALL_RULES, ledger: str | None = None, max_broadcast_rows: int = 200_000) -> DataFrame:
     """Every row of versions as (path, digest, spans): spans of all rules, sorted by start, then by rule.
 
     ledger: folder of a Parquet table (digest, rule, spans) in a shared store; it is read if it has rows, and what was
     scanned is appended, so a later scan of the same texts by the same rules reads no text again. Without it a new one
     is made in the shared folder. Null text counts as empty; rows with equal texts, or with equal or null paths, are
-    all returned; an empty table gives an empty result. Other columns of versions are ignored.
+    all returned; long texts are scanned whole; an empty table gives an empty result. Other columns are ignored.
+
+    Digests that the ledger has for all rules, and copies other than the one with the least path, are taken out by joins
+    on digests: against broadcast tables while these have at most max_broadcast_rows rows of about 150 bytes. Beyond
+    that, copies are scanned again, which costs less than to move the texts, and known digests go by a shuffle of texts.
     """
     spark = versions.sparkSession
     ledger = ledger or new_path(spark, "ledger")
     rows = versions.select(F.col(path).alias("path"), text_of(text).alias("text"))
-    addressed = rows.select("path", F.sha2(F.encode("text", "UTF-8"), 256).alias("digest"), "text")
-    seen = _ledger(spark, ledger)
-    blobs = addressed.groupBy("digest").agg(F.min("path").alias("owner"))
-    known = seen.groupBy("digest").agg(F.collect_set("rule").alias("done"))
-    todo = blobs.join(known, "digest", "left").select("digest", "owner", F.coalesce("done", F.array().cast("array<string>")).alias("done"))
-    wanted = F.array(*(F.lit(r.version) for r in rules))
-    todo = todo.where(F.size(F.array_except(wanted, "done")) > 0)
-    # digest and owner together name the representative; the small side is hashed, so texts are shuffled but not sorted
-    there = addressed.join(todo.withColumnRenamed("digest", "d").hint("shuffle_hash"), (F.col("digest") == F.col("d")) & F.col("path").eqNullSafe(F.col("owner")))
+    hashed = rows.select("path", F.sha2(F.encode("text", "UTF-8"), 256).alias("digest"), "text")
+    addressed = written(hashed.select("path", "digest"), "secrets-addressed")
+    versions_of = F.array(*(F.lit(r.version) for r in rules))
+    done = _ledger(spark, ledger).where(F.col("rule").isin([r.version for r in rules])).groupBy("digest").agg(F.collect_set("rule").alias("done"))
+    done = written(addressed.select("digest").distinct().join(done, "digest").select(F.col("digest").alias("d"), "done"), "secrets-done")
+    copies = addressed.groupBy("digest").agg(F.min("path").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1 AND owner IS NOT NULL")
+    copies = written(copies.select(F.col("digest").alias("c"), "owner"), "secrets-copies")
+    todo = hashed
+    if (n := done.count()) > 0:
+        done = F.broadcast(done) if n <= max_broadcast_rows else done
+        todo = todo.join(done, F.col("digest") == F.col("d"), "left").drop("d")
+    else:
+        todo = todo.withColumn("done", F.lit(None).cast("array<string>"))
+    todo = todo.withColumn("done", F.coalesce("done", F.array().cast("array<string>"))).where(F.size(F.array_except(versions_of, "done")) > 0)
+    if copies.count() <= max_broadcast_rows:
+        todo = todo.join(F.broadcast(copies), F.col("digest") == F.col("c"), "left").where(F.col("c").isNull() | F.col("path").eqNullSafe(F.col("owner")))
     found = F.array(*(
         F.struct(F.lit(r.version).alias("rule"), F.when(~F.array_contains("done", r.version), spans_of(F.col("text"), r, k)).alias("spans"))
         for k, r in enumerate(rules)
     ))
-    scanned = there.select("digest", F.explode(found).alias("f")).select("digest", "f.rule", "f.spans").where("spans IS NOT NULL")
+    scanned = todo.select("digest", F.explode(found).alias("f")).select("digest", "f.rule", "f.spans").where("spans IS NOT NULL")
     scanned.write.mode("append").parquet(ledger)
     hits = _ledger(spark, ledger).where(F.size("spans") > 0).where(F.col("rule").isin([r.version for r in rules]))
-    # a representative that occurs twice was scanned twice: equal rows of the ledger count once
+    # what was scanned twice has equal rows in the ledger, which count once
     hits = hits.groupBy("digest", "rule").agg(F.first("spans").alias("spans")).groupBy("digest").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    return addressed.select("path", "digest").join(hits, "digest", "left").select("path", "digest", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
+    return addressed.join(hits, "digest", "left").select("path", "digest", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
 
 
 def _ledger(spark, at: str) -> DataFrame:
@@ -112,19 +141,20 @@ def count_of(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
 
 
-def redacted(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, ledger: str | None = None, mark: str = "[REDACTED]", max_broadcast_rows: int = 200_000) -> DataFrame:
+def redacted(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = ALL_RULES, ledger: str | None = None, mark: str = "[REDACTED]", max_broadcast_rows: int = 200_000) -> DataFrame:
     """docs with every span replaced by mark; an n_chars column follows the new length. Overlapping spans are one.
 
-    Texts without a secret are unchanged, null too. Columns and their order stay.
+    Texts without a secret are unchanged, null too. Columns and their order stay, whatever their names; rows that repeat
+    all stay; an empty table gives an empty result.
     """
-    found = scan(docs.withColumn("_text", F.col(text)).withColumn("_path", F.xxhash64(text_of(text))), "_path", "_text", rules, ledger)
+    d, t, names = own_names(docs, text)
+    found = scan(d.select(t, F.xxhash64(text_of(t)).alias("path")), "path", t, rules, ledger, max_broadcast_rows)
     hits = found.where(F.size("spans") > 0).groupBy("digest").agg(F.first("spans").alias("_spans"))
-    path = new_path(docs.sparkSession, "secrets-hits")
-    hits.withColumnRenamed("digest", "_digest").write.parquet(path)
-    hits = docs.sparkSession.read.schema(f"_digest string, _spans {SPAN}").parquet(path)
+    hits = written(hits.select(F.col("digest").alias("_digest"), "_spans"), "secrets-hits")
     if hits.count() <= max_broadcast_rows:
         hits = F.broadcast(hits)
-    joined = docs.join(hits, F.sha2(F.encode(text_of(text), "UTF-8"), 256) == F.col("_digest"), "left")
+    joined = d.join(hits, F.sha2(F.encode(text_of(t), "UTF-8"), 256) == F.col("_digest"), "left")
+    text, n_chars = t, dict(zip(docs.columns, names, strict=True)).get("n_chars")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -133,9 +163,9 @@ def redacted(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULE
 
     new = F.aggregate("_spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(text))))
     joined = joined.withColumn("_clean", F.when(F.col("_spans").isNull(), F.col(text)).otherwise(new))
-    out = {c: F.col(c) for c in docs.columns}
-    out[text] = F.col("_clean").alias(text)
-    if "n_chars" in out:
-        length = F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("_clean"))
-        out["n_chars"] = length.cast(docs.schema["n_chars"].dataType).alias("n_chars")
-    return joined.select(*out.values())
+    out = {c: F.col(c) for c in names}
+    out[text] = F.col("_clean")
+    if n_chars:
+        length = F.when(F.col("_spans").isNull(), F.col(n_chars)).otherwise(F.length("_clean"))
+        out[n_chars] = length.cast(docs.schema["n_chars"].dataType)
+    return joined.select(*(c.alias(name) for c, name in zip(out.values(), docs.columns, strict=True)))
