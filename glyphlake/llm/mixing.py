@@ -16,6 +16,9 @@ from glyphlake.llm.common import WORD, text_of, written
 
 #: Words per slot follow from the total so that there are about this many slots, whatever the input.
 SLOTS = 1 << 20
+#: Documents in a cell of a source's line, at least; cells of a source of n hold the square root of n if that is more, so
+#: that neither a cell nor the cells of one source grow with the input as a whole does.
+CELL = 500
 #: A source's blocks are so short that its target needs this many slots, or a slot for each word; fewer, down to
 #: FEWEST_SLOTS, where there are so many sources that these slots would be more than SLOTS.
 SOURCE_SLOTS, FEWEST_SLOTS = 1 << 10, 1 << 6
@@ -27,12 +30,14 @@ def words_of(text: Column) -> Column:
 
 
 def targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = (3, 1, 2)) -> DataFrame:
-    """sizes (source, source_size), one row for each source, with target: share of all sizes by weight, capped.
+    """sizes (source, source_size, ...), one row for each source, with rank and target: share of all sizes by weight, capped.
 
     Sources in code point order, null last, weigh weights repeating. A target stops at cap times its source's size and
     the excess goes to the others by weight. In order of size over weight the capped sources stand first, so the level
-    that the others share is found by running sums, without repeated rounds. Sizes of zero get zero.
+    that the others share is found by running sums, without repeated rounds. Sizes of zero get zero. The table of sources, not
+    of documents, is ordered in one task.
     """
+    columns = sizes.columns
     rank = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last()))
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (rank - 1) % len(weights) + 1)
     s = sizes.withColumn("rank", rank).withColumn("weight", weight).withColumn("limit", F.col("source_size") * F.lit(float(cap)))
@@ -43,39 +48,41 @@ def targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tup
     s = s.withColumn("level", (F.sum("source_size").over(everything) * float(share) - below) / beyond)
     level = F.max(F.when(F.col("level") * F.col("weight") <= F.col("limit"), F.col("level"))).over(everything)
     target = F.least(F.col("limit"), F.coalesce(level * F.col("weight"), F.col("limit")))
-    return s.select("rank", "source", "source_size", target.alias("target"))
+    return s.select(*columns, "rank", target.alias("target"))
 
 
 def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = (3, 1, 2), seed: int = 42, slots: int = SLOTS, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """Every document as (key, *keep, source, size, source_size, target, taken).
 
-    taken: words that the mix takes of it, repeats counted, at most cap times size. The order within a source follows a
-    hash of seed and key; equal keys are ordered by size. Null text has size zero and null sources are one source.
-    An empty table gives an empty result. Other columns are ignored.
+    taken: words that the mix takes of it, repeats counted; a source's come near cap times its size at most, and no
+    document is taken more often than cap, rounded up. The order within a source follows a hash of seed and key; equal
+    keys are ordered by size. Null text has size zero and null sources are one source; long texts count whole; rows that
+    repeat are all returned. An empty table gives an empty result. Other columns are ignored.
     A source may hold any part of the rows: running sums go over hashed cells of a source and then over the cells.
     """
     spark = docs.sparkSession
     cols = [F.col(key).alias("key"), F.col("source").alias("source"), *(F.col(c).alias(f"_keep_{c}") for c in keep)]
     d = docs.select(*cols, words_of(F.col(text)).alias("size"), F.xxhash64(F.lit(seed), F.col(key)).alias("h"))
     d = written(d, "mix-sizes")
-    per_source = written(targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), share, cap, weights), "mix-targets")
+    per_source = written(targets(d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), share, cap, weights), "mix-targets")
     total = per_source.agg(F.sum("source_size"), F.sum("target"), F.count(F.lit(1))).first()
     words, wanted, n_sources = int(total[0] or 0), float(total[1] or 0), int(total[2])
     longest = max(1, -(-int(wanted) // slots))
     least = max(FEWEST_SLOTS, min(SOURCE_SLOTS, SLOTS // max(1, n_sources)))
     length = F.greatest(F.lit(1), F.least(F.lit(longest), F.floor(F.col("target") / least))).cast("bigint")
     per_source = per_source.withColumn("block_size", length).withColumn("slots", F.ceil(F.col("target") / F.col("block_size")).cast("bigint"))
-    n_slots = int(per_source.agg(F.sum("slots")).first()[0] or 0) if words else 0
+    per_source = per_source.withColumn("cells", F.ceil(F.col("n") / F.greatest(F.lit(float(CELL)), F.sqrt("n"))).cast("bigint"))
+    n_slots, n_cells = (int(x or 0) for x in per_source.agg(F.sum("slots"), F.sum("cells")).first())
+    n_slots = n_slots if words else 0
 
     # each document's first word on its source's line
-    cells = max(1, min(1 << 13, d.count() // 2_000))
-    d = d.withColumn("cell", F.pmod("h", F.lit(cells)))
-    cell_sums = d.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"))
-    line = W.partitionBy("source").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
-    cell_sums = cell_sums.select(F.col("source").alias("s"), F.col("cell").alias("c"), F.coalesce(F.sum("cell_size").over(line), F.lit(0)).alias("cell_at"))
-    sources = per_source.select(F.col("source").alias("ps"), "rank", "source_size", "target", "block_size")
-    d = d.join(_small(cell_sums, n_sources * cells), F.col("source").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("c"))).drop("s", "c")
+    sources = per_source.select(F.col("source").alias("ps"), "rank", "source_size", "target", "block_size", "cells")
     d = d.join(_small(sources, n_sources), F.col("source").eqNullSafe(F.col("ps"))).drop("ps")
+    d = d.withColumn("cell", F.pmod("h", "cells")).drop("cells")
+    cell_sums = d.groupBy("rank", "cell").agg(F.sum("size").alias("cell_size"))
+    line = W.partitionBy("rank").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
+    cell_sums = cell_sums.select("rank", "cell", F.coalesce(F.sum("cell_size").over(line), F.lit(0)).alias("cell_at"))
+    d = d.join(_small(cell_sums, n_cells), ["rank", "cell"])
     inside = W.partitionBy("rank", "cell").orderBy("h", "key", "size").rowsBetween(W.unboundedPreceding, -1)
     d = d.withColumn("at", F.col("cell_at") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
 

@@ -64,6 +64,37 @@ def test_mix_of_small_sources_beside_a_large_one(spark):
         assert r.taken <= 2 * r.n
 
 
+@pytest.mark.parametrize("cap,slots", [(1.5, 50), (2.0, 500), (1.0, 64)])
+def test_mix_caps(spark, cap, slots):
+    """No source is left out at any number of slots, and no document is taken more often than the cap, rounded up."""
+    rows = [(i, "w " * 1000, "en", "big", 0) for i in range(200)] + [(1000 + s, "w " * 20, "en", f"z{s}", 0) for s in range(6)]
+    got = mixing.mix(spark.createDataFrame(rows, DOC), cap=cap, slots=slots).collect()
+    want = brute_targets({"big": 200_000, **{f"z{s}": 20 for s in range(6)}}, cap=cap)
+    assert all(r.taken <= -(-cap // 1) * r.size and abs(r.target - want[r.source]) < 1e-6 for r in got)
+    assert all(abs(r.taken - r.target) <= 2 for r in got if r.source != "big")
+    assert abs(sum(r.taken for r in got if r.source == "big") - want["big"]) <= 0.01 * want["big"]
+
+
+def test_mix_sizes_and_targets_against_sql(spark, small, duck):
+    """Sizes, sizes of sources and targets; the level that uncapped sources share solved by trying each source as the last capped."""
+    from conftest import same_rows
+
+    got, want = same_rows(
+        mixing.mix(spark.read.parquet(f"{small}/documents.parquet")).select("doc_id", "size", "source_size", F.round("target", 4).alias("target")),
+        duck,
+        r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+        z AS (SELECT source, sum(size)::BIGINT AS n FROM d GROUP BY source),
+        w AS (SELECT *, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, 1.5 * sum(n) OVER () AS wanted FROM z),
+        l AS (SELECT a.n * 2.0 / a.weight AS level, any_value(a.wanted) AS wanted, sum(least(b.n * 2.0, b.weight * a.n * 2.0 / a.weight)) AS filled,
+                sum(b.n * 2.0) FILTER (b.n * 2.0 / b.weight <= a.n * 2.0 / a.weight) AS capped, coalesce(sum(b.weight) FILTER (b.n * 2.0 / b.weight > a.n * 2.0 / a.weight), 0) AS free
+              FROM w a, w b GROUP BY a.source, a.n, a.weight),
+        m AS (SELECT coalesce(max(level) FILTER (filled <= wanted), 0) AS level FROM l),
+        s AS (SELECT coalesce((SELECT any_value((wanted - capped) / free) FROM l WHERE l.level = m.level AND free > 0), (SELECT any_value(wanted) / sum(weight) FROM w), 0) AS share FROM m)
+        SELECT doc_id, size, n AS source_size, round(least(n * 2.0, weight * share), 4) AS target FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source, s""",
+    )
+    assert [r[:3] for r in got] == [r[:3] for r in want] and all(abs(a[3] - b[3]) < 0.01 for a, b in zip(got, want, strict=True))
+
+
 def test_mix_edges(spark):
     assert mixing.mix(spark.createDataFrame([], DOC)).count() == 0
     assert [(r.size, r.taken, r.target) for r in mixing.mix(spark.createDataFrame([(1, None, "en", "a", 0)], DOC)).collect()] == [(0, 0, 0.0)]
