@@ -107,8 +107,10 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     posterior; keep: score of at least 0.5. Sites are aggregated over all documents by partial sums, so a host with a
     third of all rows is one row of its table; site tables are broadcast while they have at most max_broadcast_rows rows
     and joined by shuffle beyond. path defaults to host and lang. Null hosts and paths are sites of their own; null text
-    counts as empty; of repeated labels of a key the highest counts; rows with null key are judged too. Without labels
-    of both kinds the evidence is 0.5 and everything is kept. Fitting uses at most `examples` rows of each label.
+    counts as empty; long texts are measured whole; of repeated labels of a key the highest counts, and of rows that
+    repeat a key the one with the least text hash is learned from, while all are judged; rows with null key are judged
+    too. Without labels of both kinds the evidence is 0.5 and everything is kept. Fitting uses at most `examples` rows
+    of each label. An empty table gives an empty result; other columns are ignored.
     """
     host = F.col(host) if isinstance(host, str) else host
     if path is None:
@@ -120,7 +122,8 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     sizes = dict(known.groupBy("y").count().collect())
     order = F.xxhash64(F.lit(11), "k")
     sample = known.where("y = 0").orderBy(order, "k").limit(examples).union(known.where("y = 1").orderBy(order, "k").limit(examples))
-    taken = d.join(F.broadcast(sample), "k").groupBy("k").agg(F.first("m").alias("m"), F.max("y").alias("y")).orderBy("k").collect()
+    # of rows that repeat a key the one with the least text hash
+    taken = d.join(F.broadcast(sample), "k").groupBy("k").agg(F.min(F.struct("th", "m"))["m"].alias("m"), F.max("y").alias("y")).orderBy("k").collect()
     y = np.array([r.y for r in taken], float)
     if len(set(y)) == 2:
         each = np.array([sizes[int(v)] / (y == v).sum() for v in (0.0, 1.0)])
