@@ -253,3 +253,79 @@ def test_pipeline(spark, small):
     assert good.join(first, "doc_id", "left_anti").count() == 0
     assert cp.run(spark, small).count() == counts[-1]
     assert [n for n, _ in cp.STAGES][0] == "quality classifier" and len(cp.STAGES) == 5
+
+
+CLASHES = (
+    "_k", "_th", "_gone", "_row", "_digest", "_spans", "_clean", "_text_hash", "_text", "_path", "k", "th", "row", "h", "t", "m", "p", "s", "n", "node", "fp", "root", "keep", "digest", "spans",
+    "rank", "cell", "size", "target", "taken", "block", "text_hash", "_column_0", "_column_1", "path", "host", "score", "evidence", "at", "key", "held_out",
+)
+
+
+def test_stages_with_odd_rows_and_clashing_columns(spark, small):
+    """Every stage, on nulls in all columns, empty and repeated rows and columns of the names that operators use; and on no rows."""
+    import corpus_pipeline as cp
+
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    text = " ".join(f"plain{i}" for i in range(60))
+    rows = [(None,) * 5, (None,) * 5, (1, None, "en", "a", 0), (2, "", None, None, None), (3, text, "en", "a", 400), (3, text, "en", "a", 400), (4, text + " and one more", "en", None, 410)]
+    rows += [(5, "password=" + "x" * 20 + " " + " ".join(f"other{i}" for i in range(30)), "en", "a", 200), (None, "w " * 30_000, "en", "b", 60_000), (3, "the same id with another text", "en", "a", 29)]
+    docs = spark.createDataFrame(rows, schema).withColumns({c: F.lit(c) for c in CLASHES})
+    for table in (docs, docs.limit(0)):
+        for name, stage in cp.STAGES:
+            out = stage(spark, table, small)
+            got = out.collect()
+            if name == "mixing sources":
+                assert len(got) == table.count()
+                continue
+            assert out.columns == docs.columns
+            assert all(r[c] == c for r in got for c in CLASHES)
+            texts = sorted((str(r.doc_id), (r.text or "")[:30]) for r in got)
+            if table is not docs:
+                assert not got
+            elif name == "simhash near-dedup":
+                assert len(texts) == 5 and sum(i == "3" for i, _ in texts) == 2
+            elif name == "secret scans":
+                assert len(got) == len(rows) and any((r.text or "").startswith("[REDACTED] other0") for r in got)
+            elif name == "benchmark decontamination":
+                assert len(got) == len(rows)
+
+
+def test_quality_posteriors_against_brute_force(spark):
+    """Rates of hosts and paths, their strengths and the posteriors, from the evidence, by plain sums; input order does not matter."""
+    rng = random.Random(12)
+    rows, labels = [], []
+    for i in range(500):
+        t = [f"word{rng.randrange(200)}" for _ in range(rng.randint(5, 60))]
+        bad = rng.random() < (0.5 if i % 9 == 0 else 0.1)
+        rows.append((i, " ".join(w.upper() + "!!" if bad and rng.random() < 0.7 else w for w in t), rng.choice(["en", "fr", None]), f"s{i % 9}" if i % 3 else None))
+        if i % 2:
+            labels.append((i, int(not bad)))
+    rows += [(1, "another text of id one!! !!", "en", "s1"), (3, "THIRD!! OF!! ITS!! ID!!", "en", "s3")]
+    schema = "doc_id bigint, text string, lang string, source string"
+    got, again = (sorted(quality.judge(spark.createDataFrame(r, schema).repartition(n), spark.createDataFrame(labels, "doc_id bigint, quality int")).collect(), key=str) for r, n in ((rows, 1), (rows[::-1], 5)))
+    assert [(r.doc_id, r.keep, round(r.score, 6)) for r in got] == [(r.doc_id, r.keep, round(r.score, 6)) for r in again]
+    p = {(r.doc_id, r.th): r.evidence for r in got}
+    site = {}
+    hashed = spark.createDataFrame(rows, schema).select("doc_id", F.xxhash64("text").alias("th"), "lang", "source").collect()
+    for r in hashed:
+        site[r.doc_id, r.th] = (r.source, "/".join(x for x in (r.source, r.lang or "") if x is not None))
+    groups = lambda of: {g: [p[x] for x in p if of(site[x]) == g] for g in {of(site[x]) for x in p}}
+    hosts, paths = groups(lambda s: s[0]), groups(lambda s: s)
+    rate = sum(p.values()) / len(p)
+
+    def strength(sites, center):
+        n, inside = sum(map(len, sites.values())), sum(sum((x - np.mean(v)) ** 2 for x in v) for v in sites.values())
+        inside = max(inside / (n - len(sites)), 1e-9)
+        spread = sum(len(v) * (np.mean(v) - center(g)) ** 2 for g, v in sites.items()) - (len(sites) - 1) * inside
+        spread /= max(n - sum(len(v) ** 2 for v in sites.values()) / n, 1e-9)
+        return min(max(inside / spread, 1.0), 1e6) if spread > 0 else 1e6
+
+    k = strength(hosts, lambda g: rate)
+    host_rate = {g: (sum(v) + k * rate) / (len(v) + k) for g, v in hosts.items()}
+    k = strength(paths, lambda g: np.mean(hosts[g[0]]))
+    logit = lambda x: np.log(np.clip(x, 1e-6, 1 - 1e-6) / (1 - np.clip(x, 1e-6, 1 - 1e-6)))
+    for r in got:
+        v = paths[site[r.doc_id, r.th]]
+        path_rate = (sum(v) - r.evidence + k * host_rate[site[r.doc_id, r.th][0]]) / (len(v) - 1 + k)
+        score = 1 / (1 + np.exp(-(logit(r.evidence) + logit(path_rate) - logit(rate))))
+        assert abs(r.path_rate - path_rate) < 1e-6 and abs(r.score - score) < 1e-6 and r.keep == (r.score >= 0.5)
