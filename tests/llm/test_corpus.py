@@ -153,8 +153,8 @@ def test_alignment():
         assert score == brute_alignment(a, b) == brute_alignment(a, b[start:stop])
 
 
-@pytest.mark.parametrize("chunk_chars", [300, 10**6])
-def test_contaminated(spark, chunk_chars):
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_contaminated(spark, most):
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(800)]
     items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(15, 50)))) for i in range(12)]
@@ -172,10 +172,11 @@ def test_contaminated(spark, chunk_chars):
             want.add((i, k))
         texts.append((i, " ".join(t)))
     texts += [(300, None), (301, ""), (None, items[0][1]), (302, "w1 " * 40_000 + items[1][1]), (303, items[2][1] + " . " + items[3][1])]
-    want |= {(None, 0), (302, 1), (303, 2), (303, 3)}
+    texts += [(304, "W1, w2!"), (305, "w1 w2 w3"), (306, "alone")]
+    want |= {(None, 0), (302, 1), (303, 2), (303, 3), (304, 52), (306, 53)}
     d = spark.createDataFrame(texts, TEXT).withColumn("score", F.lit("clash"))
-    b = spark.createDataFrame([*items, items[4], (50, None), (51, ""), (52, "w1 w2"), (None, "w1 w2 w3 w4 w5")], "item_id bigint, text string")
-    got = decontaminate.contaminated(d, b, chunk_chars=chunk_chars).collect()
+    b = spark.createDataFrame([*items, items[4], (50, None), (51, ""), (52, "w1 w2"), (53, "alone"), (54, "!"), (None, "w1 w2 w3 w4 w5")], "item_id bigint, text string")
+    got = decontaminate.contaminated(d, b, max_broadcast_rows=most).collect()
     assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
     assert all(decontaminate.THRESHOLD <= r.score <= 1 for r in got)
     assert decontaminate.contaminated(spark.createDataFrame([], TEXT), b).count() == 0
@@ -204,6 +205,36 @@ def test_contaminated_by_edited_copies_beside_exact_ones(spark):
     assert all(abs(r.score - brute_alignment(by[r.item_id], texts[r.doc_id][1]) / (2 * r.item_id)) < 1e-9 for r in got)
 
 
+def test_contaminated_against_alignment_of_every_pair(spark):
+    """Copies with words replaced, inserted, left out and moved, among texts of the items' words."""
+    rng = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(60)]
+    items = [(i, rng.choices(vocabulary, k=rng.randint(3, 25))) for i in range(14)]
+    texts = []
+    for i in range(110):
+        copy = list(rng.choice(items)[1])
+        for _ in range(rng.randint(0, max(1, len(copy) // 3))):
+            p = rng.randrange(len(copy))
+            kind = rng.randrange(4)
+            if kind == 0:
+                copy[p] = rng.choice(vocabulary)
+            elif kind == 1:
+                copy.insert(p, rng.choice(vocabulary))
+            elif len(copy) > 2:
+                w = copy.pop(p)
+                if kind == 2:
+                    copy.insert(rng.randrange(len(copy)), w)
+        around = [rng.choices(vocabulary, k=rng.randint(0, 30)) for _ in range(2)]
+        texts.append((i, around[0] + copy + around[1]))
+    want = {(i, k): brute_alignment(w, t) / (2 * len(w)) for i, t in texts for k, w in items}
+    want = {pair: score for pair, score in want.items() if score >= decontaminate.THRESHOLD}
+    got = decontaminate.contaminated(
+        spark.createDataFrame([(i, " ".join(t)) for i, t in texts], TEXT), spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id bigint, text string")
+    ).collect()
+    assert 60 < len(want) and {(r.doc_id, r.item_id) for r in got} == set(want) and len(got) == len(want)
+    assert all(abs(r.score - want[r.doc_id, r.item_id]) < 1e-9 for r in got)
+
+
 def test_quality(spark):
     rng = random.Random(7)
     rows, labels = [], []
