@@ -1,5 +1,7 @@
 """Top-k, WARC, HTML and toxicity."""
 
+import base64
+import gzip
 import hashlib
 import math
 import random
@@ -87,17 +89,74 @@ def test_round_trip(spark):
     assert warc.round_trip(spark.createDataFrame([], PAGE)).count() == 0
 
 
-def test_chain_ends_at_damage(spark, tmp_path):
-    def rec(i, body):
-        return f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nContent-Length: {len(body)}\r\n\r\n{body}\r\n\r\n".encode()
+def record(i, body, version="1.1", more="", http=False):
+    kind = "Content-Type: application/http; msgtype=response\r\n" if http else "Content-Type: text/plain\r\n"
+    body = body if isinstance(body, bytes) else body.encode()
+    return f"WARC/{version}\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\n{kind}{more}Content-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+
+
+def archive_rows(spark, path):
+    got = warc.read(spark, str(path)).withColumn("f", F.substring_index("file", "/", -1)).collect()
+    return {f: sorted((r.offset, r.type, r.id, r.payload_bytes, r.payload_digest, r.body_ok) for r in got if r.f == f) for f in {r.f for r in got}}
 
-    (tmp_path / "a.warc").write_bytes(rec(1, "one") + rec(2, "two") + b"garbage\r\n\r\n" + rec(3, "three"))
-    (tmp_path / "b.warc").write_bytes(b"".join(rec(i, "x" * 200_000) for i in range(40)))
+
+def test_chain_ends_at_damage(spark, tmp_path):
+    one, two, three = record(1, "one"), record(2, "two"), record(3, "three")
+    (tmp_path / "a.warc").write_bytes(one + two + b"garbage\r\n\r\n" + three)
+    (tmp_path / "b.warc").write_bytes(b"".join(record(i, "x" * 200_000) for i in range(40)))
     (tmp_path / "c.warc").write_bytes(b"nothing")
     (tmp_path / "d.warc").write_bytes(b"")
-    got = warc.read(spark, str(tmp_path)).select(F.substring_index("file", "/", -1).alias("f"), "id").collect()
-    assert sorted(r.id for r in got if r.f == "a.warc") == ["urn:page:1", "urn:page:2"]
-    assert len([r for r in got if r.f == "b.warc"]) == 40 and not [r for r in got if r.f == "c.warc"]
+    (tmp_path / "e.warc").write_bytes(one + three[:-10])
+    (tmp_path / "f.warc").write_bytes(one + two[:-4])
+    (tmp_path / "g.warc").write_bytes(one.replace(b"Length: 3", b"Length: 2") + two)
+    got = archive_rows(spark, tmp_path)
+    assert [x[2] or x[:2] for x in got["a.warc"]] == ["urn:page:1", "urn:page:2", (len(one + two), warc.BROKEN)]
+    assert len(got["b.warc"]) == 40 and all(x[1] == "response" for x in got["b.warc"])
+    assert [x[:2] for x in got["c.warc"]] == [(0, warc.BROKEN)] and "d.warc" not in got
+    assert [x[:2] for x in got["e.warc"]] == [(0, "response"), (len(one), warc.BROKEN)]
+    assert [x[2] for x in got["f.warc"]] == ["urn:page:1", "urn:page:2"]
+    assert [x[1] for x in got["g.warc"]][-1] == warc.BROKEN and len(got["g.warc"]) <= 2
+
+
+def test_versions_digests_and_folded_headers(spark, tmp_path):
+    sha = hashlib.sha1(b"body").digest()
+    records = [
+        record(1, "body", "1.0", f"WARC-Payload-Digest: sha1:{base64.b32encode(sha).decode()}\r\n"), record(2, "body", "1.1", f"WARC-Payload-Digest:\r\n sha1:{sha.hex()}\r\n"),
+        record(3, "body", "1.0", "WARC-Payload-Digest: sha1:" + "0" * 40 + "\r\n"), record(4, b"\xff\x00\r\n\r\n\xfe", "1.0", "X-Long: a\r\n\tb\r\n c\r\n"), record(5, "HTTP/1.1 200 OK\r\n\r\nhello", http=True),
+    ]
+    (tmp_path / "a.warc").write_bytes(b"".join(records))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records))
+    got = archive_rows(spark, tmp_path)
+    assert got["a.warc"] == got["b.warc.gz"]
+    assert [(x[2][-1], x[3], x[5]) for x in got["a.warc"]] == [("1", 4, True), ("2", 4, True), ("3", 4, False), ("4", 7, True), ("5", 5, True)]
+    assert got["a.warc"][3][4] == hashlib.sha1(b"\xff\x00\r\n\r\n\xfe").hexdigest()
+    members = [gzip.compress(r) for r in records]
+    (tmp_path / "b.warc.gz").write_bytes(b"".join([*members[:3], members[3][:30] + b"\0\0\0\0" + members[3][34:], members[4]]))
+    with pytest.raises(Exception):
+        archive_rows(spark, tmp_path)
+
+
+def test_archives_in_many_splits(spark, tmp_path):
+    """Splits of some kB through records of all lengths, with magic inside payloads that cross the splits."""
+    rng = random.Random(8)
+    records, want, at = [], [], 0
+    for i in range(300):
+        fake = record(1000 + i, "evil")
+        body = rng.choice([b"", b"x", fake, b"\r\n\r\n" + fake * rng.randint(1, 200), bytes(rng.choices(range(256), k=rng.randint(1, 9000)))])
+        r = record(i, body)
+        want.append((at, "response", f"urn:page:{i}", len(body), hashlib.sha1(body).hexdigest(), True))
+        records.append(r)
+        at += len(r)
+    (tmp_path / "a.warc").write_bytes(b"".join(records))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    keep = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7001b")
+    try:
+        assert warc._lines(spark, str(tmp_path / "a.warc")).select("split").distinct().count() > 30
+        got = archive_rows(spark, tmp_path)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", keep)
+    assert got["a.warc"] == want and got["b.warc.gz"] == want
 
 
 # HTML
