@@ -47,19 +47,13 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(_APART).split()
 
 
-def terms_of(word: bytes) -> tuple[str, ...]:
-    """The word and its prefixes, marked by a star."""
-    w = word.decode("utf-8", "replace")
-    return (w, *(w[:n] + "*" for n in PREFIXES if len(w) > n))
-
-
 def held_out(key: Column) -> Column:
     """Rows of which labels are never learned: crc32 of the key as text leaves 1 on division by 3."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 class Vocabulary:
-    """Numbers of terms. The terms of a word are remembered, for up to CACHE words."""
+    """Numbers of terms: words, and their prefixes, marked by a star. The terms of up to CACHE words are remembered."""
 
     def __init__(self, number: dict[str, int], grow: bool = False) -> None:
         self.number, self.grow = number, grow
@@ -77,21 +71,35 @@ class Vocabulary:
     def __setstate__(self, state: dict) -> None:
         self.__init__(state["number"])
 
-    def _learn(self, word: bytes) -> int:
+    def _learn(self, words: list[bytes]) -> list[int]:
+        """Places of words that are new, after their terms are noted."""
+        number, flat, ends = self.number, [], []
         if self.grow:
-            got = [self.number.setdefault(t, len(self.number)) for t in terms_of(word)]
+            get = lambda term: number.setdefault(term, len(number))
         else:
-            got = [n for t in terms_of(word) if (n := self.number.get(t)) is not None]
+            get = number.get
+        for word in words:
+            w = word.decode("utf-8", "replace")
+            flat.append(get(w))
+            for n in PREFIXES:
+                if len(w) <= n:
+                    break
+                flat.append(get(w[:n] + "*"))
+            ends.append(len(flat))
+        held = np.array([-1 if t is None else t for t in flat], np.int64)
+        ends = np.concatenate([[0], np.cumsum(held >= 0)])[ends]
+        held = held[held >= 0]
         place = len(self.places)
-        if place + 2 > len(self.ends):
+        while place + len(words) + 1 > len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
         at = int(self.ends[place])
-        if at + len(got) > len(self.flat):
+        while at + len(held) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[at : at + len(got)] = got
-        self.ends[place + 1] = at + len(got)
-        self.places[word] = place
-        return place
+        self.flat[at : at + len(held)] = held
+        self.ends[place + 1 : place + 1 + len(words)] = at + ends
+        new = list(range(place, place + len(words)))
+        self.places.update(zip(words, new, strict=True))
+        return new
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The terms of a text by number, ascending, and how often it has each."""
@@ -102,7 +110,8 @@ class Vocabulary:
             self._forget()
         places = list(map(self.places.get, often))
         if None in places:
-            places = [self._learn(w) if p is None else p for p, w in zip(places, often, strict=True)]
+            new = iter(self._learn([w for p, w in zip(places, often, strict=True) if p is None]))
+            places = [next(new) if p is None else p for p in places]
         places = np.array(places, np.int64)
         at, n = _ranges(self.ends[places], self.ends[places + 1])
         terms, where = np.unique(self.flat[at], return_inverse=True)
