@@ -145,14 +145,17 @@ def identity_key() -> list[Column]:
     ]
 
 
-def paint(glyphs: list[tuple[int, int, np.ndarray]], height: int, width: int, blend: bool = True) -> tuple[np.ndarray, int, tuple[int, int, int, int] | None, list[bool]]:
+def paint(glyphs: list[tuple[int, int, np.ndarray]], height: int, width: int, blend: bool = True, boxes: list | None = None) -> tuple[np.ndarray, int, tuple[int, int, int, int] | None, list[bool]]:
     """Glyphs (x, y, pixels) on a canvas: (canvas, overwrites, box of drawn pixels or None, whether each drew nothing).
 
-    Pixels outside the canvas are left out, so a glyph wholly outside counts as having drawn nothing.
+    Pixels outside the canvas are left out, so a glyph wholly outside counts as having drawn nothing. boxes: for each
+    glyph the corners (left, top, right, bottom) of a rectangle to draw first, or None.
     """
     canvas = np.zeros((height, width), np.uint8)
     overwrites, box, empty = 0, None, []
-    for x, y, g in glyphs:
+    for k, (x, y, g) in enumerate(glyphs):
+        if boxes and boxes[k]:
+            outline(canvas, *boxes[k])
         top, left = max(0, -y), max(0, -x)
         part = g[top : max(top, min(g.shape[0], height - y)), left : max(left, min(g.shape[1], width - x))]
         drawn = part > 0
@@ -170,6 +173,17 @@ def paint(glyphs: list[tuple[int, int, np.ndarray]], height: int, width: int, bl
     return canvas, overwrites, box, empty
 
 
+def outline(canvas: np.ndarray, left: int, top: int, right: int, bottom: int, grey: int = 128) -> None:
+    """A rectangle one pixel wide, corners included, as far as it lies on the canvas."""
+    rows, cols = slice(max(0, top), max(0, bottom + 1)), slice(max(0, left), max(0, right + 1))
+    for y in (top, bottom):
+        if 0 <= y < canvas.shape[0]:
+            canvas[y, cols] = grey
+    for x in (left, right):
+        if 0 <= x < canvas.shape[1]:
+            canvas[rows, x] = grey
+
+
 def recognition_crop(canvas: np.ndarray, box: tuple[int, int, int, int] | None, pad: int) -> np.ndarray | None:
     """The drawn part with a margin, dark on light; None if nothing is drawn."""
     if box is None:

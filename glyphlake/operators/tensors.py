@@ -96,6 +96,26 @@ def categorical_cross_entropy(logits: Column, target: Column) -> Column:
     return F.log(_total(F.transform(logits, lambda v: F.exp(v - top)))) + top - F.element_at(logits, (target + 1).cast("int"))
 
 
+def reconstruction(logits: Column, target: Column) -> Column:
+    """Binary cross entropy of an array of logits, summed."""
+    return _total(F.zip_with(logits, target, cross_entropy_of_logit))
+
+
+def batch_loss(rows: DataFrame, rebuilt: str = "rebuilt", divergence: str = "kld", channels: int = 1) -> DataFrame:
+    """(loss, n): losses of reconstruction and divergences summed over a batch, divided by its size and by the channels."""
+    n = F.count(F.lit(1))
+    return rows.agg(((F.sum(rebuilt) + F.sum(divergence)) / n / channels).alias("loss"), n.alias("n"))
+
+
+def save_moments(moments: DataFrame, path: str) -> None:
+    """Moments (channel, mean, std) as a table of one file, for other runs to normalise by."""
+    moments.select("channel", "mean", "std").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_moments(spark, path: str) -> DataFrame:
+    return spark.read.schema("channel int, mean double, std double").parquet(path)
+
+
 def weighted_loss(losses: DataFrame, loss: str = "loss", n: str = "n") -> DataFrame:
     return losses.agg((F.sum(F.col(loss) * F.col(n)) / F.sum(n)).alias("loss"))
 
@@ -106,8 +126,9 @@ def reparameterised(mu: Column, log_sigma: Column, noise: Column) -> Column:
 
 
 def noise(n: int, key: Column, seed: int = 0) -> Column:
-    """n standard normal numbers that depend on key and seed only (Box-Muller on hashes)."""
-    unit = lambda i, k: (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), key, i), F.lit((1 << 53) - 1)) + 1) / float(1 << 53)
+    """n standard normal numbers that depend on key and seed only (Box-Muller on 52 bits of MD5, which any engine has)."""
+    text = lambda i, k: F.concat_ws(":", F.lit(str(seed)), F.lit(str(k)), key.cast("string"), i.cast("string"))
+    unit = lambda i, k: (F.conv(F.substring(F.md5(text(i, k)), 1, 13), 16, 10).cast("double") + 1) / float(1 << 52)
     return F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.sqrt(-2 * F.log(unit(i, 0))) * F.cos(2 * 3.141592653589793 * unit(i, 1)))
 
 

@@ -39,11 +39,16 @@ def distance_verdict(distance: Column) -> Column:
     return F.when(distance == 0, "keep").otherwise(F.format_string("%03d", distance))
 
 
-def merged_stats(df: DataFrame, *keys: str) -> DataFrame:
-    """Statistics of several records as one: flags or-ed, lists joined, counters summed, boxes united."""
+def merged_stats(df: DataFrame, *keys: str, lists: bool = False) -> DataFrame:
+    """Statistics of several records as one: flags or-ed, lengths of lists and counters summed, boxes united.
+
+    With lists, the lists themselves are joined too: for groups that are known to be small, as the lines of one font are.
+    """
+    names = {"char_loads_failed": "n_failed", "matched": "n_matched", "empty": "n_empty"}
     return df.groupBy(*keys).agg(
         F.bool_or("font_not_loaded").alias("font_not_loaded"),
-        *(F.flatten(F.collect_list(c)).alias(c) for c in ("char_loads_failed", "matched", "empty")),
+        *(F.sum(F.size(c).cast("bigint")).alias(n) for c, n in names.items()),
+        *(F.flatten(F.collect_list(c)).alias(c) for c in names if lists),
         *(F.sum(c).alias(c) for c in ("out_of_image", "out_of_cell", "overwrites")),
         F.struct(F.min("bbox.l").alias("l"), F.min("bbox.t").alias("t"), F.max("bbox.r").alias("r"), F.max("bbox.b").alias("b")).alias("bbox"),
     )

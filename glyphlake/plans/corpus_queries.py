@@ -53,10 +53,10 @@ def duplicate_verdict(spark, sf_dir):
     return glyphs.duplicate_verdict(table(spark, sf_dir, "embeddings"), match_sets(spark, sf_dir), allowed, "vec_id")
 
 
-@query("match_set_report", f"SELECT vec_id, match_set FROM ({SETS_SQL}) WHERE match_set = '%.'")
+@query("match_set_report", f"SELECT vec_id, match_set FROM ({SETS_SQL}) WHERE match_set = '9@'")
 def match_set_report(spark, sf_dir):
     """Only the records with one given match set."""
-    return match_sets(spark, sf_dir).where(F.col("match_set") == "%.")
+    return match_sets(spark, sf_dir).where(F.col("match_set") == "9@")
 
 
 # documents as files of a corpus: the path has an extension that depends on the id
@@ -85,14 +85,14 @@ def bucket_rename(spark, sf_dir):
 
 
 @query("rename_map", f"""
-WITH f AS (SELECT {FILE} AS path FROM documents WHERE doc_id < 100), e AS (SELECT path, {SUFFIX_SQL} AS suffix FROM f),
+WITH f AS (SELECT {FILE} AS path FROM documents), e AS (SELECT path, {SUFFIX_SQL} AS suffix FROM f),
 n AS (SELECT *, row_number() OVER (PARTITION BY suffix ORDER BY md5('42:' || path), path) - 1 AS seq FROM e)
-SELECT substr(suffix, 2) AS ext, count(*) AS n, string_agg(format('{{:07d}}', seq) || '=' || path, ',' ORDER BY seq) AS entries FROM n GROUP BY suffix""")
+SELECT substr(suffix, 2) AS ext, (seq // 1000)::BIGINT AS part, count(*) AS n, string_agg(format('{{:07d}}', seq) || '=' || path, ',' ORDER BY seq) AS entries FROM n GROUP BY suffix, part""")
 def rename_map(spark, sf_dir):
-    """The manifest of each bucket as one row; over the reports' part of the corpus, as the sink writes it."""
-    b = manifest.bucketed(files(spark, sf_dir).where("doc_id < 100").select("path"))
+    """The manifest of each bucket in parts of a thousand entries, so that no row grows with the corpus."""
+    b = manifest.bucketed(files(spark, sf_dir).select("path")).withColumn("part", F.floor(F.col("seq") / 1000))
     entries = F.array_sort(F.collect_list(F.struct("seq", F.concat(text.padded(F.col("seq"), 7), F.lit("="), F.col("orig_path")).alias("e"))))
-    return b.groupBy("ext").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(entries, lambda x: x["e"]), ",").alias("entries"))
+    return b.groupBy("ext", "part").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(entries, lambda x: x["e"]), ",").alias("entries"))
 
 
 @query("file_parts", f"""
@@ -104,15 +104,16 @@ def file_parts(spark, sf_dir):
 
 
 @query("exact_dedupe", """
-SELECT strlen(text)::BIGINT AS length, sha256(text) AS digest, min(doc_id) AS keeper, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY ALL""")
+SELECT strlen(coalesce(text, ''))::BIGINT AS length, sha256(coalesce(text, '')) AS digest, min(doc_id) AS keeper, count(*) AS copies FROM documents GROUP BY ALL""")
 def exact_dedupe(spark, sf_dir):
-    return dedupe.keepers(table(spark, sf_dir, "documents").where("text IS NOT NULL"), "doc_id", "text")
+    """Null texts are empty contents."""
+    return dedupe.keepers(table(spark, sf_dir, "documents").fillna("", ["text"]), "doc_id", "text")
 
 
 @query("dedupe_log", """
-SELECT doc_id, keeper FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS keeper FROM documents WHERE text IS NOT NULL) WHERE doc_id <> keeper""")
+SELECT doc_id, keeper FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(coalesce(text, ''))) AS keeper FROM documents) WHERE doc_id <> keeper""")
 def dedupe_log(spark, sf_dir):
-    return dedupe.log(table(spark, sf_dir, "documents").where("text IS NOT NULL"), "doc_id", "text")
+    return dedupe.log(table(spark, sf_dir, "documents").fillna("", ["text"]), "doc_id", "text")
 
 
 SPLIT_SQL = """
@@ -132,12 +133,13 @@ def split_counts(spark, sf_dir):
 
 @query("cross_split_dedupe", f"""
 SELECT doc_id, keeper FROM (
-  SELECT doc_id, arg_min(doc_id, (CASE split WHEN 'test' THEN 0 WHEN 'validation' THEN 1 ELSE 2 END, doc_id)) OVER (PARTITION BY sha256(text)) AS keeper
-  FROM ({SPLIT_SQL}) WHERE text IS NOT NULL) WHERE doc_id <> keeper""")
+  SELECT doc_id, arg_min(doc_id, (CASE split WHEN 'test' THEN 0 WHEN 'validation' THEN 1 ELSE 2 END, doc_id)) OVER (PARTITION BY sha256(coalesce(text, ''))) AS keeper
+  FROM ({SPLIT_SQL})) WHERE doc_id <> keeper""")
 def cross_split_dedupe(spark, sf_dir):
     """Copies across the splits: the row of test stays before validation before train, so nothing leaks into training."""
-    d = ranking.split(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", 0.2, 0.1).where("text IS NOT NULL")
-    return dedupe.log(d, "doc_id", "text", F.expr("CASE split WHEN 'test' THEN 0 WHEN 'validation' THEN 1 ELSE 2 END"))
+    hashed = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"))
+    d = ranking.split(hashed, "doc_id", 0.2, 0.1)  # ranks are sorted with digests, not with texts
+    return dedupe.log(d, "doc_id", "digest", F.expr("CASE split WHEN 'test' THEN 0 WHEN 'validation' THEN 1 ELSE 2 END"))
 
 
 @query("capped_scan", f"SELECT path FROM (SELECT {FILE} AS path FROM documents) ORDER BY path LIMIT 25")
@@ -219,7 +221,7 @@ def merged_stats(spark, sf_dir):
     s = _stats(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
     s = s.withColumn("bbox", F.struct(F.col("doc_id").alias("l"), F.col("doc_id").alias("t"), F.col("doc_id").alias("r"), F.col("doc_id").alias("b")))
     m = verdicts.merged_stats(s, "source")
-    return m.select("source", "font_not_loaded", F.size("char_loads_failed").cast("bigint").alias("n_failed"), F.size("empty").cast("bigint").alias("n_empty"), "out_of_cell", "bbox.l", "bbox.r")
+    return m.select("source", "font_not_loaded", "n_failed", "n_empty", "out_of_cell", "bbox.l", "bbox.r")
 
 
 @query("review_queue", """

@@ -79,9 +79,10 @@ def duplicate_fonts(spark: SparkSession, font_dir: str, whitelist: str | None =
 IMAGE = "image_id string, height int, width int, data binary, overwrites long, out_of_cell long, out_of_image long, empty array<string>"
 
 
-def atlas_images(spark: SparkSession, font_dir: str, lines: list[str], dpi: int = 300, point: int = 12, border: int = -1, padding: int = -1, offset: int = -1, cells: bool = True, count: int = 0) -> DataFrame:
+def atlas_images(spark: SparkSession, font_dir: str, lines: list[str], dpi: int = 300, point: int = 12, border: int = -1, padding: int = -1, offset: int = -1, cells: bool = True, count: int = 0, highlight: str = "") -> DataFrame:
     """One image for each font that loads, with its counters: glyphs in cells, or along a continuous pen.
 
+    Cells of the symbols in `highlight` get a grey rectangle, which counts as drawn where the glyph meets it.
     A font's glyphs are gathered in one task; their number is the atlas's.
     """
     lit = F.lit
@@ -98,16 +99,20 @@ def atlas_images(spark: SparkSession, font_dir: str, lines: list[str], dpi: int
         # offsets are from the middle of the cell across and from half an em down
         x, y = left + half + F.col("off_x"), top + half + F.col("off_y") - low
     else:
-        x, y = pad + F.col("pen_x") + F.col("bitmap_left"), top + em - low + F.col("pen_y") - F.col("bitmap_top")
+        # the pen starts a border above the lower bound of the row's cells
+        line = top + 2 * half + gap // 2 - gap - low
+        x, y = pad + F.col("pen_x") + F.col("bitmap_left"), line + F.col("pen_y") - F.col("bitmap_top")
     g = g.withColumn("x", x.cast("int")).withColumn("y", y.cast("int"))
-    bounds = (left - gap // 2, top - gap // 2, left + em + gap // 2, top + em + gap // 2)
+    marked = F.lit(cells) & (F.position("ch", F.lit(highlight)) > 0) if highlight else F.lit(False)
+    g = g.withColumn("box", F.when(marked, F.array((left).cast("int"), (top).cast("int"), (left + 2 * half + 1).cast("int"), (top + 2 * half).cast("int"))))
+    bounds = (left - gap // 2, top - gap // 2, left + 2 * half + gap // 2, top + 2 * half + gap // 2)
     g = g.withColumn("o", geometry.overflow(F.col("x"), F.col("y"), F.col("width"), F.col("rows"), bounds, (lit(width), lit(height)))).select("*", "o.*")
 
     def paint(t: pa.Table) -> pa.Table:
         t = t.sort_by([("row", "ascending"), ("idx", "ascending")])
-        rows = t.select(["x", "y", "rows", "width", "bitmap", "ch"]).to_pylist()
+        rows = t.select(["x", "y", "rows", "width", "bitmap", "ch", "box"]).to_pylist()
         parts = [(r["x"], r["y"], np.frombuffer(r["bitmap"], np.uint8).reshape(r["rows"], r["width"])) for r in rows]
-        canvas, over, _, empty = raster.paint(parts, height, width)
+        canvas, over, _, empty = raster.paint(parts, height, width, boxes=[r["box"] for r in rows])
         out_cell = sum(t["out_of_cell"].to_pylist()) if cells else 0
         none = [r["ch"] for r, e in zip(rows, empty, strict=True) if e and r["ch"] != " "]
         return pa.table({

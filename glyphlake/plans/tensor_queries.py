@@ -29,17 +29,17 @@ def quantize(spark, sf_dir):
     return _long(spark, sf_dir).select("vec_id", "channel", F.round(t.quantised(F.col("value"), 4), 6).alias("q"))
 
 
-@query("one_hot", f"SELECT vec_id, channel, array_to_string(list_transform(range(0, 4), lambda i: (i = round_even(value * 3, 0)::INT)::INT), '') AS onehot FROM ({LONG_SQL}) WHERE channel < 4")
+@query("one_hot", f"SELECT vec_id, channel, array_to_string(list_transform(range(0, 4), lambda i: (i = round_even(value * 3, 0)::INT)::INT), '') AS onehot FROM ({LONG_SQL})")
 def one_hot(spark, sf_dir):
-    l = _long(spark, sf_dir).where("channel < 4")
+    l = _long(spark, sf_dir)
     labels = t.one_hot(t.bucket(F.col("value"), 4), 4)
     return l.select("vec_id", "channel", F.array_join(F.transform(labels, lambda x: x.cast("string")), "").alias("onehot"))
 
 
-@query("flatten_labels", f"SELECT vec_id, channel, round(round_even(value * 3, 0) / 3, 6) AS value FROM ({LONG_SQL}) WHERE channel < 4")
+@query("flatten_labels", f"SELECT vec_id, channel, round(round_even(value * 3, 0) / 3, 6) AS value FROM ({LONG_SQL})")
 def flatten_labels(spark, sf_dir):
     """Labels back to values: equal to the quantised values."""
-    l = _long(spark, sf_dir).where("channel < 4").withColumn("labels", t.one_hot(t.bucket(F.col("value"), 4), 4))
+    l = _long(spark, sf_dir).withColumn("labels", t.one_hot(t.bucket(F.col("value"), 4), 4))
     return l.select("vec_id", "channel", F.round(t.from_labels(F.col("labels"), 4), 6).alias("value"))
 
 
@@ -72,11 +72,14 @@ def kld(spark, sf_dir):
 
 
 @query("bce", f"""
-SELECT vec_id, round(sum(-(z * CASE WHEN p > 0 THEN greatest(ln(p), -100) ELSE -100 END + (1 - z) * CASE WHEN 1 - p > 0 THEN greatest(ln(CASE WHEN p < 1 THEN 1 - p END), -100) ELSE -100 END)), 5) AS bce
-FROM (SELECT vec_id, CASE WHEN value > 0 THEN value END AS p0, value AS v, (channel % 2)::DOUBLE AS z, CASE WHEN value > 0 THEN value ELSE 1e-50 END AS p FROM ({LONG_SQL}) WHERE value > 0) GROUP BY vec_id""")
+SELECT vec_id, round(sum(-(z * CASE WHEN v > 0 THEN greatest(ln(CASE WHEN v > 0 THEN v ELSE 1 END), -100) ELSE -100 END
+                           + (1 - z) * CASE WHEN v < 1 THEN greatest(ln(CASE WHEN v < 1 THEN 1 - v ELSE 1 END), -100) ELSE -100 END)), 5) AS bce
+FROM (SELECT vec_id, CASE WHEN (vec_id + channel) % 50 = 0 THEN 0 WHEN (vec_id + channel) % 50 = 1 THEN 1 ELSE value END AS v, (channel % 2)::DOUBLE AS z FROM ({LONG_SQL})) GROUP BY vec_id""")
 def bce(spark, sf_dir):
-    l = _long(spark, sf_dir).where("value > 0")
-    loss = t.cross_entropy_of_probability(F.col("value"), (F.col("channel") % 2).cast("double"))
+    l = _long(spark, sf_dir)
+    at = (F.col("vec_id") + F.col("channel")) % 50  # some probabilities of 0 and 1, where the logarithm is cut
+    p = F.when(at == 0, 0.0).when(at == 1, 1.0).otherwise(F.col("value"))
+    loss = t.cross_entropy_of_probability(p, (F.col("channel") % 2).cast("double"))
     return l.groupBy("vec_id").agg(F.round(F.sum(loss), 5).alias("bce"))
 
 
@@ -137,9 +140,39 @@ def grid_layout(spark, sf_dir):
     return e.join(F.broadcast(n)).select("vec_id", t.grid_position(F.col("vec_id"), F.col("n")).alias("g")).select("vec_id", "g.*")
 
 
-@query("reparameterise")
+@query("reparameterise", """
+SELECT vec_id, i::INT AS i, round(embedding[i]::DOUBLE + sqrt(-2 * ln(u)) * cos(2 * 3.141592653589793::DOUBLE * v) * exp(embedding[i + 32]::DOUBLE / 2), 6) AS z
+FROM (SELECT vec_id, embedding, i, (('0x' || substr(md5('0:0:' || vec_id || ':' || i), 1, 13))::BIGINT + 1) / 4503599627370496::DOUBLE AS u,
+             (('0x' || substr(md5('0:1:' || vec_id || ':' || i), 1, 13))::BIGINT + 1) / 4503599627370496::DOUBLE AS v
+      FROM (SELECT vec_id, embedding, unnest(range(1, 33)) AS i FROM embeddings))""")
 def reparameterise(spark, sf_dir):
     """mu + noise * exp(log sigma / 2); the noise depends on the vector and a seed only."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
     z = t.reparameterised(F.slice("e", 1, 32), F.slice("e", 33, 32), t.noise(32, F.col("vec_id")))
-    return e.select("vec_id", z.alias("z"))
+    return e.select("vec_id", F.posexplode(z).alias("i", "z")).select("vec_id", (F.col("i") + 1).alias("i"), F.round("z", 6).alias("z"))
+
+
+@query("vae_loss", """
+WITH e AS (SELECT vec_id, embedding, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+b AS (SELECT vec_id, sum(greatest(x, 0) - x * z + ln(1 + exp(-abs(x)))) AS bce FROM (SELECT vec_id, unnest(e) AS x, (unnest(range(0, len(e))) % 2)::DOUBLE AS z FROM e) GROUP BY vec_id),
+k AS (SELECT vec_id, -0.5 * list_sum(list_transform(range(1, 33), lambda i: 1 + e[i + 32] - e[i] * e[i] - exp(e[i + 32]))) AS kld FROM e)
+SELECT round((avg(bce) + avg(kld)) / 4, 5) AS loss, count(*) AS n FROM b JOIN k USING (vec_id)""")
+def vae_loss(spark, sf_dir):
+    """Reconstruction from logits and divergence, per sample and channel, as one figure of the whole table as a batch."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    target = F.transform("e", lambda _, i: (i % 2).cast("double"))
+    row = e.select(t.reconstruction(F.col("e"), target).alias("rebuilt"), t.kl_divergence(F.slice("e", 1, 32), F.slice("e", 33, 32)).alias("kld"))
+    return t.batch_loss(row, channels=4).withColumn("loss", F.round("loss", 5))
+
+
+@query("multi_channel_loss", """
+WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+c AS (SELECT vec_id, sum(ln(list_sum(list_transform(e[16 * ch + 1:16 * ch + 10], lambda v: exp(v)))) - e[16 * ch + 1 + (label + ch) % 10]) AS ce FROM e, (SELECT unnest(range(0, 4)) AS ch) GROUP BY vec_id),
+k AS (SELECT vec_id, -0.5 * list_sum(list_transform(range(1, 33), lambda i: 1 + e[i + 32] - e[i] * e[i] - exp(e[i + 32]))) AS kld FROM e)
+SELECT round((avg(ce) + avg(kld)) / 4, 5) AS loss, count(*) AS n FROM c JOIN k USING (vec_id)""")
+def multi_channel_loss(spark, sf_dir):
+    """Cross entropies of four channels with ten classes each, and divergence, per sample and channel."""
+    e = table(spark, sf_dir, "embeddings").select("label", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    losses = [t.categorical_cross_entropy(F.slice("e", 16 * ch + 1, 10), (F.col("label") + ch) % 10) for ch in range(4)]
+    row = e.select(sum(losses[1:], losses[0]).alias("rebuilt"), t.kl_divergence(F.slice("e", 1, 32), F.slice("e", 33, 32)).alias("kld"))
+    return t.batch_loss(row, channels=4).withColumn("loss", F.round("loss", 5))

@@ -61,9 +61,11 @@ def byte_levenshtein(spark, sf_dir):
     return j.select("p_partkey", text.edit_distance(F.concat("p_name", F.lit("é")), F.col("c_mktsegment"), "byte").alias("distance"))
 
 
-@query("naive_levenshtein", "SELECT p_partkey, CASE WHEN p_name = '' OR p_type = '' THEN 0 ELSE levenshtein(p_name, p_type) END::BIGINT AS distance FROM part")
+@query("naive_levenshtein", "SELECT p_partkey, CASE WHEN p_name = '' OR p_type = '' THEN 0 ELSE levenshtein(p_name, p_type) END::BIGINT AS distance FROM (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE p_name END AS p_name, CASE WHEN p_partkey % 11 = 0 THEN '' ELSE p_type END AS p_type FROM part)")
 def naive_levenshtein(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", text.edit_distance(F.col("p_name"), F.col("p_type"), naive_empty=True).alias("distance"))
+    """Some sides are empty, which this variant counts as no distance."""
+    side = lambda c, n: F.when(F.col("p_partkey") % n == 0, "").otherwise(F.col(c))
+    return table(spark, sf_dir, "part").select("p_partkey", text.edit_distance(side("p_name", 7), side("p_type", 11), naive_empty=True).alias("distance"))
 
 
 @query("ascii_lower", f"SELECT conv_id, turn, {LOWER_SQL.format('text')} AS lowered FROM conversations")
@@ -85,9 +87,10 @@ def atlas_lines(spark, sf_dir):
 
 @query("atlas_split", r"""
 SELECT conv_id, turn, len(string_split(regexp_replace(text, '\n$', ''), chr(10)))::INT AS n_lines,
-       array_to_string(list_transform(string_split(regexp_replace(text, '\n$', ''), chr(10)), lambda x: x || chr(10)), '') AS atlas FROM conversations WHERE text IS NOT NULL""")
+       array_to_string(list_transform(string_split(regexp_replace(text, '\n$', ''), chr(10)), lambda x: x || chr(10)), '') AS atlas
+FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations)""")
 def atlas_split(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where("text IS NOT NULL").withColumn("lines", text.split_atlas(F.col("text")))
+    c = table(spark, sf_dir, "conversations").fillna("", ["text"]).withColumn("lines", text.split_atlas(F.col("text")))
     return c.select("conv_id", "turn", F.size("lines").alias("n_lines"), text.atlas_text(F.col("lines")).alias("atlas"))
 
 

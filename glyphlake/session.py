@@ -30,11 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str):
 
 
 def checkpointed(df):
-    """df.checkpoint() in the folder of spark.checkpoint.dir, or in a new temporary one where that is unset."""
+    """df.checkpoint() in the folder of spark.checkpoint.dir, or in local mode in a new temporary one where that is unset."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir") and not sc.getCheckpointDir():
         import tempfile
 
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="glyphlake-checkpoint-"))
     return df.checkpoint()

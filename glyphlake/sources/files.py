@@ -13,14 +13,17 @@ SWEEP = "padding INT, point INT, dpi INT, offset INT, image_count INT, out_of_im
 def scan(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = True, content: bool = True, count: int = 0) -> DataFrame:
     """Regular files below path as (path, modificationTime, length[, content]); `count` takes the first by path, 0 all.
 
-    Without content the reader never opens the files.
+    Without content the reader never opens the files. With a count only the files of the first paths are opened; their
+    names come to the driver.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     columns = ["path", "modificationTime", "length"] + ["content"] * content
-    files = reader.load(path).select(*columns)
-    return files.orderBy("path").limit(count) if count else files
+    if count:
+        first = [r.path for r in reader.load(path).select("path").orderBy("path").limit(count).collect()]
+        return spark.read.format("binaryFile").load(first).select(*columns) if first else reader.load(path).select(*columns)
+    return reader.load(path).select(*columns)
 
 
 def line_set(spark: SparkSession, path: str | None, name: str = "match_set") -> DataFrame:

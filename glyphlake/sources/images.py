@@ -7,6 +7,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,10 +42,52 @@ def encode_png(height: int, width: int, pixels: bytes, level: int = 3) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + chunk(b"IDAT", deflate.compress(rows) + deflate.flush()) + chunk(b"IEND", b"")
 
 
+def lzw(data: bytes) -> bytes:
+    """LZW as TIFF has it: codes of 9 to 12 bits, high bit first, widened one code early."""
+    out, held, bits = bytearray(), 0, 0
+    table: dict[bytes, int] = {}
+    width, after, prefix = 9, 258, b""
+
+    def put(code: int) -> None:
+        nonlocal held, bits
+        held, bits = (held << width) | code, bits + width
+        while bits >= 8:
+            bits -= 8
+            out.append((held >> bits) & 255)
+        held &= (1 << bits) - 1
+
+    code_of = lambda s: s[0] if len(s) == 1 else table[s]
+    put(256)
+    for i in range(len(data)):
+        longer = prefix + data[i : i + 1]
+        if len(longer) == 1 or longer in table:
+            prefix = longer
+            continue
+        put(code_of(prefix))
+        table[longer] = after
+        after += 1
+        prefix = data[i : i + 1]
+        if after == 4094:  # the last code before the table is full
+            put(256)
+            table.clear()
+            width, after = 9, 258
+        elif after + 1 > 1 << width and width < 12:
+            width += 1
+    if prefix:
+        put(code_of(prefix))
+        after += 1
+        if after + 1 > 1 << width and width < 12:
+            width += 1
+    put(257)
+    if bits:
+        out.append((held << (8 - bits)) & 255)
+    return bytes(out)
+
+
 def encode_tiff(height: int, width: int, pixels: bytes) -> bytes:
-    """Grey little-endian TIFF, one strip, deflate (compression 8)."""
-    body = zlib.compress(pixels, 6)
-    tags = [(256, 4, width), (257, 4, height), (258, 3, 8), (259, 3, 8), (262, 3, 1), (273, 4, 8), (277, 3, 1), (278, 4, height), (279, 4, len(body))]
+    """Grey little-endian TIFF, one strip, LZW (compression 5)."""
+    body = lzw(pixels)
+    tags = [(256, 4, width), (257, 4, height), (258, 3, 8), (259, 3, 5), (262, 3, 1), (273, 4, 8), (277, 3, 1), (278, 4, height), (279, 4, len(body))]
     at = 8 + len(body) + len(body) % 2
     entries = b"".join(struct.pack("<HHII", t, k, 1, v) for t, k, v in tags)
     return struct.pack("<2sHI", b"II", 42, at) + body + b"\0" * (len(body) % 2) + struct.pack("<H", len(tags)) + entries + b"\0\0\0\0"
@@ -92,7 +135,9 @@ def pixels(images: DataFrame) -> DataFrame:
     """images with `pixels`, an array of numbers from 0 to 255."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = pa.array([list(d or b"") for d in batch.column("data").to_pylist()], pa.list_(pa.int16()))
+            data = [d.as_py() for d in batch.column("data")]
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int32))
+            values = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(data), np.uint8).astype(np.int16)))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("image_id", "height", "width")] + [values], names=["image_id", "height", "width", "pixels"])
 
     return images.where(F.col("data").isNotNull()).select("image_id", "height", "width", "data").mapInArrow(run, "image_id string, height int, width int, pixels array<smallint>")

@@ -3,6 +3,7 @@
 import shutil
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 from glyphlake.operators import raster
@@ -46,3 +47,16 @@ def test_atlas_and_ocr(spark, folder):
     assert [tuple(r) for r in programs.ocr_stats(d).collect()] == [(0, len(rows))]
     s = programs.sweep(spark, folder, ["AB"], [{"padding": 1, "point": 3, "dpi": 336, "offset": o} for o in (0, 1)])
     assert s.count() == 2 and {r.image_count for r in s.collect()} == {len(rows)}
+
+
+def test_highlight_and_bounds(spark, tmp_path):
+    """Rectangles of highlighted cells lie where the cell's corners are; pen and cells agree with the spacing."""
+    from glyphlake.operators import raster
+
+    canvas = np.zeros((8, 9), np.uint8)
+    raster.outline(canvas, 2, 1, 12, 5)
+    assert canvas[1, 2:].tolist() == [128] * 7 and canvas[5, 2:].tolist() == [128] * 7 and canvas[1:6, 2].tolist() == [128] * 5
+    assert int((canvas > 0).sum()) == 7 + 7 + 3
+    g = np.full((2, 2), 255, np.uint8)
+    drawn, over, _, _ = raster.paint([(2, 1, g), (5, 5, g)], 8, 9, boxes=[[2, 1, 6, 4], None])
+    assert over == 3 and drawn[4, 6] == 128 and drawn[1, 2] == 255 and drawn[5, 5] == 255

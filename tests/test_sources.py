@@ -146,3 +146,44 @@ def test_paint():
 def test_recognised(spark):
     d = spark.createDataFrame([("a", 1, 2, bytearray(b"\1\2")), ("b", 0, 0, None)], "image_id string, height int, width int, data binary")
     assert {r.image_id: r.ocr_text for r in raster.recognised(d, lambda x: str(x.shape)).collect()} == {"a": "(1, 2)", "b": None}
+
+
+def unpacked_lzw(data):
+    bits, n, at, width, out, table, last = int.from_bytes(data, "big"), 8 * len(data), 0, 9, b"", {}, None
+    while True:
+        code = (bits >> (n - at - width)) & ((1 << width) - 1)
+        at += width
+        if code == 257:
+            return out
+        if code == 256:
+            table, after, width, last = {i: bytes([i]) for i in range(256)}, 258, 9, None
+            continue
+        new = table[code] if code in table else last + last[:1]
+        if last is not None:
+            table[after] = last + new[:1]
+            after += 1
+            if after + 1 >= 1 << width and width < 12:
+                width += 1
+        out, last = out + new, new
+
+
+def test_lzw_round_trip():
+    import random
+
+    from glyphlake.sources import images
+
+    rng = random.Random(5)
+    for n in (0, 1, 300, 20_000):
+        for levels in (1, 2, 256):
+            data = bytes(rng.randrange(levels) for _ in range(n))
+            assert unpacked_lzw(images.lzw(data)) == data
+    tiff = images.encode_tiff(2, 3, bytes(range(6)))
+    assert tiff[:4] == b"II*\0" and unpacked_lzw(tiff[8 : 8 + tiff[8:].index(b"\x09\0\0\x01")].rstrip(b"\0")) == bytes(range(6))
+
+
+def test_moments_are_saved(spark, tmp_path):
+    from glyphlake.operators import tensors
+
+    m = spark.createDataFrame([(0, 0.5, 0.1), (1, 0.25, 2.0)], "channel int, mean double, std double")
+    tensors.save_moments(m, str(tmp_path / "m"))
+    assert sorted(map(tuple, tensors.load_moments(spark, str(tmp_path / "m")).collect())) == [(0, 0.5, 0.1), (1, 0.25, 2.0)]
