@@ -114,15 +114,24 @@ class FreeType:
 
 def rendered(files: DataFrame, lines: list[str], point: int = 72, dpi: int = 110) -> DataFrame:
     """files (path, content) as glyph rows; a font that does not load is one row, a failing symbol a row without bitmap."""
+    return rendered_sizes(files, lines, [(point, dpi)]).drop("point", "dpi")
+
+
+def rendered_sizes(files: DataFrame, lines: list[str], sizes: list[tuple[int, int]]) -> DataFrame:
+    """Glyph rows at each of the sizes (point, dpi), with these as columns; each file is read once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ft = FreeType()
         for batch in batches:
             for path, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                rows = list(ft.glyphs(path, data.as_py() or b"", lines, point, dpi))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=_NAMES)
+                data = data.as_py() or b""
+                for point, dpi in sizes:
+                    rows = [(*r, point, dpi) for r in ft.glyphs(path, data, lines, point, dpi)]
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[*_NAMES, "point", "dpi"])
 
-    return files.select("path", "content").mapInArrow(run, GLYPH)
+    kinds = [*_KINDS, pa.int32(), pa.int32()]
+    return files.select("path", "content").mapInArrow(run, f"{GLYPH}, point int, dpi int")
 
 
 def face_counts(files: DataFrame) -> DataFrame:
@@ -192,14 +201,14 @@ def recognition_crop(canvas: np.ndarray, box: tuple[int, int, int, int] | None,
     return 255 - np.pad(canvas[top : bottom + 1, left : right + 1], pad)
 
 
-def recognised(images: DataFrame, ocr, schema: str = "image_id string, ocr_text string") -> DataFrame:
-    """images (image_id, height, width, data) with text by ocr(array) -> str, any recogniser that workers can import."""
+def recognised(images: DataFrame, ocr, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
+    """The keys of images (*keys, height, width, data) with text by ocr(array) -> str, any recogniser that workers can import."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = (batch.column(c).to_pylist() for c in ("image_id", "height", "width", "data"))
-            rows = [(i, None if not d else ocr(np.frombuffer(d, np.uint8).reshape(h, w))) for i, h, w, d in zip(*cols, strict=True)]
-            ids, texts = zip(*rows, strict=True) if rows else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=["image_id", "ocr_text"])
+            cols = (batch.column(c).to_pylist() for c in ("height", "width", "data"))
+            texts = [None if not d else ocr(np.frombuffer(d, np.uint8).reshape(h, w)) for h, w, d in zip(*cols, strict=True)]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, keys), pa.array(texts, pa.string())], names=[*keys, "ocr_text"])
 
-    return images.select("image_id", "height", "width", "data").mapInArrow(run, schema)
+    kinds = images.select(*keys).schema.add("ocr_text", "string")
+    return images.select(*keys, "height", "width", "data").mapInArrow(run, kinds)

@@ -54,9 +54,9 @@ def merged_stats(df: DataFrame, *keys: str, lists: bool = False) -> DataFrame:
     )
 
 
-def flag_sums(df: DataFrame) -> DataFrame:
+def flag_sums(df: DataFrame, *keys: str) -> DataFrame:
     """How many records have pixels out of the image, out of their cell or no pixels at all, and how many there are."""
-    return df.agg(
+    return df.groupBy(*keys).agg(
         F.count_if(F.col("out_of_image") > 0).alias("out_of_image"), F.count_if(F.col("out_of_cell") > 0).alias("out_of_cell"),
         F.count_if(F.size("empty") > 0).alias("empty_cell"), F.count(F.lit(1)).alias("total"),
     )

@@ -5,6 +5,7 @@ Each takes a folder and settings and returns a DataFrame; nothing is moved. verd
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable
 
 import numpy as np
@@ -28,7 +29,7 @@ def fonts(spark: SparkSession, font_dir: str, count: int = 0) -> DataFrame:
 
 def drawn(spark: SparkSession, font_dir: str, lines: list[str], point: int = 72, dpi: int = 110, count: int = 0) -> DataFrame:
     """Glyph rows of every font."""
-    return raster.rendered(fonts(spark, font_dir, count), lines, point, dpi)
+    return raster.rendered_sizes(fonts(spark, font_dir, count), lines, [(point, dpi)])
 
 
 def font_stats(g: DataFrame) -> DataFrame:
@@ -47,16 +48,17 @@ def bad_fonts(spark: SparkSession, font_dir: str, count: int = 0, symbols: str =
     return verdicts.bad_font_verdict(font_stats(drawn(spark, font_dir, list(symbols), count=count)))
 
 
-def placed(g: DataFrame, point: int, dpi: int) -> DataFrame:
-    """Loaded glyphs with their column and their offsets in the cell."""
-    g = geometry.successful_columns(g.where(~F.col("font_not_loaded")), ["font_id", "row"], "idx")
-    half = point * dpi // 72 // 2
-    return g.withColumn("p", geometry.placement(F.col("adv_x"), F.col("bitmap_left"), F.col("bitmap_top"), F.lit(half))).select("*", "p.off_x", "p.off_y").drop("p")
+def placed(g: DataFrame) -> DataFrame:
+    """Loaded glyphs of each font and size with their column and their offsets in the cell."""
+    g = geometry.successful_columns(g.where(~F.col("font_not_loaded")), ["font_id", "point", "dpi", "row"], "idx")
+    half = F.expr("point * dpi DIV 72 DIV 2").cast("int")
+    g = g.withColumn("p", geometry.placement(F.col("adv_x"), F.col("bitmap_left"), F.col("bitmap_top"), half))
+    return g.select("*", "p.off_x", "p.off_y").drop("p")
 
 
 def font_match_sets(spark: SparkSession, font_dir: str, count: int = 0, symbols: str = PRINTABLE, point: int = 72, dpi: int = 110) -> DataFrame:
     """(font_id, match_set): symbols of a font that are drawn alike."""
-    p = placed(drawn(spark, font_dir, [symbols], point, dpi, count), point, dpi)
+    p = placed(drawn(spark, font_dir, [symbols], point, dpi, count))
     names = ["area", "off_x", "off_y", "pixels"]
     keys = [k.alias(n) for k, n in zip(raster.identity_key(), names, strict=True)]
     return glyphs.match_sets(p.select("font_id", "ch", *keys), ["font_id"], names)
@@ -79,48 +81,71 @@ def duplicate_fonts(spark: SparkSession, font_dir: str, whitelist: str | None =
 IMAGE = "image_id string, height int, width int, data binary, overwrites long, out_of_cell long, out_of_image long, empty array<string>"
 
 
-def atlas_images(spark: SparkSession, font_dir: str, lines: list[str], dpi: int = 300, point: int = 12, border: int = -1, padding: int = -1, offset: int = -1, cells: bool = True, count: int = 0, highlight: str = "") -> DataFrame:
+def atlas_images(spark: SparkSession, font_dir: str, lines: list[str], dpi: int = 300, point: int = 12, border: int = -1, padding: int = -1, offset: int = -1, cells: bool = True, count: int = 0, highlight: str = "", blend: bool = True) -> DataFrame:
     """One image for each font that loads, with its counters: glyphs in cells, or along a continuous pen.
 
-    Cells of the symbols in `highlight` get a grey rectangle, which counts as drawn where the glyph meets it.
-    A font's glyphs are gathered in one task; their number is the atlas's.
+    Cells of the symbols in `highlight` get a grey rectangle, which counts as drawn where the glyph meets it. Glyphs that
+    overlap are blended, or the later one overwrites, as in plain sentences.
     """
-    lit = F.lit
-    s = spark.range(1).select(geometry.spacing(*(lit(v) for v in (dpi, point, border, padding, offset))).alias("s")).first().s
-    em, half, gap, pad, low = s.em, s.half_em, s.atlas_border, s.atlas_padding, s.bottom_offset
-    width, height = (2 * pad + max(n - 1, 0) * gap + n * em for n in (max(map(len, lines)), len(lines)))
-    g = placed(drawn(spark, font_dir, lines, point, dpi, count), point, dpi)
-    pen = W.partitionBy("font_id", "row").orderBy("idx").rowsBetween(W.unboundedPreceding, -1)
+    one = {"dpi": dpi, "point": point, "border": border, "padding": padding, "offset": offset}
+    return atlases(spark, font_dir, lines, [one], cells, count, highlight, blend).drop("setting")
+
+
+def spacings(spark: SparkSession, settings: list[dict], lines: list[str]) -> DataFrame:
+    """A row for each setting (dpi, point, border, padding, offset): its place in the list, spacing and size of image."""
+    names = ["dpi", "point", "border", "padding", "offset"]
+    given = spark.createDataFrame([(i, *(s.get(n, -1) for n in names)) for i, s in enumerate(settings)], "setting int, " + ", ".join(f"{n} int" for n in names))
+    s = given.select("setting", geometry.spacing(*map(F.col, names)).alias("s")).select("setting", "s.*")
+    extent = [geometry.atlas_extent(F.lit(n), F.col("em"), F.col("atlas_border"), F.col("atlas_padding")).cast("int") for n in (max(map(len, lines)), len(lines))]
+    return s.withColumn("image_width", extent[0]).withColumn("image_height", extent[1])
+
+
+def atlases(spark: SparkSession, font_dir: str, lines: list[str], settings: list[dict], cells: bool = True, count: int = 0, highlight: str = "", blend: bool = True) -> DataFrame:
+    """The images of every font at every setting, with `setting`, its place in the list.
+
+    A font is read once and rasterised once for each size; its glyphs go to one task, once, and meet the settings there.
+    The settings are the caller's list, and so few that they are broadcast.
+    """
+    s = spacings(spark, settings, lines)
+    sizes = sorted((r.point, r.dpi) for r in s.select("point", "dpi").distinct().collect())
+    g = raster.rendered_sizes(fonts(spark, font_dir, count), lines, sizes).repartition("font_id")
+    g = placed(g)
+    pen = W.partitionBy("font_id", "point", "dpi", "row").orderBy("idx").rowsBetween(W.unboundedPreceding, -1)
     for axis in ("x", "y"):
-        g = g.withColumn(f"pen_{axis}", F.coalesce(F.sum(F.shiftright(F.col(f"adv_{axis}"), 6)).over(pen), lit(0)))
-    pitch = em + gap
+        g = g.withColumn(f"pen_{axis}", F.coalesce(F.sum(F.shiftright(F.col(f"adv_{axis}"), 6)).over(pen), F.lit(0)))
+    g = g.join(F.broadcast(s), ["point", "dpi"])
+    half, gap, pad, low = map(F.col, ("half_em", "atlas_border", "atlas_padding", "bottom_offset"))
+    pitch, margin = F.col("em") + gap, F.expr("atlas_border DIV 2")
     left, top = pad + F.col("col") * pitch, pad + F.col("row") * pitch
     if cells:
         # offsets are from the middle of the cell across and from half an em down
         x, y = left + half + F.col("off_x"), top + half + F.col("off_y") - low
     else:
         # the pen starts a border above the lower bound of the row's cells
-        line = top + 2 * half + gap // 2 - gap - low
-        x, y = pad + F.col("pen_x") + F.col("bitmap_left"), line + F.col("pen_y") - F.col("bitmap_top")
+        x, y = pad + F.col("pen_x") + F.col("bitmap_left"), top + 2 * half + margin - gap - low + F.col("pen_y") - F.col("bitmap_top")
     g = g.withColumn("x", x.cast("int")).withColumn("y", y.cast("int"))
     marked = F.lit(cells) & (F.position("ch", F.lit(highlight)) > 0) if highlight else F.lit(False)
-    g = g.withColumn("box", F.when(marked, F.array((left).cast("int"), (top).cast("int"), (left + 2 * half + 1).cast("int"), (top + 2 * half).cast("int"))))
-    bounds = (left - gap // 2, top - gap // 2, left + 2 * half + gap // 2, top + 2 * half + gap // 2)
-    g = g.withColumn("o", geometry.overflow(F.col("x"), F.col("y"), F.col("width"), F.col("rows"), bounds, (lit(width), lit(height)))).select("*", "o.*")
+    corners = (left, top, left + 2 * half + 1, top + 2 * half)
+    g = g.withColumn("box", F.when(marked, F.array(*(c.cast("int") for c in corners))))
+    bounds = (left - margin, top - margin, left + 2 * half + margin, top + 2 * half + margin)
+    g = g.withColumn("o", geometry.overflow(F.col("x"), F.col("y"), F.col("width"), F.col("rows"), bounds, (F.col("image_width"), F.col("image_height"))))
 
     def paint(t: pa.Table) -> pa.Table:
         t = t.sort_by([("row", "ascending"), ("idx", "ascending")])
+        height, width = t["image_height"][0].as_py(), t["image_width"][0].as_py()
         rows = t.select(["x", "y", "rows", "width", "bitmap", "ch", "box"]).to_pylist()
         parts = [(r["x"], r["y"], np.frombuffer(r["bitmap"], np.uint8).reshape(r["rows"], r["width"])) for r in rows]
-        canvas, over, _, empty = raster.paint(parts, height, width, boxes=[r["box"] for r in rows])
+        canvas, over, _, empty = raster.paint(parts, height, width, blend, [r["box"] for r in rows])
         out_cell = sum(t["out_of_cell"].to_pylist()) if cells else 0
         none = [r["ch"] for r, e in zip(rows, empty, strict=True) if e and r["ch"] != " "]
         return pa.table({
             "image_id": [t["font_id"][0].as_py()], "height": pa.array([height], pa.int32()), "width": pa.array([width], pa.int32()), "data": pa.array([canvas.tobytes()], pa.binary()),
             "overwrites": [over], "out_of_cell": [out_cell], "out_of_image": [sum(t["out_of_image"].to_pylist())], "empty": pa.array([none], pa.list_(pa.string())),
+            "setting": t["setting"][:1],
         })
 
-    return g.groupBy("font_id").applyInArrow(paint, IMAGE)
+    needed = ["font_id", "setting", "row", "idx", "ch", "x", "y", "rows", "width", "bitmap", "box", "o.*", "image_height", "image_width"]
+    return g.select(*needed).groupBy("font_id", "setting").applyInArrow(paint, f"{IMAGE}, setting int")
 
 
 def render_atlas(spark: SparkSession, font_dir: str, lines: list[str], skip_cell_out: bool = True, **settings) -> tuple[DataFrame, DataFrame]:
@@ -132,6 +157,11 @@ def render_atlas(spark: SparkSession, font_dir: str, lines: list[str], skip_cell
 def ocr_distances(spark: SparkSession, font_dir: str, lines: list[str], ocr: Callable[[np.ndarray], str], dpi: int = 300, point: int = 12, padding: int = 0, count: int = 0) -> DataFrame:
     """(font_id, ocr_text, distance, lower_distance) of what a recogniser reads in each font's line; null if nothing is drawn."""
     images = atlas_images(spark, font_dir, lines, dpi, point, -1, -1, -1, False, count)
+    return _distances(images, lines, ocr, padding, "image_id").withColumnRenamed("image_id", "font_id")
+
+
+def _distances(images: DataFrame, lines: list[str], ocr: Callable[[np.ndarray], str], padding: int, *keys: str) -> DataFrame:
+    """The keys of images with what a recogniser reads and its distance from the lines, with and without regard to case."""
 
     def read(canvas: np.ndarray) -> str | None:
         ys, xs = np.nonzero(canvas)
@@ -139,10 +169,9 @@ def ocr_distances(spark: SparkSession, font_dir: str, lines: list[str], ocr: Cal
         crop = raster.recognition_crop(canvas, box, padding)
         return None if crop is None else ocr(crop)
 
-    seen = raster.recognised(images, read)
     atlas = F.lit("".join(x + "\n" for x in lines))
-    return seen.select(
-        F.col("image_id").alias("font_id"), "ocr_text", text.edit_distance(F.col("ocr_text"), atlas).alias("distance"),
+    return raster.recognised(images, read, keys).select(
+        *keys, "ocr_text", text.edit_distance(F.col("ocr_text"), atlas).alias("distance"),
         text.edit_distance(text.ascii_lower(F.col("ocr_text")), text.ascii_lower(atlas)).alias("lower_distance"),
     )
 
@@ -158,10 +187,30 @@ def ocr_stats(distances: DataFrame, lowercase: bool = True) -> DataFrame:
 
 
 def sweep(spark: SparkSession, font_dir: str, lines: list[str], settings: list[dict], count: int = 0) -> DataFrame:
-    """Counters for each setting (padding, point, dpi, offset): what a search for the best sizes reads."""
-    out = None
-    for s in settings:
-        sums = verdicts.flag_sums(atlas_images(spark, font_dir, lines, s["dpi"], s["point"], s.get("border", 2 * s["padding"]), s["padding"], s["offset"], True, count))
-        row = sums.select(*(F.lit(s[k]).alias(k) for k in ("padding", "point", "dpi", "offset")), F.col("total").cast("int").alias("image_count"), *(F.col(k).cast("int").alias(k) for k in ("out_of_image", "out_of_cell", "empty_cell")))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """Counters for each setting (padding, point, dpi, offset): what a search for the best sizes reads.
+
+    One run over the fonts for all settings; one of which no image comes has counts of 0.
+    """
+    names = ["padding", "point", "dpi", "offset"]
+    given = [{**s, "border": s.get("border", 2 * s["padding"])} for s in settings]
+    sums = verdicts.flag_sums(atlases(spark, font_dir, lines, given, count=count), "setting").withColumnRenamed("total", "image_count")
+    rows = spark.createDataFrame([(i, *(s[n] for n in names)) for i, s in enumerate(settings)], "setting int, " + ", ".join(f"{n} int" for n in names))
+    counters = [F.coalesce(F.col(c), F.lit(0)).cast("int").alias(c) for c in ("image_count", "out_of_image", "out_of_cell", "empty_cell")]
+    return rows.join(sums, "setting", "left").select(*names, *counters)
+
+
+def size_settings(n: int = 110, seed: int = 1, dpi: tuple[int, int] = (100, 1000), point: tuple[int, int] = (10, 100)) -> list[dict]:
+    """Settings with sizes drawn evenly between bounds, for search_sizes; the same for the same seed."""
+    draw = random.Random(seed)
+    return [{"dpi": draw.randint(*dpi), "point": draw.randint(*point)} for _ in range(n)]
+
+
+def search_sizes(spark: SparkSession, font_dir: str, lines: list[str], ocr: Callable[[np.ndarray], str], settings: list[dict], lowercase: bool = True, padding: int = 0, count: int = 0) -> DataFrame:
+    """(point, dpi, n) of each setting: how many fonts a recogniser reads without a fault; the most first, then the smallest.
+
+    All settings are tried in one run over the fonts. One of which no image comes, or that is never read rightly, has 0.
+    """
+    d = _distances(atlases(spark, font_dir, lines, settings, False, count), lines, ocr, padding, "image_id", "setting")
+    right = d.where(F.col("lower_distance" if lowercase else "distance") == 0).groupBy("setting").agg(F.count(F.lit(1)).alias("n"))
+    tried = spacings(spark, settings, lines).select("setting", "point", "dpi").join(right, "setting", "left")
+    return tried.select("point", "dpi", F.coalesce("n", F.lit(0)).alias("n")).orderBy(F.col("n").desc(), F.col("point") * F.col("dpi"), "point")

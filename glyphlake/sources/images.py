@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,10 @@ _HEAD = re.compile(rb"P5(?:\s+|#[^\n]*\n)+(\d+)(?:\s+|#[^\n]*\n)+(\d+)(?:\s+|#[^
 #: Write styles: the extension and how pixels are stored.
 STYLES = {"fastest": ".pgm", "efficient": ".tiff", "smaller": ".png"}
 
+#: How a PNG begins, and the bytes of a pixel by colour type (grey, colour, palette, grey and colour with alpha).
+PNG = b"\x89PNG\r\n\x1a\n"
+CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+
 
 def parse_pgm(data: bytes) -> tuple[int, int, bytes]:
     """(height, width, pixels) of a binary grey map with at most 255 levels."""
@@ -30,6 +34,78 @@ def parse_pgm(data: bytes) -> tuple[int, int, bytes]:
     return height, width, pixels
 
 
+def parse_png(data: bytes) -> tuple[int, int, bytes]:
+    """(height, width, grey pixels) of a PNG with samples of 8 bits that is not interlaced.
+
+    Colours become (299 red + 587 green + 114 blue) / 1000, rounded down; alpha is left out.
+    """
+    if data[:8] != PNG:
+        raise ValueError("no PNG")
+    chunks: dict[bytes, list[bytes]] = {}
+    at = 8
+    while at + 12 <= len(data):
+        n, kind = struct.unpack_from(">I4s", data, at)
+        body = data[at + 8 : at + 8 + n]
+        if len(body) < n or data[at + 8 + n : at + 12 + n] != struct.pack(">I", zlib.crc32(kind + body)):
+            raise ValueError("a chunk is damaged")
+        chunks.setdefault(kind, []).append(body)
+        at += 12 + n
+    if len(chunks.get(b"IHDR", [b""])[0]) != 13:
+        raise ValueError("no header")
+    width, height, depth, colour, *_, interlaced = struct.unpack(">IIBBBBB", chunks[b"IHDR"][0])
+    if depth != 8 or interlaced or colour not in CHANNELS:
+        raise ValueError("not 8 bits a sample, interlaced, or of an unknown colour type")
+    k = CHANNELS[colour]
+    try:
+        raw = zlib.decompress(b"".join(chunks.get(b"IDAT", [])))
+    except zlib.error as e:
+        raise ValueError(f"pixels are damaged: {e}") from e
+    if len(raw) != height * (1 + width * k):
+        raise ValueError("too few or too many pixels")
+    rows = unfiltered(np.frombuffer(raw, np.uint8).reshape(height, 1 + width * k), k).reshape(height, width, k)
+    if colour == 3:
+        palette = np.frombuffer(chunks.get(b"PLTE", [b""])[0], np.uint8).reshape(-1, 3)
+        if rows.size and int(rows.max()) >= len(palette):
+            raise ValueError("a colour is not in the palette")
+        rows = palette[rows[:, :, 0]]
+    if rows.shape[2] >= 3:
+        rows = rows[:, :, :3].astype(np.int64) @ np.array([299, 587, 114]) // 1000
+    else:
+        rows = rows[:, :, 0]
+    return height, width, rows.astype(np.uint8).tobytes()
+
+
+def unfiltered(rows: np.ndarray, k: int) -> np.ndarray:
+    """Bytes of PNG rows, each with its filter before it; k bytes are a pixel."""
+    out = np.zeros((rows.shape[0], rows.shape[1] - 1), np.uint8)
+    above = np.zeros(rows.shape[1] - 1, np.uint8)
+    for y, row in enumerate(rows):
+        kind, line = int(row[0]), row[1:]
+        if kind == 1:
+            line = np.cumsum(line.reshape(-1, k), axis=0, dtype=np.uint8).reshape(-1)
+        elif kind == 2:
+            line = line + above
+        elif kind in (3, 4):
+            up, now = above.tolist(), line.tolist()
+            for i in range(len(now)):
+                a, b, c = (now[i - k], up[i], up[i - k]) if i >= k else (0, up[i], 0)
+                if kind == 3:
+                    guess = (a + b) // 2
+                else:
+                    guess = min((a, b, c), key=lambda v, p=a + b - c: abs(p - v))  # ties in this order
+                now[i] = (now[i] + guess) & 255
+            line = np.array(now, np.uint8)
+        elif kind:
+            raise ValueError("an unknown filter")
+        out[y] = above = line
+    return out
+
+
+def parse(data: bytes) -> tuple[int, int, bytes]:
+    """A grey map or a PNG, told by how it begins."""
+    return parse_png(data) if data[:8] == PNG else parse_pgm(data)
+
+
 def encode_pgm(height: int, width: int, pixels: bytes) -> bytes:
     return b"P5\n%d %d\n255\n" % (width, height) + pixels
 
@@ -39,7 +115,7 @@ def encode_png(height: int, width: int, pixels: bytes, level: int = 3) -> bytes:
     rows = b"".join(b"\0" + pixels[y * width : (y + 1) * width] for y in range(height))
     deflate = zlib.compressobj(level, strategy=zlib.Z_RLE)
     chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + chunk(b"IDAT", deflate.compress(rows) + deflate.flush()) + chunk(b"IEND", b"")
+    return PNG + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + chunk(b"IDAT", deflate.compress(rows) + deflate.flush()) + chunk(b"IEND", b"")
 
 
 def lzw(data: bytes) -> bytes:
@@ -98,13 +174,22 @@ ENCODERS = {"fastest": encode_pgm, "efficient": encode_tiff, "smaller": encode_p
 
 def read_pgm(files: DataFrame) -> DataFrame:
     """files (path, content) as images; what is no grey map is a row with its error."""
+    return _read(files, parse_pgm)
+
+
+def read_images(files: DataFrame) -> DataFrame:
+    """Grey maps and PNGs as images; what is neither, or damaged, is a row with its error."""
+    return _read(files, parse)
+
+
+def _read(files: DataFrame, parse: Callable[[bytes], tuple[int, int, bytes]]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for path, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 try:
-                    rows.append((path, *parse_pgm(data.as_py() or b""), None))
+                    rows.append((path, *parse(data.as_py() or b""), None))
                 except ValueError as e:
                     rows.append((path, None, None, None, str(e)))
             kinds = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.string()]

@@ -49,6 +49,36 @@ def test_atlas_and_ocr(spark, folder):
     assert s.count() == 2 and {r.image_count for r in s.collect()} == {len(rows)}
 
 
+def test_settings_as_rows(spark, folder, tmp_path):
+    """All settings in one run give what each gives alone; fonts are read once, glyphs shuffled once."""
+    from glyphlake.operators import verdicts
+
+    settings = [{"padding": b, "point": p, "dpi": d, "offset": o, "border": 2 * b} for b, p, d, o in ((1, 3, 336, 0), (1, 3, 336, 40), (100, 12, 300, 5), (1, 0, 0, 3))]
+    alone = []
+    for x in settings:
+        f = verdicts.flag_sums(programs.atlas_images(spark, folder, ["Ag", "!"], **x)).first()
+        alone.append((x["padding"], x["point"], x["dpi"], x["offset"], f.total, f.out_of_image, f.out_of_cell, f.empty_cell))
+    found = programs.sweep(spark, folder, ["Ag", "!"], settings)
+    assert sorted(map(tuple, found.collect())) == sorted(alone) and len({r[6] for r in alone}) > 1
+    plan = programs.sweep(spark, folder, ["Ag", "!"], settings)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange hashpartitioning(font_id") == 1
+    assert [r.image_count for r in programs.sweep(spark, str(tmp_path), ["A"], settings[:1]).collect()] == [0]
+
+
+def test_search_sizes(spark, folder):
+    ocr = lambda crop: "AB\n" if crop.shape[0] > 30 else "A8\n"
+    tried = programs.search_sizes(spark, folder, ["AB"], ocr, [{"point": 6, "dpi": 72}, {"point": 72, "dpi": 72}, {"point": 36, "dpi": 300}])
+    n = len(FOUND[:2])
+    assert [tuple(r) for r in tried.collect()] == [(72, 72, n), (36, 300, n), (6, 72, 0)]
+    drawn = programs.size_settings(5)
+    assert drawn == programs.size_settings(5) and all(100 <= s["dpi"] <= 1000 and 10 <= s["point"] <= 100 for s in drawn)
+
+
+def test_sentences_overwrite(spark, folder):
+    blended, plain = (programs.atlas_images(spark, folder, ["fjfj"], cells=False, blend=b).select("image_id", "overwrites").collect() for b in (True, False))
+    assert sorted(blended) == sorted(plain) and len(plain) == len(FOUND[:2])
+
+
 def test_highlight_and_bounds(spark, tmp_path):
     """Rectangles of highlighted cells lie where the cell's corners are; pen and cells agree with the spacing."""
     from glyphlake.operators import raster

@@ -187,3 +187,56 @@ def test_moments_are_saved(spark, tmp_path):
     m = spark.createDataFrame([(0, 0.5, 0.1), (1, 0.25, 2.0)], "channel int, mean double, std double")
     tensors.save_moments(m, str(tmp_path / "m"))
     assert sorted(map(tuple, tensors.load_moments(spark, str(tmp_path / "m")).collect())) == [(0, 0.5, 0.1), (1, 0.25, 2.0)]
+
+
+def png(rows, colour, width, extra=b"", depth=8):
+    """A PNG of filtered rows."""
+    import struct
+    import zlib
+
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    head = struct.pack(">IIBBBBB", width, len(rows), depth, colour, 0, 0, 0)
+    return images.PNG + chunk(b"IHDR", head) + extra + chunk(b"IDAT", zlib.compress(b"".join(map(bytes, rows)))) + chunk(b"IEND", b"")
+
+
+def filtered(pixels, kinds, k):
+    """Rows of bytes under PNG filters, written from the definition of each filter."""
+    out = []
+    for y, (row, kind) in enumerate(zip(pixels, kinds, strict=True)):
+        line = [kind]
+        for i, v in enumerate(row):
+            a = row[i - k] if i >= k else 0
+            b = pixels[y - 1][i] if y else 0
+            c = pixels[y - 1][i - k] if y and i >= k else 0
+            p = a + b - c
+            paeth = a if abs(p - a) <= abs(p - b) and abs(p - a) <= abs(p - c) else b if abs(p - b) <= abs(p - c) else c
+            line.append((v - (0, a, b, (a + b) // 2, paeth)[kind]) % 256)
+        out.append(line)
+    return out
+
+
+def test_png_filters_and_colours(spark):
+    import random
+
+    draw = random.Random(3)
+    for colour, k in images.CHANNELS.items():
+        pixels = [[draw.randrange(4 if colour == 3 else 256) for _ in range(7 * k)] for _ in range(10)]
+        palette = [(10, 20, 30), (0, 0, 0), (255, 255, 255), (1, 200, 3)]
+        body = bytes(v for c in palette for v in c)
+        import struct
+        import zlib
+
+        extra = struct.pack(">I", len(body)) + b"PLTE" + body + struct.pack(">I", zlib.crc32(b"PLTE" + body)) if colour == 3 else b""
+        made = png(filtered(pixels, [0, 1, 2, 3, 4] * 2, k), colour, 7, extra)
+        grey = []
+        for row in pixels:
+            for x in range(0, 7 * k, k):
+                v = palette[row[x]] if colour == 3 else row[x : x + k]
+                grey.append(v[0] if colour in (0, 4) else (299 * v[0] + 587 * v[1] + 114 * v[2]) // 1000)
+        assert images.parse_png(made) == (10, 7, bytes(grey)), colour
+    good = images.encode_png(2, 3, bytes(range(6)))
+    bad = {"cut": good[:-20], "crc": good[:45] + b"x" + good[46:], "deep": png([[0, 1, 2]], 0, 1, depth=16), "filter": png([[9, 1]], 0, 1), "short": png([[0, 1]], 0, 2)}
+    files = [("good", good), ("map", images.encode_pgm(1, 2, b"ab")), ("none", None), ("empty", b""), ("text", b"hello"), *bad.items()]
+    rows = {r.image_id: r for r in images.read_images(spark.createDataFrame(files, "path string, content binary")).collect()}
+    assert bytes(rows["good"].data) == bytes(range(6)) and (rows["map"].height, rows["map"].width) == (1, 2)
+    assert len(rows) == len(files) and all(rows[n].error and rows[n].data is None for n in ("none", "empty", "text", *bad))
