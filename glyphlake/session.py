@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -29,9 +30,8 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df):
-    """df.checkpoint() in the folder of spark.checkpoint.dir, or in local mode in a new temporary one where that is unset."""
-    spark = df.sparkSession
+def _checkpoint_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, or in local mode a new temporary one where that is unset."""
     sc = spark.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir") and not sc.getCheckpointDir():
         import tempfile
@@ -39,4 +39,15 @@ def checkpointed(df):
         if not (sc.master == "local" or sc.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="glyphlake-checkpoint-"))
+    return sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+
+
+def new_folder(spark: SparkSession, tag: str) -> str:
+    """The path of a folder that is not there yet, where driver and executors share what is written."""
+    return f"{_checkpoint_dir(spark).rstrip('/')}/glyphlake/{tag}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df):
+    """df.checkpoint() in the folder that driver and executors share."""
+    _checkpoint_dir(df.sparkSession)
     return df.checkpoint()
