@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +37,6 @@ TOGETHER = 128
 PRIOR_WEIGHT = 0.1
 THRESHOLD = 0.7
 _APART = bytes(32 if chr(b) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else b for b in range(256))
-#: Words whose terms a task remembers.
-CACHE = 200_000
 #: Document frequencies are summed as arrays of so many terms.
 CHUNK = 4096
 
@@ -53,17 +51,16 @@ def held_out(key: Column) -> Column:
 
 
 class Vocabulary:
-    """Numbers of terms: words, and their prefixes, marked by a star. The terms of up to CACHE words are remembered."""
+    """Numbers of terms: words, and their prefixes, marked by a star.
+
+    Where no more terms are added, a word has the terms in one row of `rows`: that of its own number or, if it has none,
+    of its longest prefix that has one. So each word is looked up as it is, and no words are remembered.
+    """
 
     def __init__(self, number: dict[str, int], grow: bool = False) -> None:
         self.number, self.grow = number, grow
-        self._forget()
-
-    def _forget(self) -> None:
-        #: words by place; the terms of the word at place p are flat[ends[p] : ends[p + 1]]
-        self.places: dict[bytes, int] = {}
-        self.ends = np.zeros(1 << 10, np.int64)
-        self.flat = np.zeros(1 << 12, np.int64)
+        if not grow:
+            self.freeze()
 
     def __getstate__(self) -> dict:
         return {"number": self.number}
@@ -71,51 +68,58 @@ class Vocabulary:
     def __setstate__(self, state: dict) -> None:
         self.__init__(state["number"])
 
-    def _learn(self, words: list[bytes]) -> list[int]:
-        """Places of words that are new, after their terms are noted."""
-        number, flat, ends = self.number, [], []
-        if self.grow:
-            get = lambda term: number.setdefault(term, len(number))
-        else:
-            get = number.get
-        for word in words:
+    def freeze(self) -> None:
+        """Adds no more terms from now on."""
+        self.grow = False
+        self.words = {t.encode(): i for t, i in self.number.items() if not t.endswith("*")}
+        self.starts = {n: {t[:-1]: i for t, i in self.number.items() if len(t) == n + 1 and t.endswith("*")} for n in PREFIXES}
+        at = list(self.number.values())
+        self.rows = np.full((len(at), 1 + len(PREFIXES)), -1, np.int64)
+        self.rows[at, 0] = at
+        for j, n in enumerate(PREFIXES, 1):
+            get = self.starts[n].get
+            self.rows[at, j] = [get(t[:n], -1) if len(t) > n and t[n:] != "*" else -1 for t in self.number]
+
+    def _rows(self, words: Collection[bytes]) -> np.ndarray:
+        """The row of each word, -1 for a word without terms."""
+        rows = list(map(self.words.get, words))
+        if None in rows:
+            rest = b" ".join([w for w, r in zip(words, rows, strict=True) if r is None]).decode("utf-8", "replace")  # words hold no space
+            texts = rest.split(" ")
+            found = [self.number.get(w, -1) for w in texts] if "\ufffd" in rest else [-1] * len(texts)
+            for n in reversed(PREFIXES):
+                get = self.starts[n].get
+                found = [get(w[:n], -1) if r < 0 and len(w) > n else r for w, r in zip(texts, found, strict=True)]
+            found = iter(found)
+            rows = [next(found) if r is None else r for r in rows]
+        return np.array(rows, np.int64)
+
+    def _added(self, often: Counter) -> tuple[np.ndarray, np.ndarray]:
+        number, tf = self.number, Counter()
+        for word, n in often.items():
             w = word.decode("utf-8", "replace")
-            flat.append(get(w))
-            for n in PREFIXES:
-                if len(w) <= n:
-                    break
-                flat.append(get(w[:n] + "*"))
-            ends.append(len(flat))
-        held = np.array([-1 if t is None else t for t in flat], np.int64)
-        ends = np.concatenate([[0], np.cumsum(held >= 0)])[ends]
-        held = held[held >= 0]
-        place = len(self.places)
-        while place + len(words) + 1 > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        at = int(self.ends[place])
-        while at + len(held) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[at : at + len(held)] = held
-        self.ends[place + 1 : place + 1 + len(words)] = at + ends
-        new = list(range(place, place + len(words)))
-        self.places.update(zip(words, new, strict=True))
-        return new
+            for term in (w, *(w[:p] + "*" for p in PREFIXES if len(w) > p)):
+                tf[number.setdefault(term, len(number))] += n
+        terms = sorted(tf)
+        return np.array(terms, np.int64), np.array([tf[t] for t in terms], float)
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The terms of a text by number, ascending, and how often it has each."""
         often = Counter(words_of(text))
-        if not often:
-            return np.zeros(0, np.int64), np.zeros(0)
-        if len(self.places) + len(often) > CACHE:
-            self._forget()
-        places = list(map(self.places.get, often))
-        if None in places:
-            new = iter(self._learn([w for p, w in zip(places, often, strict=True) if p is None]))
-            places = [next(new) if p is None else p for p in places]
-        places = np.array(places, np.int64)
-        at, n = _ranges(self.ends[places], self.ends[places + 1])
-        terms, where = np.unique(self.flat[at], return_inverse=True)
-        return terms, np.bincount(where, weights=np.repeat(np.fromiter(often.values(), np.float64, len(often)), n), minlength=len(terms))
+        if self.grow:
+            return self._added(often)
+        rows = self._rows(often)
+        held = self.rows[rows[rows >= 0]]
+        n = np.fromiter(often.values(), np.float64, len(often))[rows >= 0]
+        has = held >= 0
+        terms, where = np.unique(held[has], return_inverse=True)
+        return terms, np.bincount(where, weights=np.repeat(n, has.sum(axis=1)), minlength=len(terms))
+
+    def present(self, text: str) -> np.ndarray:
+        """The terms of a text by number, in no order, some of them repeated."""
+        rows = self._rows(set(words_of(text)))
+        held = self.rows[rows[rows >= 0]]
+        return held[held >= 0]
 
 
 def unit(terms: np.ndarray, tf: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -169,13 +173,13 @@ class BlockMax:
         weights = np.concatenate([w for _, w in queries]) if m else np.zeros(0)
         at = self.column[terms]
         frequent = at >= 0
-        factors = np.zeros((self.lists.shape[2], m))
-        factors[at[frequent], query[frequent]] = weights[frequent]
+        factors = np.zeros((m, self.lists.shape[2]))
+        factors[query[frequent], at[frequent]] = weights[frequent]
         query, terms, weights = query[~frequent], terms[~frequent], weights[~frequent]
         postings, n = _ranges(self.starts[terms], self.starts[terms + 1])
         score = np.bincount(np.repeat(query * rows, n) + self.ids[postings], weights=self.weights[postings] * np.repeat(weights, n), minlength=m * rows)
         score = score.reshape(m, self.blocks, self.block).astype(float)
-        bound = score.max(axis=2) + (self.top @ factors).T
+        bound = score.max(axis=2) + factors @ self.top.T
         # first the blocks of the highest bounds, then all that can still hold one of the k nearest
         likely = min(self.blocks, -(-2 * k // self.block) + 1)
         first = np.argpartition(-bound, likely - 1, axis=1)[:, :likely]
@@ -201,7 +205,7 @@ class BlockMax:
         """Adds the dense lists of each block to the scores of the queries that open it."""
         for b in np.flatnonzero(which.any(axis=0)):
             own = np.flatnonzero(which[:, b])
-            score[own, b] += (self.lists[b] @ factors[:, own]).T
+            score[own, b] += factors[own] @ self.lists[b].T
 
 
 class Model:
@@ -213,7 +217,7 @@ class Model:
         self.prior = (sizes.get(1, 0) + 0.5) / (total + 1)
         self.vocabulary = Vocabulary({}, grow=True)
         self.rows = [(k, y, *self.vocabulary.counts(t)) for k, t, y in texts]
-        self.vocabulary.grow = False
+        self.vocabulary.freeze()
         self.n_terms = len(self.vocabulary.number)
         taught = Counter(y for _, y, _, _ in self.rows)
         #: an example stands for this many labelled rows, toxic ones for one
@@ -344,7 +348,7 @@ def _frequencies(spark, rows: DataFrame, model: Model) -> tuple[np.ndarray, int]
         vocabulary, n = sent.value, np.zeros(n_terms + 1, np.int64)  # the last counts rows
         for batch in batches:
             for t in batch.column("t"):
-                n[vocabulary.counts(t.as_py())[0]] += 1
+                n[vocabulary.present(t.as_py())] += 1  # repeats are added once
                 n[-1] += 1
         part = TaskContext.get().partitionId() % 64
         for c in range(0, len(n), CHUNK):

@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import math
+import pickle
 import random
 import re
 import time
@@ -255,6 +256,35 @@ def test_block_max_is_exact(dense):
         assert np.allclose(score, every[want]) and (list(at) == want or np.allclose(every[at], every[want]))
 
 
+def test_vocabulary_looks_words_up_without_remembering_them():
+    rng = random.Random(4)
+    letters = "abé\ud800\ufffdß"
+    word = lambda: "".join(rng.choices(letters, k=rng.randint(1, 9)))
+    texts = [" ".join(word() for _ in range(rng.randint(0, 60))) for _ in range(80)]
+
+    def plain(text):
+        out = {}
+        for w in text.split():
+            w = w.encode("utf-8", "surrogatepass").decode("utf-8", "replace")
+            for t in (w, *(w[:n] + "*" for n in (4, 6) if len(w) > n)):
+                out[t] = out.get(t, 0) + 1
+        return out
+
+    vocabulary = toxicity.Vocabulary({}, grow=True)
+    for t in texts[:30]:
+        terms, tf = vocabulary.counts(t)
+        names = list(vocabulary.number)
+        assert {names[i]: n for i, n in zip(terms, tf)} == plain(t) and list(terms) == sorted(terms)
+    vocabulary = pickle.loads(pickle.dumps(vocabulary))
+    names, state = list(vocabulary.number), pickle.dumps(vars(vocabulary))
+    for t in texts:
+        terms, tf = vocabulary.counts(t)
+        want = {x: n for x, n in plain(t).items() if x in vocabulary.number}
+        assert {names[i]: n for i, n in zip(terms, tf)} == want and list(terms) == sorted(terms)
+        assert {names[i] for i in vocabulary.present(t)} == set(want)
+    assert pickle.dumps(vars(vocabulary)) == state
+
+
 def toxic_rows(n, seed):
     rng = random.Random(seed)
     words = [f"w{i}" for i in range(400)]
