@@ -39,6 +39,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays: five-word shingles, similarity of 0.8.
 
+    All SimHash fingerprints are searched by the pigeonring as in op3, and the shingle sets of linked texts decide; similar
+    texts more than two bits apart are found by bands besides. See neardup.near_classes().
     The smallest doc_id stays, null ids last; of rows that repeat in full one stays; null and empty texts are one class,
     and so is each text of fewer than five words. An empty table stays empty. Columns of any name stay as they are.
     """

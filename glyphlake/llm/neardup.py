@@ -1,8 +1,10 @@
-"""Near-duplicate documents at a word-shingle similarity, with SimHash and pigeonring filtering.
+"""Near-duplicate documents at a word-shingle similarity, by SimHash with pigeonring search, and beyond its reach.
 
-A Hamming distance of a few bits of 64 finds only texts of a Jaccard similarity near 1; at 0.8 about ten bits differ,
-and no segment can be expected to agree. So candidates come from bands of minimum hashes over the same shingle hashes,
-the pigeonring filter and the full Hamming check on SimHash fingerprints prune them, and shingle sets decide.
+All fingerprints go through simhash.search(): buckets by the ring's segments, chains, the Hamming distance of two bits.
+Texts so linked are compared by their shingle sets, and star contraction makes the classes. Two bits of 64 are reached by
+texts of a Jaccard similarity near 1 only; at 0.8 about ten bits differ, and no segment can be expected to agree. So more
+candidates come from bands of minimum hashes over the same shingle hashes, pruned by the pigeonring filter and the Hamming
+distance of the same fingerprints.
 """
 
 from __future__ import annotations
@@ -19,10 +21,12 @@ from pyspark.sql import Window as W
 
 from glyphlake.llm.common import own_names, text_of, written
 from glyphlake.llm.components import components
-from glyphlake.llm.simhash import BITS, majority, ring_near, shingle_hashes
+from glyphlake.llm.simhash import majority, ring_near, search, shingle_hashes
 
 #: Bands of rows of minimum hashes: at a similarity of 0.8 a pair shares a band with probability 0.9993.
 BANDS, ROWS = 24, 6
+#: Bits that the fingerprints of a link of the pigeonring search differ in, at most.
+LINKED = 2
 #: Bits that fingerprints of similar sets may differ in: at 0.8 about 9.7 are expected, with a deviation of 2.9.
 DISTANCE, SEGMENTS = 24, 8
 #: Buckets up to this size are compared pair by pair.
@@ -61,6 +65,23 @@ def _sketches(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     return rows.mapInArrow(run, "k bigint, th bigint, node binary, fp bigint, keys array<bigint>")
 
 
+def _linked(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (u, v) of nodes whose fingerprints simhash.search() links; and nodes of which these do not hold every pair.
+
+    A fingerprint's least node stands for it. The nodes of fingerprints that several have, or that are linked to such a
+    one, or lie in a large bucket of the ring, are left to the prefix join of _across() besides.
+    """
+    g = written(nodes.groupBy("fp").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("n")), "neardup-fps")
+    found, many = search(g.select("fp"), LINKED, bucket=BUCKET)
+    of = lambda side: g.select(F.col("fp").alias(side), F.col("rep").alias(f"rep_{side}"), F.col("n").alias(f"n_{side}"))
+    found = written(found.join(of("u"), "u").join(of("v"), "v"), "neardup-ring")
+    copies = nodes.join(g.where("n > 1"), "fp").where("node <> rep").select(F.col("rep").alias("u"), F.col("node").alias("v"))
+    pairs = found.select(F.least("rep_u", "rep_v").alias("u"), F.greatest("rep_u", "rep_v").alias("v")).union(copies)
+    shared = found.where("n_u > 1 OR n_v > 1")
+    hot = many.union(shared.select("u")).union(shared.select("v")).union(g.where("n > 1").select("fp")).distinct()
+    return pairs, nodes.join(hot, "fp").select("node")
+
+
 def _candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs (u, v) of nodes that share a band and pass the filter, linear in the nodes; and the nodes in large buckets."""
     b = nodes.select("node", "fp", F.posexplode("keys").alias("band", "key"))
@@ -182,23 +203,25 @@ def near_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, key:
 
     Classes are the connected components of texts whose sets of `width`-word shingles (A-Z lower-cased) have a Jaccard
     similarity of at least `similarity`; shorter texts are one shingle, and empty and null texts are one class. The
-    smallest key stays, null keys last. Links within buckets of at most BUCKET texts are found pair by pair; in larger
+    smallest key stays, null keys last. All texts whose fingerprints the pigeonring search links are compared. Links within buckets of at most BUCKET texts that share a band are found pair by pair; in larger
     ones each text is compared with leaders and with neighbours in 24 sort orders, and the keepers of the classes that
     come of it are compared again in the smaller buckets that they make, as long as that finds links. Texts of large
-    buckets that are still in different classes then meet wherever the rare ends of their shingle sets do, which no
-    similar pair avoids. So a similar pair is missed only if it shares no band or its fingerprints fail the filter in a
-    small bucket, and no large bucket is paired with itself. Tables of ids are broadcast while they have at most max_broadcast_rows rows.
+    buckets, and of fingerprints that many share, that are still in different classes then meet wherever the rare ends of
+    their shingle sets do, which no similar pair avoids. So a similar pair is missed only if its fingerprints are
+    more than LINKED bits apart and it shares no band or fails the filter in a small bucket, and no large bucket is paired
+    with itself. Tables of ids are broadcast while they have at most max_broadcast_rows rows.
     """
     made = written(_sketches(docs, key, text, width), "neardup-sketches")
     least = F.min(F.struct(F.col("k").isNull().alias("nil"), "k", "th"))
     nodes = written(made.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), least.alias("least")), "neardup-nodes")
     owners = nodes.select("node", "least.k", "least.th")
+    ring, hot = _linked(nodes)
     # keepers of classes in large buckets meet again, in smaller buckets, until no two of them are found to be similar
     looked, links, rooted, crowded = nodes, None, None, None
     owned = (docs, owners, width, key, text, max_broadcast_rows)
     while True:
         pairs, large = _candidates(looked)
-        pairs = written(pairs, "neardup-pairs")
+        pairs = written(pairs if rooted is not None else pairs.union(ring).distinct(), "neardup-pairs")
         involved = pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "node")
         new = written(_verified(pairs, _sets(involved, *owned), similarity), "neardup-links")
         if rooted is not None and new.limit(1).count() == 0:
@@ -207,7 +230,8 @@ def near_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, key:
         comp = components(links)
         rooted = written(nodes.join(comp, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "neardup-roots")
         large = written(large, "neardup-large")
-        crowded = large if crowded is None else crowded  # large buckets of later rounds are parts of these
+        if crowded is None:  # large buckets of later rounds are parts of these
+            crowded = written(large.union(hot).distinct(), "neardup-crowded-nodes")
         if large.limit(1).count() == 0:
             break
         again = rooted.join(large, "node").select("root").distinct()

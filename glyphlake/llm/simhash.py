@@ -96,14 +96,8 @@ def ring_near(d: Column, distance: int, segments: int) -> Column:
     return chains & (F.bit_count(d) <= distance)
 
 
-def links(fps: DataFrame, distance: int = 2, segments: int = 8, bucket: int = 48) -> DataFrame:
-    """Pairs (u, v) of different values of fps.fp that connect all values at most `distance` bits apart.
-
-    For distance 2 every pair within the distance is joined by a path of returned pairs, each within the distance.
-    Buckets of at most `bucket` values are compared pair by pair in one row. Values of larger buckets are linked exactly
-    without pairs: each is sent to itself and to its 64 values one bit away; values that meet are at most two bits
-    apart, and any two within two bits meet, so a star on the smallest holds all that pairs would.
-    """
+def search(fps: DataFrame, distance: int = 2, segments: int = 8, bucket: int = 48) -> tuple[DataFrame, DataFrame]:
+    """links(), and the values (fp) that lie in a large bucket; all other values have every pair within the distance in links()."""
     if distance != 2:
         raise ValueError("links are made for a distance of 2")
     seg = _segments(segments)
@@ -126,7 +120,18 @@ def links(fps: DataFrame, distance: int = 2, segments: int = 8, bucket: int = 48
     met = many.select("fp", F.explode(F.transform(flips, lambda f: F.col("fp").bitwiseXOR(f))).alias("at"))
     hubs = met.groupBy("at").agg(F.min("fp").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("at", "hub")
     stars = met.join(hubs, "at").where("fp <> hub").select(F.col("hub").alias("u"), F.col("fp").alias("v")).distinct()
-    return few.union(stars)
+    return few.union(stars), many
+
+
+def links(fps: DataFrame, distance: int = 2, segments: int = 8, bucket: int = 48) -> DataFrame:
+    """Pairs (u, v) of different values of fps.fp that connect all values at most `distance` bits apart.
+
+    For distance 2 every pair within the distance is joined by a path of returned pairs, each within the distance.
+    Buckets of at most `bucket` values are compared pair by pair in one row. Values of larger buckets are linked exactly
+    without pairs: each is sent to itself and to its 64 values one bit away; values that meet are at most two bits
+    apart, and any two within two bits meet, so a star on the smallest holds all that pairs would.
+    """
+    return search(fps, distance, segments, bucket)[0]
 
 
 def classes(fps: DataFrame, key: str = "doc_id", distance: int = 2) -> DataFrame:

@@ -132,6 +132,28 @@ def test_near_duplicates_on_one_template(spark):
     assert sorted(r.doc_id for r in kept) == sorted(set(want))
 
 
+def test_near_duplicates_by_fingerprints_alone(spark, small, monkeypatch):
+    """The stage finds all links of the pigeonring search where no two texts share a band, in large buckets too."""
+    import corpus_pipeline as cp
+
+    sketches = neardup._sketches
+    monkeypatch.setattr(neardup, "_sketches", lambda *a: sketches(*a).withColumn("keys", F.array(F.xxhash64("node"))))
+    monkeypatch.setattr(neardup, "BUCKET", 8)
+    rng = random.Random(14)
+    texts = []
+    for n in (2, 3, 3, 4, 6, 40):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(600)]
+        texts += [" ".join(edited(base, k % 4, rng)) for k in range(n)]
+    texts += [" ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) for _ in range(10)]
+    fps = [neardup.sketch(t.encode(), 5)[1] for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if ((fps[i] ^ fps[j]) & (2**64 - 1)).bit_count() <= 2]
+    alike = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
+    least, most = (brute_classes(links, len(texts)) for links in (set(near) & set(alike), alike))
+    assert len(set(least)) < len(texts) - 10
+    kept = {r.doc_id for r in cp.dedup_stage(spark, spark.createDataFrame(list(enumerate(texts)), TEXT), small).collect()}
+    assert set(most) <= kept <= set(least)
+
+
 def test_repeated_row_stays_once(spark):
     d = spark.createDataFrame([(1, "same row here"), (1, "same row here"), (None, "z"), (None, "z"), (2, "other")], TEXT)
     assert sorted(str(r.doc_id) for r in neardup.deduplicated(d).collect()) == ["1", "2", "None"]
