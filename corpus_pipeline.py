@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphlake.llm import decontaminate, mixing, neardup, quality, secrets
-from glyphlake.llm.common import own_names, text_of, written
+from glyphlake.llm.common import own_names, small_batches, text_of, written
 
 #: Ids of rejected documents are broadcast up to this number, and joined by shuffle beyond it.
 MOST_IDS = 500_000
@@ -30,10 +30,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     empty. Columns of any name stay as they are.
     """
     d, key, text, _ = own_names(docs, "doc_id", "text")
-    judged = quality.judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    gone = judged.where(~F.col("keep")).select(F.col("doc_id").alias("k"), "th")
     same = F.xxhash64(text_of(text)).eqNullSafe(F.col("th")) & F.col(key).cast("bigint").eqNullSafe(F.col("k"))
-    return _without(d, gone, same).toDF(*docs.columns)
+    with small_batches(spark):
+        judged = quality.judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+        gone = judged.where(~F.col("keep")).select(F.col("doc_id").alias("k"), "th")
+        return _without(d, gone, same).toDF(*docs.columns)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +45,8 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The smallest doc_id stays, null ids last; of rows that repeat in full one stays; null and empty texts are one class,
     and so is each text of fewer than five words. An empty table stays empty. Columns of any name stay as they are.
     """
-    return neardup.deduplicated(docs)
+    with small_batches(spark):
+        return neardup.deduplicated(docs)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +57,9 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """
     d, key, text, _ = own_names(docs, "doc_id", "text")
     rows = d.select(F.xxhash64(key, text_of(text)).alias("row"), F.col(text).alias("text"))
-    found = decontaminate.contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="row")
-    return _without(d, found.select("row"), F.xxhash64(key, text_of(text)) == F.col("row")).toDF(*docs.columns)
+    with small_batches(spark):
+        found = decontaminate.contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="row")
+        return _without(d, found.select("row"), F.xxhash64(key, text_of(text)) == F.col("row")).toDF(*docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Java regular expression of a word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of rows that go to a Python worker at a time; a longer row goes alone.
+BATCH_BYTES = 1 << 20
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,6 +41,21 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> Iterator[None]:
+    """Jobs started inside send rows to Python in batches of about `most` bytes; all rows are sent, and the setting is put back.
+
+    By rows alone a batch of texts takes tens of megabytes, in the executor's JVM and in each of its workers, and neither
+    gives them back.
+    """
+    before = spark.conf.get(_BATCHES, None)
+    spark.conf.set(_BATCHES, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.unset(_BATCHES) if before is None else spark.conf.set(_BATCHES, before)
+
+
 def text_of(c: str | Column) -> Column:
     """The text, empty for null."""
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))

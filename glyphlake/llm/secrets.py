@@ -126,7 +126,8 @@ def _ledger(spark, at: str) -> DataFrame:
     schema = f"digest string, rule string, spans {SPAN}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(at)
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        return spark.createDataFrame([], schema)
+        # not of a list: its rows, none, would come of Python workers
+        return spark.range(0).select(*(F.lit(None).cast(t).alias(c) for c, t in (("digest", "string"), ("rule", "string"), ("spans", SPAN))))
     return spark.read.schema(schema).parquet(at)
 
 

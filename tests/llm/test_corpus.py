@@ -8,7 +8,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from glyphlake.llm import components, decontaminate, neardup, quality, simhash
+import corpus_pipeline
+from glyphlake.llm import common, components, decontaminate, neardup, quality, secrets, simhash
 
 TEXT = "doc_id bigint, text string"
 
@@ -382,3 +383,48 @@ def test_quality_posteriors_against_brute_force(spark):
         path_rate = (sum(v) - r.evidence + k * host_rate[site[r.doc_id, r.th][0]]) / (len(v) - 1 + k)
         score = 1 / (1 + np.exp(-(logit(r.evidence) + logit(path_rate) - logit(rate))))
         assert abs(r.path_rate - path_rate) < 1e-6 and abs(r.score - score) < 1e-6 and r.keep == (r.score >= 0.5)
+
+
+def test_batches_of_bounded_bytes(spark):
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    long = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), 4000).alias("t"))
+    with common.small_batches(spark):
+        got = long.mapInArrow(sizes, "n bigint, size bigint").agg(F.sum("n"), F.max("size")).first()
+    assert got[0] == 3000 and got[1] < 2 * common.BATCH_BYTES
+    assert spark.conf.get(setting, None) is None
+    for given in (None, "5000000"):  # what the session had is put back, after an error too
+        if given:
+            spark.conf.set(setting, given)
+        with pytest.raises(ZeroDivisionError), common.small_batches(spark, 1 << 10):
+            assert spark.conf.get(setting) == "1024"
+            _ = 1 // 0
+        assert spark.conf.get(setting, None) == given
+        spark.conf.unset(setting)
+
+
+@pytest.mark.parametrize("stage", [0, 1, 2])
+def test_all_python_jobs_of_a_stage_have_small_batches(spark, small, monkeypatch, stage):
+    seen = []
+    for module in (corpus_pipeline, quality, neardup, decontaminate):
+        def noted(df, tag, write=common.written):
+            seen.append((tag, spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)))
+            return write(df, tag)
+
+        monkeypatch.setattr(module, "written", noted)
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    out = corpus_pipeline.STAGES[stage][1](spark, docs, small)
+    assert seen and all(most and int(most) <= 1 << 20 for _, most in seen)
+    assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()  # nothing is left to run later
+
+
+def test_empty_ledger_needs_no_python_workers(spark, tmp_path):
+    none = secrets._ledger(spark, f"file://{tmp_path}/none")
+    assert none.count() == 0 and none.dtypes == [("digest", "string"), ("rule", "string"), ("spans", secrets.SPAN)]
+    assert "ExistingRDD" not in none._jdf.queryExecution().executedPlan().toString()
