@@ -1,4 +1,4 @@
-"""Importing this module registers the ten queries."""
+"""Importing this module registers the thirteen queries."""
 
 from __future__ import annotations
 
@@ -13,6 +13,9 @@ from glyphlake.llm import (  # noqa: F401
     q08_html,
     q09_topk,
     q10_quality,
+    q11_divergence,
+    q12_fim,
+    q13_packing,
 )
 from glyphlake.llm.registry import ORACLE, QUERIES
 
