@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 
 def content_key(content: Column) -> tuple[Column, Column]:
-    """Length in bytes and SHA-256."""
-    data = F.encode(content, "UTF-8") if isinstance(content, Column) else content
-    return F.octet_length(content).cast("bigint").alias("length"), F.sha2(data, 256).alias("digest")
+    """Length in bytes and SHA-256 of the bytes, of a text those of its UTF-8."""
+    return F.octet_length(content).cast("bigint").alias("length"), F.sha2(content.cast("binary"), 256).alias("digest")
 
 
 def keepers(df: DataFrame, path: str, content: str, priority: Column | None = None) -> DataFrame:

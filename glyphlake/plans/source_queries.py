@@ -6,12 +6,11 @@ import io
 import zipfile
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from glyphlake.functions import text
-from glyphlake.operators import dedupe, glyphs, manifest, raster, reports, tensors, verdicts
+from glyphlake.operators import compositing, dedupe, glyphs, manifest, raster, reports, tensors, verdicts
 from glyphlake.plans.corpus_queries import FILE, SUFFIX_SQL, VERDICT_SQL, bad_doc_verdict, files
 from glyphlake.plans.registry import query
 from glyphlake.plans.tensor_queries import LONG_SQL, UNIT_SQL, _long, _unit
@@ -168,21 +167,20 @@ SELECT vec_id, string_agg(CASE WHEN b > 0 THEN b ELSE a END, ',' ORDER BY r, c)
 FROM p GROUP BY vec_id""")
 def painted(spark, sf_dir):
     """Two glyphs of 4 by 4 pixels of a vector on a canvas of 5 by 6, the second over the first without blending."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.bool_(), *[pa.int32()] * 4]
-        for batch in batches:
-            rows = []
-            for i, values in zip(batch.column("vec_id").to_pylist(), batch.column("g").to_pylist(), strict=True):
-                a, b = (np.array(values[k : k + 16], np.uint8).reshape(4, 4) for k in (0, 16))
-                canvas, over, box, empty = raster.paint([(0, 0, a), (i % 4, i % 3, b)], 5, 6, blend=False)
-                rows.append((i, ",".join(map(str, canvas.ravel().tolist())), over, *empty, *(box or [None] * 4)))
-            cols = list(zip(*rows, strict=True)) or [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["vec_id", "canvas", "overwrites", "first_empty", "second_empty", "l", "t", "r", "b"])
-
-    g = F.transform("u", lambda v: F.greatest(F.round(v * 255).cast("int") - 128, F.lit(0)))
-    return _unit(spark, sf_dir).select(F.col("vec_id").cast("bigint").alias("vec_id"), g.alias("g")).mapInArrow(
-        run, "vec_id bigint, canvas string, overwrites bigint, first_empty boolean, second_empty boolean, l int, t int, r int, b int"
+    c = F.col
+    g = _unit(spark, sf_dir).select("vec_id", F.posexplode(F.slice(F.transform("u", lambda v: F.greatest(F.round(v * 255).cast("int") - 128, F.lit(0))), 1, 32)).alias("i", "value"))
+    second, r, q = c("i") >= 16, F.floor((c("i") % 16) / 4).cast("int"), (c("i") % 4).cast("int")
+    x, y = F.when(second, q + (c("vec_id") % 4).cast("int")).otherwise(q), F.when(second, r + (c("vec_id") % 3).cast("int")).otherwise(r)
+    layers = g.select("vec_id", F.floor(c("i") / 16).cast("int").alias("z"), x.alias("x"), y.alias("y"), "value")
+    on = compositing.clipped(layers, 6, 5)
+    places = compositing.composited(on, ["vec_id"], how="replace")
+    used = on.where("value > 0").groupBy("vec_id").agg(*(F.max((c("z") == z).cast("int")).alias(f"used{z}") for z in (0, 1)))
+    pixels = places.groupBy("vec_id").agg(F.map_from_entries(F.collect_list(F.struct(c("y") * 6 + c("x"), c("value").cast("string")))).alias("m"))
+    line = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(29)), lambda k: F.coalesce(F.element_at("m", k), F.lit("0"))), ",")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id").join(pixels, "vec_id", "left").join(compositing.summary(places, ["vec_id"]), "vec_id", "left").join(used, "vec_id", "left")
+    return rows.select(
+        "vec_id", line.alias("canvas"), F.coalesce("overwrites", F.lit(0)).alias("overwrites"),
+        *((F.coalesce(f"used{z}", F.lit(0)) == 0).alias(n) for z, n in ((0, "first_empty"), (1, "second_empty"))), "l", "t", "r", "b",
     )
 
 
