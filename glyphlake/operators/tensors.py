@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -136,3 +138,21 @@ def grid_position(i: Column, n: Column) -> Column:
     """Row and column of image i of n in a grid of ceil(sqrt(n)) columns."""
     w = F.ceil(F.sqrt(n)).cast("int")
     return F.struct(F.floor(i / w).cast("int").alias("row"), (i % w).cast("int").alias("col"), w.alias("columns"))
+
+
+def mosaic_lines(tiles: DataFrame, n: int, fill: float = 0.5, blank: str = "blank") -> DataFrame:
+    """(line, pixels) of a picture of n tiles (i, line, pixels) in a grid as grid_position() has it; line counts from its top.
+
+    A tile is its lines, arrays of equal length; i counts from 0. Places without a tile are filled with `fill`. Lines are
+    put together one by one from the tiles beside each other, so no task holds the picture, or a whole tile. The last
+    places of the grid are the only ones that may lack a tile.
+    """
+    columns = max(1, math.isqrt(max(n - 1, 0)) + (n > 0 and math.isqrt(n - 1) ** 2 < n)) if n > 1 else 1
+    height = F.max(F.col("line") + 1)
+    size = tiles.agg(height.alias("_height"), F.max(F.size("pixels")).alias("_width"))  # one row
+    t = tiles.join(F.broadcast(size)).withColumn("_g", F.floor(F.col("i") / columns) * F.col("_height") + F.col("line"))
+    part = F.struct((F.col("i") % columns).alias("col"), F.col("pixels"))
+    lines = t.groupBy("_g").agg(F.array_sort(F.collect_list(part)).alias("_p"), F.first("_width").alias("_width"))
+    have = F.flatten(F.transform("_p", lambda p: p["pixels"]))
+    missing = F.array_repeat(F.lit(fill).cast(tiles.schema["pixels"].dataType.elementType), columns * F.col("_width") - F.size(have))
+    return lines.select(F.col("_g").cast("bigint").alias("line"), F.concat(have, missing).alias("pixels"))

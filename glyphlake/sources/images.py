@@ -20,6 +20,10 @@ STYLES = {"fastest": ".pgm", "efficient": ".tiff", "smaller": ".png"}
 #: How a PNG begins, and the bytes of a pixel by colour type (grey, colour, palette, grey and colour with alpha).
 PNG = b"\x89PNG\r\n\x1a\n"
 CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+#: Fixed values of TIFF: its kinds of whole numbers (bytes, 16 and 32 bits), its packings, and two codes of its LZW.
+NUMBERS = {1: ("B", 1), 3: ("H", 2), 4: ("I", 4)}
+PACKED = {1: "plain", 5: "lzw", 8: "deflate", 32946: "deflate"}
+CLEAR_CODE, END_CODE = 256, 257
 
 
 def parse_pgm(data: bytes) -> tuple[int, int, bytes]:
@@ -102,7 +106,9 @@ def unfiltered(rows: np.ndarray, k: int) -> np.ndarray:
 
 
 def parse(data: bytes) -> tuple[int, int, bytes]:
-    """A grey map or a PNG, told by how it begins."""
+    """A grey map, a PNG or a TIFF, told by how it begins."""
+    if data[:2] in (b"II", b"MM"):
+        return parse_tiff(data)
     return parse_png(data) if data[:8] == PNG else parse_pgm(data)
 
 
@@ -169,6 +175,108 @@ def encode_tiff(height: int, width: int, pixels: bytes) -> bytes:
     return struct.pack("<2sHI", b"II", 42, at) + body + b"\0" * (len(body) % 2) + struct.pack("<H", len(tags)) + entries + b"\0\0\0\0"
 
 
+def unlzw(data: bytes, most: int) -> bytes:
+    """What lzw() packed, up to `most` bytes; a code that was not made yet, or a stream without end, raises ValueError."""
+    single = [bytes([i]) for i in range(256)] + [b"", b""]
+    table, width, last = list(single), 9, b""
+    out, made, held, bits = [], 0, 0, 0
+    for byte in data:
+        held, bits = (held << 8) | byte, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code = held >> bits
+        held &= (1 << bits) - 1
+        if code == END_CODE or made >= most:
+            break
+        if code == CLEAR_CODE:
+            table, width, last = list(single), 9, b""
+            continue
+        if code < len(table):
+            piece = table[code]
+        elif code == len(table) and last:
+            piece = last + last[:1]
+        else:
+            raise ValueError("a code that was not made yet")
+        if last:
+            table.append(last + piece[:1])
+        out.append(piece)
+        made += len(piece)
+        last = piece
+        # a code is widened one before the table needs it
+        width = min(12, max(9, (len(table) + 1).bit_length()))
+    else:
+        raise ValueError("the packed pixels have no end")
+    return b"".join(out)[:most]
+
+
+def _tags(data: bytes) -> dict[int, list[int]]:
+    """The numbers of the first directory of a TIFF by tag, in the file's byte order."""
+    order = {b"II": "<", b"MM": ">"}.get(data[:2])
+    if order is None or len(data) < 8 or struct.unpack_from(order + "H", data, 2)[0] != 42:
+        raise ValueError("no TIFF")
+    (at,) = struct.unpack_from(order + "I", data, 4)
+    try:
+        (n,) = struct.unpack_from(order + "H", data, at)
+        found = {}
+        for i in range(n):
+            tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
+            if kind not in NUMBERS:
+                continue
+            letter, size = NUMBERS[kind]
+            place = at + 10 + 12 * i
+            if count * size > 4:
+                (place,) = struct.unpack_from(order + "I", data, place)
+            found[tag] = list(struct.unpack_from(f"{order}{count}{letter}", data, place))
+    except struct.error as e:
+        raise ValueError("the directory is cut off") from e
+    return found
+
+
+def parse_tiff(data: bytes) -> tuple[int, int, bytes]:
+    """(height, width, grey pixels) of the first picture of a TIFF in strips: grey or colour, 8 bits a sample.
+
+    Strips may be plain, LZW or deflate, with or without differences along the rows. Colours become grey as those of PNG;
+    pictures in which 0 is white are turned.
+    """
+    tags = _tags(data)
+    one = lambda tag, other: tags.get(tag, [other])[0]
+    width, height, k = one(256, 0), one(257, 0), one(277, 1)
+    packing, kind, per_strip = one(259, 1), one(262, 1), one(278, height)
+    if set(tags.get(258, [1])) != {8} or k not in (1, 3, 4) or kind not in (0, 1, 2) or (kind == 2) != (k >= 3) or one(284, 1) != 1:
+        raise ValueError("not grey or colour with 8 bits a sample, sample by sample")
+    if packing not in PACKED:
+        raise ValueError(f"packing {packing} is not read")
+    places, lengths = tags.get(273, []), tags.get(279, [])
+    if not width or not height or not per_strip or len(places) != len(lengths) or len(places) != -(-height // per_strip):
+        raise ValueError("strips are missing")
+    strips = []
+    for i, (at, n) in enumerate(zip(places, lengths, strict=True)):
+        want = min(per_strip, height - i * per_strip) * width * k
+        part = data[at : at + n]
+        if len(part) < n:
+            raise ValueError("a strip is cut off")
+        if PACKED[packing] == "lzw":
+            part = unlzw(part, want)
+        elif PACKED[packing] == "deflate":
+            try:
+                part = zlib.decompressobj().decompress(part, want)
+            except zlib.error as e:
+                raise ValueError(f"pixels are damaged: {e}") from e
+        if len(part) < want:
+            raise ValueError("too few pixels")
+        strips.append(part[:want])
+    rows = np.frombuffer(b"".join(strips), np.uint8).reshape(height, width, k)
+    if one(317, 1) == 2:
+        rows = np.cumsum(rows, axis=1, dtype=np.uint8)
+    if k >= 3:
+        rows = rows[:, :, :3].astype(np.int64) @ np.array([299, 587, 114]) // 1000
+    else:
+        rows = rows[:, :, 0]
+    rows = rows.astype(np.uint8)
+    return height, width, (255 - rows if kind == 0 else rows).tobytes()
+
+
 ENCODERS = {"fastest": encode_pgm, "efficient": encode_tiff, "smaller": encode_png}
 
 
@@ -178,7 +286,7 @@ def read_pgm(files: DataFrame) -> DataFrame:
 
 
 def read_images(files: DataFrame) -> DataFrame:
-    """Grey maps and PNGs as images; what is neither, or damaged, is a row with its error."""
+    """Grey maps, PNGs and TIFFs as images; what is none of these, or damaged, is a row with its error."""
     return _read(files, parse)
 
 
@@ -216,6 +324,18 @@ def encoded(images: DataFrame, style: str = "fastest") -> DataFrame:
     return images.select("image_id", "height", "width", "data").mapInArrow(run, "name string, content binary")
 
 
+def changed_pixels(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(image_id, changed) of two sets of images: pixels that differ, all of the first where the second has another shape or none.
+
+    0 for every image says that a way through files is lossless.
+    """
+    a, b = (pixels(x).withColumnsRenamed({c: f"{c}{k}" for c in ("height", "width", "pixels")}) for k, x in enumerate((before, after)))
+    both = a.join(b, "image_id", "left")
+    same = (F.col("height0") == F.col("height1")) & (F.col("width0") == F.col("width1"))
+    differ = F.aggregate(F.zip_with("pixels0", "pixels1", lambda x, y: (x != y).cast("int")), F.lit(0), lambda n, d: n + d)
+    return both.select("image_id", F.when(same, differ).otherwise(F.size("pixels0")).cast("bigint").alias("changed"))
+
+
 def pixels(images: DataFrame) -> DataFrame:
     """images with `pixels`, an array of numbers from 0 to 255."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
