@@ -7,11 +7,13 @@ make up a bucket, numbered in a shuffled order, from which batches are cut.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,38 +24,83 @@ from glyphlake.llm.common import small_batches, text_of, written
 LONGEST = 2048
 #: The id that ends a document.
 END = 1
-#: Runs without white space that a task remembers the ids of, and the bytes of the longest of them.
-REMEMBERED, LONGEST_RUN = 100_000, 128
+#: Runs without white space whose ids a task remembers, twice so many at most, and the bytes of the longest of them.
+REMEMBERED, LONGEST_RUN = 150_000, 128
 #: Rows of a cell of a bucket, at least; cells of a bucket of n rows hold the square root of n if that is more.
 CELL = 20_000
+#: Characters that normalisation only turns to lower case, one by one, whatever stands beside them.
+_PLAIN = regex.compile(r"[!-~\u00c0-\u024f\u0400-\u045f]+")
+#: Fixed values of the tokenizer: the pattern of its words, and how it writes each byte of one as a character: printable ones
+#: of Latin-1 as themselves, the others, in order, from U+0100 on.
+_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTES = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+_packed = struct.Struct("<I").pack
 _PIECE = "k bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
 class Ids:
     """Ids of texts as little-endian unsigned 32-bit numbers.
 
-    The tokenizer's units never hold white space, and its normalisation composes nothing across it, so a text's ids are
-    those of its runs between ASCII white space, one after the other. Runs recur, so most are looked up.
+    The tokenizer's words never hold white space, and its normalisation composes nothing across it, so a text's ids are
+    those of its runs between ASCII white space, one after the other. Runs recur, so most are looked up. A new run of
+    plain characters is cut into words here, by the tokenizer's own pattern, and only its words go to the tokenizer's
+    model; any other run goes through the whole tokenizer.
     """
 
     def __init__(self, tokenizer: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer)
+        self.model = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     def of(self, texts: list[bytes]) -> Iterator[bytes]:
         for text in texts:
+            # where nothing composes with an ASCII letter and no special token may begin, its case does not matter
+            if b"<|" not in text and b"\xcc" not in text and b"\xcd" not in text:
+                text = text.lower()
             runs = text.split()
-            new = list({r for r in runs if r not in self.known})
+            if len(self.known) > REMEMBERED:
+                self.known, self.before = {}, self.known
             known = self.known
-            for at in range(0, len(new), 1000):
-                part = new[at : at + 1000]
-                for run, e in zip(part, self.tokenizer.encode_batch_fast([r.decode() for r in part], add_special_tokens=False), strict=True):
-                    known[run] = np.array(e.ids, "<u4").tobytes()
+            new = set(runs).difference(known)
+            for run in new:
+                known[run] = self._of(run)
             yield b"".join(map(known.__getitem__, runs))
-            if len(known) > REMEMBERED or any(len(r) > LONGEST_RUN for r in new):
-                self.known = {} if len(known) > REMEMBERED else {r: i for r, i in known.items() if len(r) <= LONGEST_RUN}
+            for run in new:
+                if len(run) > LONGEST_RUN:
+                    del known[run]
+
+    def _of(self, run: bytes) -> bytes:
+        ids = self.before.get(run)
+        if ids is not None:
+            return ids
+        text = run.decode()
+        if not _PLAIN.fullmatch(text) or "<|" in text:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        text = text.lower()
+        if text.isalpha():
+            return self._word(text)
+        words = (text[:-1], text[-1]) if text[:-1].isalpha() and text[-1] in ".,;:!?" else _WORDS.findall(text)
+        if len(words) == 1:
+            return self._word(text)
+        out, known = [], self.known
+        for word in words:
+            key = word.encode()
+            ids = known.get(key)
+            if ids is None:
+                ids = self.before.get(key) or self._word(word)
+                if len(key) <= LONGEST_RUN:
+                    known[key] = ids
+            out.append(ids)
+        return b"".join(out)
+
+    def _word(self, word: str) -> bytes:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_BYTES)
+        return b"".join([_packed(t.id) for t in self.model.tokenize(word)])
 
 
 def cuts(n: int, longest: int = LONGEST) -> Iterator[tuple[int, int]]:
