@@ -7,7 +7,6 @@ make up a bucket, numbered in a shuffled order, from which batches are cut.
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +24,7 @@ LONGEST = 2048
 #: The id that ends a document.
 END = 1
 #: Runs without white space whose ids a task remembers, twice so many at most, and the bytes of the longest of them.
-REMEMBERED, LONGEST_RUN = 150_000, 128
+REMEMBERED, LONGEST_RUN = 300_000, 128
 #: Rows of a cell of a bucket, at least; cells of a bucket of n rows hold the square root of n if that is more.
 CELL = 20_000
 #: Characters that normalisation only turns to lower case, one by one, whatever stands beside them.
@@ -35,7 +34,6 @@ _PLAIN = regex.compile(r"[!-~\u00c0-\u024f\u0400-\u045f]+")
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _BYTES = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
-_packed = struct.Struct("<I").pack
 _PIECE = "k bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
@@ -53,6 +51,7 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(tokenizer)
         self.model = self.tokenizer.model
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
 
@@ -64,21 +63,22 @@ class Ids:
             runs = text.split()
             if len(self.known) > REMEMBERED:
                 self.known, self.before = {}, self.known
-            known = self.known
+            known, before = self.known, self.before
             new = set(runs).difference(known)
             for run in new:
-                known[run] = self._of(run)
+                ids = before.get(run)
+                known[run] = self._of(run) if ids is None else ids
             yield b"".join(map(known.__getitem__, runs))
-            for run in new:
-                if len(run) > LONGEST_RUN:
-                    del known[run]
+            if new and max(map(len, new)) > LONGEST_RUN:
+                for run in new:
+                    if len(run) > LONGEST_RUN:
+                        del known[run]
 
     def _of(self, run: bytes) -> bytes:
-        ids = self.before.get(run)
-        if ids is not None:
-            return ids
+        if run.isalpha():  # of ASCII letters
+            return self._word(run.decode().lower())
         text = run.decode()
-        if not _PLAIN.fullmatch(text) or "<|" in text:
+        if not (text.isascii() and text.isprintable() or _PLAIN.fullmatch(text)) or "<|" in text:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         text = text.lower()
         if text.isalpha():
@@ -100,7 +100,8 @@ class Ids:
     def _word(self, word: str) -> bytes:
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(_BYTES)
-        return b"".join([_packed(t.id) for t in self.model.tokenize(word)])
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.model.tokenize(word)])
 
 
 def cuts(n: int, longest: int = LONGEST) -> Iterator[tuple[int, int]]:
