@@ -50,7 +50,12 @@ def flattened(contour: Column, steps: int = 8) -> Column:
     return F.flatten(F.transform(contour, piece))
 
 
-def cells(edges: DataFrame, keys: list[str], width: int, height: int) -> DataFrame:
+def _of(size: int | str) -> Column:
+    """A size that is the same for all pictures, or one of their keys."""
+    return F.col(size) if isinstance(size, str) else F.lit(size)
+
+
+def cells(edges: DataFrame, keys: list[str], width: int | str, height: int | str) -> DataFrame:
     """(keys, row, cell, cover, area) of edges (keys, x0, y0, x1, y1): sums of the pieces in each cell, in UNITs.
 
     cover is the signed height, positive downward; area is what the pieces cover of the cell itself, to their right.
@@ -58,7 +63,7 @@ def cells(edges: DataFrame, keys: list[str], width: int, height: int) -> DataFra
     """
     c = F.col
     top, bottom = F.least("y0", "y1"), F.greatest("y0", "y1")
-    e = edges.select(*keys, "x0", "y0", "x1", "y1", F.floor(F.greatest(top, F.lit(0.0))).alias("_a"), (F.ceil(F.least(bottom, F.lit(float(height)))) - 1).alias("_b"))
+    e = edges.select(*keys, "x0", "y0", "x1", "y1", F.floor(F.greatest(top, F.lit(0.0))).alias("_a"), (F.ceil(F.least(bottom, _of(height).cast("double"))) - 1).alias("_b"))
     e = e.where("y0 <> y1 AND _a <= _b").withColumn("row", F.explode(F.sequence("_a", "_b")))
     e = e.withColumn("ya", F.greatest(top, c("row").cast("double"))).withColumn("yb", F.least(bottom, (c("row") + 1).cast("double")))
     slope = (c("x1") - c("x0")) / (c("y1") - c("y0"))
@@ -68,7 +73,7 @@ def cells(edges: DataFrame, keys: list[str], width: int, height: int) -> DataFra
         F.when(c("y1") > c("y0"), c("yb") - c("ya")).otherwise(c("ya") - c("yb")).alias("dy"),
     )
     first = F.greatest(F.floor("xl"), F.lit(-1))
-    last = F.least(F.greatest(F.floor("xl"), F.ceil("xr") - 1, F.lit(-1)), F.lit(width - 1))
+    last = F.least(F.greatest(F.floor("xl"), F.ceil("xr") - 1, F.lit(-1)), _of(width) - 1)
     e = e.withColumn("_a", first).withColumn("_b", last).where("_a <= _b").withColumn("cell", F.explode(F.sequence("_a", "_b")))
     lo = F.when(c("cell") < 0, c("xl")).otherwise(F.greatest(c("xl"), c("cell").cast("double")))
     hi = F.least(c("xr"), (c("cell") + 1).cast("double"))
@@ -94,16 +99,17 @@ def grey(coverage: Column, rule: str = "nonzero") -> Column:
     return F.least(F.lit(255), F.shiftright(v, 16)).cast("int")
 
 
-def runs(edges: DataFrame, keys: list[str], width: int, height: int, rule: str = "nonzero") -> DataFrame:
+def runs(edges: DataFrame, keys: list[str], width: int | str, height: int | str, rule: str = "nonzero") -> DataFrame:
     """(keys, row, x, length, value): the pixels of outlines that are not 0, as runs of equal value along the rows.
 
     edges: (keys, x0, y0, x1, y1) in pixels, y downward, of closed contours in any order; those of one key make one
-    picture. Horizontal edges add nothing; parts outside the canvas are cut off. A key without any pixel has no run.
+    picture. Horizontal edges add nothing; parts outside the canvas are cut off. A key without any pixel has no run. Sizes
+    are the same for all, or the names of keys.
     """
     c = F.col
     line = W.partitionBy(*keys, "row").orderBy("cell")
     before = F.coalesce(F.sum("cover").over(line.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    after = F.coalesce(F.lead("cell").over(line), F.lit(width))
+    after = F.coalesce(F.lead("cell").over(line), _of(width))
     r = cells(edges, keys, width, height).withColumn("before", before).withColumn("after", after)
     run = lambda x, n, v: F.struct(x.cast("int").alias("x"), n.cast("int").alias("length"), grey(v, rule).alias("value"))
     two = F.array(run(c("cell"), F.lit(1), c("before") + c("area")), run(c("cell") + 1, c("after") - c("cell") - 1, c("before") + c("cover")))
@@ -118,7 +124,7 @@ def pixels(found: DataFrame) -> DataFrame:
     return p.select(*names, F.col("_x").alias("x"), F.col("row").alias("y"), "value")
 
 
-def scan_lines(found: DataFrame, keys: list[str], width: int, pictures: DataFrame, height: int) -> DataFrame:
+def scan_lines(found: DataFrame, keys: list[str], width: int | str, pictures: DataFrame, height: int | str) -> DataFrame:
     """(keys, row, line) for every row of every picture (keys): the grey bytes of runs that do not overlap.
 
     A task assembles one line at a time, never a picture.
@@ -132,6 +138,45 @@ def scan_lines(found: DataFrame, keys: list[str], width: int, pictures: DataFram
         return F.concat(F.repeat(F.lit("00"), r["x"] - F.coalesce(last["x"] + last["length"], F.lit(0))), F.repeat(hexed(r["value"]), r["length"]))
 
     lines = lines.select(*keys, "row", F.array_join(F.transform("_m", piece), "").alias("_hex"))
-    every = pictures.select(*keys).distinct().withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(height - 1))))
-    text = F.rpad(F.coalesce("_hex", F.lit("")), 2 * width, "0")
+    every = pictures.select(*keys).distinct().where(_of(height) > 0).withColumn("row", F.explode(F.sequence(F.lit(0), _of(height) - 1)))
+    text = F.rpad(F.coalesce("_hex", F.lit("")), 2 * _of(width), F.lit("0"))
     return every.join(lines, [*keys, "row"], "left").select(*keys, "row", F.unhex(text).alias("line"))
+
+
+def bitmaps(found: DataFrame, keys: list[str], width: str, pictures: DataFrame, height: str) -> DataFrame:
+    """(keys, bitmap) for every picture: its lines one after the other; for pictures as small as glyphs are."""
+    lines = scan_lines(found, keys, width, pictures, height).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("row", F.hex("line").alias("h")))).alias("_l"))
+    whole = lines.select(*keys, F.unhex(F.array_join(F.transform("_l", lambda l: l["h"]), "")).alias("bitmap"))
+    return pictures.select(*keys).distinct().join(whole, keys, "left").withColumn("bitmap", F.coalesce("bitmap", F.unhex(F.lit(""))))
+
+
+def glyphs(outlines: DataFrame, sizes: list[tuple[int, int]], steps: int = 8) -> DataFrame:
+    """Outlines (see sources.outlines) at each size (point, dpi) as the rows of bitmaps that raster.rendered_sizes() gives.
+
+    Points lie on a grid of 1/64 pixel. A bitmap is as large as the box of the points, in whole pixels; a glyph without
+    contours has none. Advances are rounded to whole pixels; glyphs are not fitted to the grid in any other way. A symbol
+    that occurs more often in the lines is rasterised once. Fonts and symbols that failed stay as rows that say so.
+    """
+    c = F.col
+    size = F.explode(F.array(*(F.struct(F.lit(p).alias("point"), F.lit(d).alias("dpi")) for p, d in sizes)))
+    o = outlines.withColumn("_s", size).select(*outlines.columns, "_s.point", "_s.dpi").withColumn("_scale", c("point") * c("dpi") / (72.0 * c("units")))
+    grid = lambda v: F.floor(v * 64 + 0.5) / 64.0
+    place = lambda p: F.struct(grid(p["x"] * c("_scale")).alias("x"), grid(-p["y"] * c("_scale")).alias("y"), p["on"].alias("on"))
+    which = ["font_id", "face", "ch", "point", "dpi"]
+    shapes = o.where("NOT load_failed AND NOT font_not_loaded").dropDuplicates(which)
+    shapes = shapes.select(*which, F.transform("contours", lambda line: F.transform(line, place)).alias("_c")).withColumn("_p", F.flatten("_c"))
+    end = lambda of, axis: of(F.transform("_p", lambda p: p[axis]))
+    shapes = shapes.withColumn("_left", F.coalesce(F.floor(end(F.array_min, "x")), F.lit(0))).withColumn("_top", F.coalesce(F.floor(end(F.array_min, "y")), F.lit(0)))
+    shapes = shapes.withColumn("width", F.coalesce(F.ceil(end(F.array_max, "x")) - c("_left"), F.lit(0)).cast("int"))
+    shapes = shapes.withColumn("rows", F.coalesce(F.ceil(end(F.array_max, "y")) - c("_top"), F.lit(0)).cast("int"))
+    keys = [*which, "width", "rows"]
+    flat = shapes.select(*keys, "_left", "_top", F.transform("_c", lambda line: flattened(line, steps)).alias("_f"))
+    edges = flat.select(*keys, "_left", "_top", F.explode(F.flatten(F.transform("_f", closed_edges))).alias("e"))
+    edges = edges.select(*keys, *((c(f"e.{n}") - c("_left" if n[0] == "x" else "_top")).alias(n) for n in ("x0", "y0", "x1", "y1")))
+    drawn = bitmaps(runs(edges, keys, "width", "rows"), keys, "width", shapes, "rows")
+    drawn = drawn.join(shapes.select(*which, c("_left").cast("int").alias("bitmap_left"), (-c("_top")).cast("int").alias("bitmap_top")), which)
+    advance = (F.floor(c("advance") * c("_scale") + 0.5) * 64).cast("int")
+    rows = o.select("font_id", "face", "row", "idx", "ch", advance.alias("adv_x"), F.when(c("advance").isNotNull(), 0).alias("adv_y"), "load_failed", "font_not_loaded", "point", "dpi")
+    return rows.join(drawn, which, "left").select(
+        "font_id", "face", "row", "idx", "ch", "rows", "width", "bitmap_left", "bitmap_top", "adv_x", "adv_y", "bitmap", "load_failed", "font_not_loaded", "point", "dpi",
+    )

@@ -49,6 +49,24 @@ def pen_positions(glyphs: DataFrame, line: list[str], order: str | list[str], ad
     return glyphs.withColumn(name, F.coalesce(F.sum(F.shiftright(F.col(advance), 6)).over(w), F.lit(0)).cast("bigint"))
 
 
+def pen_start(row: Column, em: Column, border: Column, padding: Column, bottom: Column) -> Column:
+    """Where the pen of a row starts: at the padding across, and down a border above the lower bound of the row's cells, less the offset."""
+    bounds = cell_bounds(row, F.lit(0), em, border, padding)
+    return F.struct(padding.cast("int").alias("x"), (bounds["bottom"] - border - bottom).cast("int").alias("y"))
+
+
+def pen_placement(start: Column, pen_x: Column, pen_y: Column, left: Column, top: Column) -> Column:
+    """Where a glyph is drawn that follows the pen: by what it is to the right of it and above it."""
+    return F.struct((start["x"] + pen_x + left).cast("int").alias("x"), (start["y"] + pen_y - top).cast("int").alias("y"))
+
+
+def cell_bounds(row: Column, col: Column, em: Column, border: Column, padding: Column) -> Column:
+    """The bounds (left, top, right, bottom) of a cell with half a border around it; right and bottom lie outside."""
+    margin, wide = _div(border, 2), 2 * _div(em, 2)
+    left, top = cell_origin(col, em, border, padding), cell_origin(row, em, border, padding)
+    return F.struct((left - margin).cast("int").alias("left"), (top - margin).cast("int").alias("top"), (left + wide + margin).cast("int").alias("right"), (top + wide + margin).cast("int").alias("bottom"))
+
+
 def successful_columns(glyphs: DataFrame, line: list[str], order: str) -> DataFrame:
     """Glyphs that loaded, with the column that they get: a failed one leaves no gap."""
     w = W.partitionBy(*line).orderBy(order)
@@ -87,15 +105,18 @@ def bounding_box(pixels: DataFrame, *keys: str) -> DataFrame:
     return pixels.groupBy(*keys).agg(F.min(drawn("x")).alias("l"), F.min(drawn("y")).alias("t"), F.max(drawn("x")).alias("r"), F.max(drawn("y")).alias("b"))
 
 
-def best_point_dpi(shapes: DataFrame, target: int = 300, most: int = 300) -> DataFrame:
+def best_point_dpi(shapes: DataFrame, target: int = 300) -> DataFrame:
     """shapes (dim, padding) with the whole point and dpi whose em fills the cell and whose dpi is nearest to target.
 
-    Points from 1 to `most` are tried where the dpi comes out whole; the smallest point wins ties.
+    Point and dpi are the pairs of whole numbers whose product is the em's 72nd parts, so the divisors up to its root
+    give all of them; the smallest point wins ties. A cell without room has no row.
     """
-    tried = shapes.withColumn("point", F.explode(F.sequence(F.lit(1), F.lit(most))))
-    inside = 72 * (F.col("dim") - 2 * F.col("padding"))
-    tried = tried.where(inside % F.col("point") == 0).withColumn("dpi", _div(inside, F.col("point")))
-    best = F.min_by(F.struct("point", "dpi"), F.struct(F.abs(F.col("dpi") - target), F.col("point")))
+    inside = shapes.withColumn("inside", (72 * (F.col("dim") - 2 * F.col("padding"))).cast("bigint")).where("inside > 0")
+    tried = inside.withColumn("d", F.explode(F.sequence(F.lit(1).cast("bigint"), F.floor(F.sqrt("inside"))))).where("inside % d = 0")
+    pair = lambda p, q: F.struct(p.cast("int").alias("point"), q.cast("int").alias("dpi"))
+    other = F.expr("inside div d")
+    tried = tried.withColumn("p", F.explode(F.array(pair(F.col("d"), other), pair(other, F.col("d")))))
+    best = F.min_by("p", F.struct(F.abs(F.col("p.dpi") - target), F.col("p.point")))
     return tried.groupBy("dim", "padding").agg(best.alias("b")).select("dim", "padding", "b.point", "b.dpi")
 
 

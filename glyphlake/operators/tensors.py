@@ -140,14 +140,14 @@ def grid_position(i: Column, n: Column) -> Column:
     return F.struct(F.floor(i / w).cast("int").alias("row"), (i % w).cast("int").alias("col"), w.alias("columns"))
 
 
-def mosaic_lines(tiles: DataFrame, n: int, fill: float = 0.5, blank: str = "blank") -> DataFrame:
+def mosaic_lines(tiles: DataFrame, n: int, fill: float = 0.5) -> DataFrame:
     """(line, pixels) of a picture of n tiles (i, line, pixels) in a grid as grid_position() has it; line counts from its top.
 
     A tile is its lines, arrays of equal length; i counts from 0. Places without a tile are filled with `fill`. Lines are
     put together one by one from the tiles beside each other, so no task holds the picture, or a whole tile. The last
     places of the grid are the only ones that may lack a tile.
     """
-    columns = max(1, math.isqrt(max(n - 1, 0)) + (n > 0 and math.isqrt(n - 1) ** 2 < n)) if n > 1 else 1
+    columns = math.isqrt(n - 1) + 1 if n else 1  # the square root of n, rounded up
     height = F.max(F.col("line") + 1)
     size = tiles.agg(height.alias("_height"), F.max(F.size("pixels")).alias("_width"))  # one row
     t = tiles.join(F.broadcast(size)).withColumn("_g", F.floor(F.col("i") / columns) * F.col("_height") + F.col("line"))

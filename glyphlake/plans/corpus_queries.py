@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from glyphlake.functions import text
 from glyphlake.operators import dedupe, glyphs, manifest, ranking, reports, verdicts
 from glyphlake.plans.registry import query
-from glyphlake.session import table
+from glyphlake.session import new_folder, table
 from glyphlake.sources import archives
+from glyphlake.sources import files as file_source
 
 
 def _vector_glyphs(spark, sf_dir):
@@ -224,6 +225,48 @@ def merged_stats(spark, sf_dir):
     return m.select("source", "font_not_loaded", "n_failed", "n_empty", "out_of_cell", "bbox.l", "bbox.r")
 
 
+# the records of an order's lines, with lists of symbols
+LISTS = ["l_orderkey", "l_linenumber", "l_returnflag", "CASE WHEN l_quantity > 40 THEN 'f' || l_linenumber END AS failed", "CASE WHEN l_quantity < 10 THEN 'e' || l_linenumber END AS empty", "l_partkey"]
+
+
+@query("merged_lists", f"""
+SELECT l_orderkey, count(failed) AS n_failed, count(empty) AS n_empty, coalesce(string_agg(failed, ',' ORDER BY failed), '') AS failed, coalesce(string_agg(empty, ',' ORDER BY empty), '') AS empty,
+       string_agg(l_returnflag || l_linenumber, ',' ORDER BY l_returnflag || l_linenumber) AS matched, sum(l_partkey % 5)::BIGINT AS overwrites FROM (SELECT {', '.join(LISTS)} FROM lineitem) GROUP BY l_orderkey""")
+def merged_lists(spark, sf_dir):
+    """Statistics of each order's lines as one, with all symbols of their lists."""
+    c = F.col
+    l = table(spark, sf_dir, "lineitem").selectExpr(*LISTS)
+    one = lambda name: F.when(c(name).isNull(), F.array().cast("array<string>")).otherwise(F.array(name))
+    s = l.select(
+        "l_orderkey", F.lit(False).alias("font_not_loaded"), one("failed").alias("char_loads_failed"), F.array(F.concat("l_returnflag", "l_linenumber")).alias("matched"), one("empty").alias("empty"),
+        F.lit(0).alias("out_of_image"), F.lit(0).alias("out_of_cell"), (c("l_partkey") % 5).alias("overwrites"),
+        F.struct(*(c("l_linenumber").alias(n) for n in "ltrb")).alias("bbox"),
+    )
+    joined = lambda name: F.array_join(F.array_sort(name), ",")
+    m = verdicts.merged_stats(s, "l_orderkey", lists=True)
+    return m.select("l_orderkey", "n_failed", "n_empty", joined("char_loads_failed").alias("failed"), joined("empty").alias("empty"), joined("matched").alias("matched"), "overwrites")
+
+
+@query("split_sink", f"SELECT doc_id, split FROM ({SPLIT_SQL})")
+def split_sink(spark, sf_dir):
+    """Documents written in a folder for each split, as the folders say when they are read."""
+    at = new_folder(spark, "splits")
+    file_source.write_routed(split_assign(spark, sf_dir), at, "split")
+    return spark.read.schema("doc_id bigint, split string").parquet(at)
+
+
+@query("listed_here", "SELECT doc_id, source FROM documents")
+def listed_here(spark, sf_dir):
+    """Rows of the JSON files that lie in a folder itself: neither those of folders in it nor other files are opened."""
+    at = new_folder(spark, "listed")
+    d = table(spark, sf_dir, "documents").select("doc_id", "source")
+    d.write.json(at)
+    d.write.json(f"{at}/inner")
+    d.write.mode("append").csv(at)
+    lines = file_source.scan(spark, at, glob="*.json", recursive=False).select(F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line"))
+    return lines.where("line <> ''").select(F.from_json("line", "doc_id bigint, source string").alias("r")).select("r.*")
+
+
 @query("review_queue", """
 SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality IS NOT NULL) ORDER BY doc_id LIMIT 500""")
 def review_queue(spark, sf_dir):

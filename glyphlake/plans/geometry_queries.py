@@ -42,12 +42,16 @@ def cell_origins(spark, sf_dir):
     return s.select("p_partkey", "col", g.cell_origin(F.col("col"), F.col("em"), F.col("atlas_border"), F.col("atlas_padding")).cast("int").alias("x"))
 
 
-@query("best_point_dpi", """
-WITH s AS (SELECT * FROM (VALUES (128, 8), (64, 4), (32, 2), (16, 1)) t(dim, padding)),
-t AS (SELECT dim, padding, p AS point, 72 * (dim - 2 * padding) // p AS dpi FROM s, (SELECT unnest(range(1, 301)) AS p) WHERE 72 * (dim - 2 * padding) % p = 0)
+SHAPES = "p_size * 40 AS dim, CAST(p_partkey % 9 AS INT) AS padding"
+
+
+@query("best_point_dpi", f"""
+WITH s AS (SELECT DISTINCT {SHAPES} FROM part),
+t AS (SELECT dim, padding, p AS point, 72 * (dim - 2 * padding) // p AS dpi FROM (SELECT *, unnest(range(1, 72 * (dim - 2 * padding) + 1)) AS p FROM s) WHERE 72 * (dim - 2 * padding) % p = 0)
 SELECT dim, padding, arg_min(point, (abs(dpi - 300), point))::INT AS point, arg_min(dpi, (abs(dpi - 300), point))::INT AS dpi FROM t GROUP BY dim, padding""")
 def best_point_dpi(spark, sf_dir):
-    return g.best_point_dpi(spark.createDataFrame([(128, 8), (64, 4), (32, 2), (16, 1)], "dim int, padding int"))
+    """The best point and dpi for cells of 40 to 2,000 pixels."""
+    return g.best_point_dpi(table(spark, sf_dir, "part").selectExpr(*_exprs(SHAPES)).distinct())
 
 
 # each order is a sweep over line numbers: 50 images, those out of their cell, and empty ones
@@ -131,9 +135,34 @@ def bbox(spark, sf_dir):
     return g.bounding_box(p, "l_orderkey")
 
 
-@query("alpha_blend", """
-SELECT s::INT AS source, d::INT AS dest, (CASE WHEN s = 0 THEN d ELSE floor((255::FLOAT * ((s::FLOAT / 255::FLOAT)::FLOAT + ((d::FLOAT / 255::FLOAT)::FLOAT * (1::FLOAT - (s::FLOAT / 255::FLOAT)::FLOAT)::FLOAT)::FLOAT)::FLOAT)::FLOAT) END)::INT AS blended
-FROM (SELECT unnest(range(0, 256)) AS s), (SELECT unnest([0, 1, 64, 127, 200, 255]) AS d)""")
+BLENDED = "p_partkey, CAST(p_partkey * 7 % 256 AS INT) AS source, CAST(p_size * 37 % 256 AS INT) AS dest"
+
+
+@query("alpha_blend", f"""
+SELECT p_partkey, s AS source, d AS dest, (CASE WHEN s = 0 THEN d ELSE floor((255::FLOAT * ((s::FLOAT / 255::FLOAT)::FLOAT + ((d::FLOAT / 255::FLOAT)::FLOAT * (1::FLOAT - (s::FLOAT / 255::FLOAT)::FLOAT)::FLOAT)::FLOAT)::FLOAT)::FLOAT) END)::INT AS blended
+FROM (SELECT p_partkey, source AS s, dest AS d FROM (SELECT {BLENDED} FROM part))""")
 def alpha_blend(spark, sf_dir):
-    s = spark.range(256).select(F.col("id").cast("int").alias("source"), F.explode(F.array(*(F.lit(x) for x in (0, 1, 64, 127, 200, 255)))).alias("dest"))
-    return s.withColumn("blended", g.blend(F.col("source"), F.col("dest")))
+    return table(spark, sf_dir, "part").selectExpr(*_exprs(BLENDED)).withColumn("blended", g.blend(F.col("source"), F.col("dest")))
+
+
+PEN = "l_orderkey, l_linenumber, l_quantity, CAST(l_quantity * 64 + l_linenumber AS INT) AS adv_x, CAST((l_suppkey % 5) * 64 - 96 AS INT) AS adv_y, CAST(l_linenumber AS INT) - 3 AS bitmap_left, CAST(l_partkey % 19 AS INT) AS bitmap_top, CAST(l_orderkey % 8 AS INT) AS row"
+
+
+@query("pen_placement", f"""
+SELECT l_orderkey, l_linenumber, (7 + coalesce(sum(adv_x >> 6) OVER w, 0) + bitmap_left)::INT AS x, (7 + row * 26 + 2 * 10 + 2 - 5 - 3 + coalesce(sum(adv_y >> 6) OVER w, 0) - bitmap_top)::INT AS y
+FROM (SELECT {PEN} FROM lineitem) WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, adv_x, adv_y, bitmap_top ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def pen_placement(spark, sf_dir):
+    """Glyphs of a line behind each other: em 21, border 5, padding 7, offset 3."""
+    l = table(spark, sf_dir, "lineitem").selectExpr(*_exprs(PEN))
+    for axis in "xy":
+        l = g.pen_positions(l, ["l_orderkey"], ["l_linenumber", "l_quantity", "adv_x", "adv_y", "bitmap_top"], f"adv_{axis}", f"pen_{axis}")
+    start = g.pen_start(F.col("row"), F.lit(21), F.lit(5), F.lit(7), F.lit(3))
+    return l.select("l_orderkey", "l_linenumber", g.pen_placement(start, *map(F.col, ("pen_x", "pen_y", "bitmap_left", "bitmap_top"))).alias("p")).select("l_orderkey", "l_linenumber", "p.*")
+
+
+@query("cell_bounds", """
+SELECT l_orderkey, l_linenumber, (7 + l_linenumber * 26 - 2)::INT AS "left", (7 + (l_orderkey % 8) * 26 - 2)::INT AS top, (7 + l_linenumber * 26 + 20 + 2)::INT AS "right", (7 + (l_orderkey % 8) * 26 + 20 + 2)::INT AS bottom FROM lineitem""")
+def cell_bounds(spark, sf_dir):
+    """Bounds of cells of an odd em, 21, with a border of 5 and a padding of 7."""
+    bounds = g.cell_bounds(F.col("l_orderkey") % 8, F.col("l_linenumber"), F.lit(21), F.lit(5), F.lit(7))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", bounds.alias("b")).select("l_orderkey", "l_linenumber", "b.*")

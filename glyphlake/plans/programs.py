@@ -27,9 +27,14 @@ def fonts(spark: SparkSession, font_dir: str, count: int = 0) -> DataFrame:
     return found.where(~text.base_name(F.col("path")).isin("filenames.json"))
 
 
-def drawn(spark: SparkSession, font_dir: str, lines: list[str], point: int = 72, dpi: int = 110, count: int = 0) -> DataFrame:
+#: Draws fonts (path, content) at sizes (point, dpi): raster.rendered_sizes by the system's library, which fits glyphs to the
+#: grid and knows all kinds of fonts, or outlines.rendered_sizes without any library, for TrueType outlines.
+Renderer = Callable[[DataFrame, list[str], list[tuple[int, int]]], DataFrame]
+
+
+def drawn(spark: SparkSession, font_dir: str, lines: list[str], point: int = 72, dpi: int = 110, count: int = 0, renderer: Renderer = raster.rendered_sizes) -> DataFrame:
     """Glyph rows of every font."""
-    return raster.rendered_sizes(fonts(spark, font_dir, count), lines, [(point, dpi)])
+    return renderer(fonts(spark, font_dir, count), lines, [(point, dpi)])
 
 
 def font_stats(g: DataFrame) -> DataFrame:
@@ -43,9 +48,9 @@ def font_stats(g: DataFrame) -> DataFrame:
     )
 
 
-def bad_fonts(spark: SparkSession, font_dir: str, count: int = 0, symbols: str = PRINTABLE) -> DataFrame:
+def bad_fonts(spark: SparkSession, font_dir: str, count: int = 0, symbols: str = PRINTABLE, renderer: Renderer = raster.rendered_sizes) -> DataFrame:
     """Statistics and verdict of every font: failed_font_loads, failed_char_loads, empty_chars or keep."""
-    return verdicts.bad_font_verdict(font_stats(drawn(spark, font_dir, list(symbols), count=count)))
+    return verdicts.bad_font_verdict(font_stats(drawn(spark, font_dir, list(symbols), count=count, renderer=renderer)))
 
 
 def placed(g: DataFrame) -> DataFrame:
@@ -56,9 +61,9 @@ def placed(g: DataFrame) -> DataFrame:
     return g.select("*", "p.off_x", "p.off_y").drop("p")
 
 
-def font_match_sets(spark: SparkSession, font_dir: str, count: int = 0, symbols: str = PRINTABLE, point: int = 72, dpi: int = 110) -> DataFrame:
+def font_match_sets(spark: SparkSession, font_dir: str, count: int = 0, symbols: str = PRINTABLE, point: int = 72, dpi: int = 110, renderer: Renderer = raster.rendered_sizes) -> DataFrame:
     """(font_id, match_set): symbols of a font that are drawn alike."""
-    p = placed(drawn(spark, font_dir, [symbols], point, dpi, count))
+    p = placed(drawn(spark, font_dir, [symbols], point, dpi, count, renderer))
     names = ["area", "off_x", "off_y", "pixels"]
     keys = [k.alias(n) for k, n in zip(raster.identity_key(), names, strict=True)]
     return glyphs.match_sets(p.select("font_id", "ch", *keys), ["font_id"], names)
@@ -100,7 +105,7 @@ def spacings(spark: SparkSession, settings: list[dict], lines: list[str]) -> Dat
     return s.withColumn("image_width", extent[0]).withColumn("image_height", extent[1])
 
 
-def atlases(spark: SparkSession, font_dir: str, lines: list[str], settings: list[dict], cells: bool = True, count: int = 0, highlight: str = "", blend: bool = True) -> DataFrame:
+def atlases(spark: SparkSession, font_dir: str, lines: list[str], settings: list[dict], cells: bool = True, count: int = 0, highlight: str = "", blend: bool = True, renderer: Renderer = raster.rendered_sizes) -> DataFrame:
     """The images of every font at every setting, with `setting`, its place in the list.
 
     A font is read once and rasterised once for each size; its glyphs go to one task, once, and meet the settings there.
@@ -108,26 +113,27 @@ def atlases(spark: SparkSession, font_dir: str, lines: list[str], settings: list
     """
     s = spacings(spark, settings, lines)
     sizes = sorted((r.point, r.dpi) for r in s.select("point", "dpi").distinct().collect())
-    g = raster.rendered_sizes(fonts(spark, font_dir, count), lines, sizes).repartition("font_id")
+    g = renderer(fonts(spark, font_dir, count), lines, sizes).repartition("font_id")
     g = placed(g)
     pen = W.partitionBy("font_id", "point", "dpi", "row").orderBy("idx").rowsBetween(W.unboundedPreceding, -1)
     for axis in ("x", "y"):
         g = g.withColumn(f"pen_{axis}", F.coalesce(F.sum(F.shiftright(F.col(f"adv_{axis}"), 6)).over(pen), F.lit(0)))
     g = g.join(F.broadcast(s), ["point", "dpi"])
     half, gap, pad, low = map(F.col, ("half_em", "atlas_border", "atlas_padding", "bottom_offset"))
-    pitch, margin = F.col("em") + gap, F.expr("atlas_border DIV 2")
+    pitch = F.col("em") + gap
     left, top = pad + F.col("col") * pitch, pad + F.col("row") * pitch
     if cells:
         # offsets are from the middle of the cell across and from half an em down
         x, y = left + half + F.col("off_x"), top + half + F.col("off_y") - low
     else:
-        # the pen starts a border above the lower bound of the row's cells
-        x, y = pad + F.col("pen_x") + F.col("bitmap_left"), top + 2 * half + margin - gap - low + F.col("pen_y") - F.col("bitmap_top")
+        at = geometry.pen_placement(geometry.pen_start(F.col("row"), F.col("em"), gap, pad, low), *map(F.col, ("pen_x", "pen_y", "bitmap_left", "bitmap_top")))
+        x, y = at["x"], at["y"]
     g = g.withColumn("x", x.cast("int")).withColumn("y", y.cast("int"))
     marked = F.lit(cells) & (F.position("ch", F.lit(highlight)) > 0) if highlight else F.lit(False)
     corners = (left, top, left + 2 * half + 1, top + 2 * half)
     g = g.withColumn("box", F.when(marked, F.array(*(c.cast("int") for c in corners))))
-    bounds = (left - margin, top - margin, left + 2 * half + margin, top + 2 * half + margin)
+    cell = geometry.cell_bounds(F.col("row"), F.col("col"), F.col("em"), gap, pad)
+    bounds = tuple(cell[side] for side in ("left", "top", "right", "bottom"))
     g = g.withColumn("o", geometry.overflow(F.col("x"), F.col("y"), F.col("width"), F.col("rows"), bounds, (F.col("image_width"), F.col("image_height"))))
 
     def paint(t: pa.Table) -> pa.Table:

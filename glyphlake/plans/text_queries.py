@@ -79,10 +79,16 @@ def utf8_lengths(spark, sf_dir):
 
 
 @query("atlas_lines", """
-WITH l AS (SELECT i AS line, string_agg(chr((32 + k)::INT), '' ORDER BY k) AS symbols FROM (SELECT unnest(range(0, 95)) AS k, k // 12 AS i) GROUP BY i)
-SELECT line::INT AS line, symbols, length(symbols)::INT AS n FROM l""")
+WITH l AS (SELECT i AS line, string_agg(chr((32 + k)::INT), '' ORDER BY k) AS symbols FROM (SELECT unnest(range(0, 95)) AS k, k // 12 AS i) GROUP BY i),
+u AS (SELECT unnest(string_split(p_name, '')) AS ch FROM part)
+SELECT line::INT AS line, symbols, length(symbols)::INT AS n, (SELECT count(*) FROM u WHERE ch <> '' AND contains(symbols, ch)) AS used FROM l""")
 def atlas_lines(spark, sf_dir):
-    return spark.range(1).select(F.posexplode(text.printable_atlas()).alias("line", "symbols")).withColumn("n", F.length("symbols"))
+    """The lines of the printable atlas, with how often the names of parts use a symbol of each."""
+    lines = table(spark, sf_dir, "part").limit(1).select(F.posexplode(text.printable_atlas()).alias("line", "symbols"))
+    used = table(spark, sf_dir, "part").select(F.explode(text.single_symbols(F.col("p_name"))).alias("ch")).groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
+    symbols = lines.select("line", "symbols", F.explode(text.single_symbols(F.col("symbols"))).alias("ch"))
+    found = symbols.join(used, "ch", "left").groupBy("line", "symbols").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("used"))
+    return found.select("line", "symbols", F.length("symbols").alias("n"), "used")
 
 
 @query("atlas_split", r"""

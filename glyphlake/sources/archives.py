@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphlake.session import checkpointed
+from glyphlake.session import checkpointed, new_folder
 
 MEMBER = "archive string, member string, content binary, error string"
 
@@ -66,13 +66,17 @@ def closure(roots: DataFrame, inside: DataFrame) -> DataFrame:
     """(id, depth): what is reachable from roots (id) over inside (child, parent); each id once, at its least depth.
 
     Only the ids that the last round brought are joined in the next; what is known already is left out, so cycles end.
+    Each depth is a folder of one table, so a round reads what is known as one table, however many rounds there were.
     """
-    known = checkpointed(roots.select("id", F.lit(0).alias("depth")))
-    front, depth = known, 0
-    while True:
+    spark = roots.sparkSession
+    at = new_folder(spark, "closure")
+    kind = roots.schema["id"].dataType.simpleString()
+    level = lambda depth: spark.read.schema(f"id {kind}").parquet(f"{at}/depth={depth}")
+    known = lambda: spark.read.schema(f"id {kind}, depth int").parquet(at)
+    roots.select("id").distinct().write.parquet(f"{at}/depth=0")
+    depth = 0
+    while level(depth).limit(1).count():
+        new = level(depth).join(inside, F.col("id") == F.col("parent")).select(F.col("child").alias("id")).distinct()
         depth += 1
-        new = front.join(inside, F.col("id") == F.col("parent")).select(F.col("child").alias("id")).distinct()
-        front = checkpointed(new.join(known, "id", "left_anti").select("id", F.lit(depth).alias("depth")))
-        if front.limit(1).count() == 0:
-            return known
-        known = known.union(front)
+        new.join(known(), "id", "left_anti").write.parquet(f"{at}/depth={depth}")
+    return known()

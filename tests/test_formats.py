@@ -108,3 +108,94 @@ def test_font_tables_in_sql(spark):
     for k, f in ((3, None), (4, 0), (6, 0), (10, 0)):
         assert got[k] == [(f, None, None, None, None, True)]
     assert 5 not in got and 8 not in got
+
+
+def picture(seed, h, w):
+    r = np.random.default_rng(seed)
+    kinds = [lambda: r.integers(0, 256, (h, w)), lambda: np.zeros((h, w)), lambda: np.add.outer(np.arange(h), np.arange(w)) % 256, lambda: r.integers(0, 2, (h, w)) * 255]
+    return kinds[seed % 4]().astype(np.uint8)
+
+
+def test_lzw_there_and_back():
+    r = random.Random(8)
+    for data in (b"", b"a", b"aaaa" * 5000, bytes(range(256)) * 200, r.randbytes(60_000), bytes(r.choices(b"ab", k=40_000))):
+        assert images.unlzw(images.lzw(data), len(data)) == data
+    packed = images.lzw(b"hello hello hello")
+    for bad in (b"", packed[:3], b"\x80\x7f\xff\xff"):
+        with pytest.raises(ValueError):
+            images.unlzw(bad, 100)
+
+
+def tiff(rows, order="<", packing=1, kind=1, per_strip=None, predictor=1):
+    """A TIFF of strips behind its directory, of an array of (height, width, samples)."""
+    h, w, k = rows.shape
+    per_strip = per_strip or h
+    data = rows.copy()
+    if predictor == 2:
+        data[:, 1:] = rows[:, 1:] - rows[:, :-1]
+    import zlib
+
+    pack = {1: bytes, 5: images.lzw, 8: zlib.compress}[packing]
+    strips = [pack(data[y : y + per_strip].tobytes()) for y in range(0, h, per_strip)]
+    tags = [(256, 3, [w]), (257, 3, [h]), (258, 3, [8] * k), (259, 3, [packing]), (262, 3, [kind]), (273, 4, [0] * len(strips)), (277, 3, [k]), (278, 3, [per_strip]), (279, 4, [len(s) for s in strips]), (317, 3, [predictor]), (305, 2, [0])]
+    size = {3: ("H", 2), 4: ("I", 4), 2: ("B", 1)}
+    for _ in range(2):
+        at, entries, more = 8 + 2 + 12 * len(tags) + 4, b"", b""
+        for tag, t, values in tags:
+            letter, n = size[t]
+            body = struct.pack(f"{order}{len(values)}{letter}", *values)
+            if len(body) > 4:
+                entries += struct.pack(order + "HHII", tag, t, len(values), at + len(more))
+                more += body
+            else:
+                entries += struct.pack(order + "HHI", tag, t, len(values)) + body.ljust(4, b"\0")
+        first = at + len(more)
+        places = [first + sum(map(len, strips[:i])) for i in range(len(strips))]
+        tags = [(tag, t, places if tag == 273 else v) for tag, t, v in tags]
+    return {"<": b"II", ">": b"MM"}[order] + struct.pack(order + "HIH", 42, 8, len(tags)) + entries + bytes(4) + more + b"".join(strips)
+
+
+def test_tiff_of_all_kinds():
+    for seed in range(8):
+        p = picture(seed, 13, 21)
+        assert images.parse(images.encode_tiff(13, 21, p.tobytes())) == (13, 21, p.tobytes())
+        for order in "<>":
+            for packing in (1, 5, 8):
+                for per_strip in (None, 4):
+                    for predictor in (1, 2):
+                        got = images.parse(tiff(p[:, :, None], order, packing, 1, per_strip, predictor))
+                        assert got == (13, 21, p.tobytes())
+    colour = np.stack([picture(s, 5, 6) for s in (0, 4, 8)], axis=2)
+    grey = (colour.astype(int) @ np.array([299, 587, 114]) // 1000).astype(np.uint8)
+    assert images.parse(tiff(colour, ">", 5, 2, 2, 2)) == (5, 6, grey.tobytes())
+    assert images.parse(tiff(p[:, :, None], kind=0))[2] == (255 - p).tobytes()
+    whole = tiff(p[:, :, None], packing=5)
+    for bad in (b"II", b"II*\0\xff\xff\0\0", whole[:-30], whole[:40], tiff(p[:, :, None]).replace(struct.pack("<HHIH", 259, 3, 1, 1), struct.pack("<HHIH", 259, 3, 1, 7))):
+        with pytest.raises(ValueError):
+            images.parse(bad)
+
+
+def test_changed_pixels(spark):
+    rows = [(str(i), 13, 21, bytearray(picture(i, 13, 21).tobytes()), None) for i in range(6)]
+    before = spark.createDataFrame(rows, images.IMAGE)
+    for style, suffix in images.STYLES.items():
+        files = images.encoded(before, style).withColumnRenamed("name", "path")
+        after = images.read_images(files).withColumn("image_id", F.replace("image_id", F.lit(suffix), F.lit("")))
+        assert [r.changed for r in images.changed_pixels(before, after).collect()] == [0] * 6
+    rows[1][3][5] ^= 1
+    rows[1][3][90] ^= 9
+    other = spark.createDataFrame([rows[0], rows[1], (*rows[2][:1], 21, 13, *rows[2][3:])], images.IMAGE)
+    assert {r.image_id: r.changed for r in images.changed_pixels(before, other).collect()} == {"0": 0, "1": 2, **{k: 273 for k in "2345"}}
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 4, 5, 10, 16])
+def test_mosaics_against_a_grid(spark, n):
+    r = np.random.default_rng(n)
+    tiles = r.integers(0, 9, (n, 3, 2)) / 4
+    d = spark.createDataFrame([(i, y, tiles[i, y].tolist()) for i in range(n) for y in range(3)], "i bigint, line int, pixels array<double>").repartition(3)
+    got = {x.line: x.pixels for x in tensors.mosaic_lines(d, n).collect()}
+    w = int(np.ceil(n**0.5))
+    want = np.full((-(-n // w) * 3 if n else 0, w * 2), 0.5)
+    for i in range(n):
+        want[i // w * 3 : i // w * 3 + 3, i % w * 2 : i % w * 2 + 2] = tiles[i]
+    assert sorted(got) == list(range(len(want))) and all(got[y] == want[y].tolist() for y in got)
