@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glyphlake.llm.common import new_path, own_names, text_of, written
@@ -54,29 +55,24 @@ MORE_RULES = (
 ALL_RULES = RULES + MORE_RULES
 
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
+STEPS = "array<struct<p:int,m:int,g:int>>"
+#: Code points that are looked through for the place of a piece of text.
+BLOCK = 1 << 14
 
 
-def spans_of(text: Column, rule: Rule, rank: int) -> Column:
-    """Leftmost non-overlapping matches of one rule in code points, failing ones dropped.
+def steps_of(text: Column, rule: Rule) -> Column:
+    """Of each leftmost non-overlapping match of a rule the lengths of the text before it, of itself and of the group that counts.
 
-    The pieces between the matches and the matches themselves give all positions by running sums of lengths.
+    Running sums of the first two give the places of all matches. Texts without a match have none.
     """
     pieces = F.split(text, rule.pattern, -1)
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     counted = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
     steps = F.arrays_zip(F.transform(pieces, F.length).alias("p"), F.transform(whole, F.length).alias("m"), F.transform(counted, F.length).alias("g"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["p"]
-        end = start + F.coalesce(x["m"], F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(x["g"] >= rule.least, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
-
     likely = text.rlike(rule.pattern)
     if rule.hints:
         likely = reduce(lambda a, b: a | b, (F.contains(text, F.lit(h)) for h in rule.hints)) & likely
-    return F.when(likely, F.aggregate(steps, zero, step, lambda acc: acc["found"])).otherwise(F.array().cast(SPAN))
+    return F.when(likely, F.filter(steps, lambda x: x["m"].isNotNull())).otherwise(F.array().cast(STEPS))
 
 
 def scan(versions: DataFrame, path: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = ALL_RULES, ledger: str | None = None, max_broadcast_rows: int = 200_000) -> DataFrame:
@@ -88,8 +84,11 @@ def scan(versions: DataFrame, path: str = "doc_id", text: str = "text", rules: t
     all returned; long texts are scanned whole; an empty table gives an empty result. Other columns are ignored.
 
     Digests that the ledger has for all rules, and copies other than the one with the least path, are taken out by joins
-    on digests: against broadcast tables while these have at most max_broadcast_rows rows of about 150 bytes. Beyond
-    that, copies are scanned again, which costs less than to move the texts, and known digests go by a shuffle of texts.
+    on digests, so of rows with different paths each digest is scanned once: against broadcast tables while these have at
+    most max_broadcast_rows rows of about 150 bytes, beyond that by a shuffle of texts.
+
+    A text with many matches takes a time that grows with their number: each is a row for a while, with the lengths of
+    what lies between, and running sums over the rows of one text and rule give the places.
     """
     spark = versions.sparkSession
     ledger = ledger or new_path(spark, "ledger")
@@ -108,20 +107,52 @@ def scan(versions: DataFrame, path: str = "doc_id", text: str = "text", rules: t
     else:
         todo = todo.withColumn("done", F.lit(None).cast("array<string>"))
     todo = todo.withColumn("done", F.coalesce("done", F.array().cast("array<string>"))).where(F.size(F.array_except(versions_of, "done")) > 0)
-    if copies.count() <= max_broadcast_rows:
-        todo = todo.join(F.broadcast(copies), F.col("digest") == F.col("c"), "left").where(F.col("c").isNull() | F.col("path").eqNullSafe(F.col("owner")))
+    copies = F.broadcast(copies) if copies.count() <= max_broadcast_rows else copies
+    todo = todo.join(copies, F.col("digest") == F.col("c"), "left").where(F.col("c").isNull() | F.col("path").eqNullSafe(F.col("owner")))
     found = F.array(*(
-        F.struct(F.lit(r.version).alias("rule"), F.when(~F.array_contains("done", r.version), spans_of(F.col("text"), r, k)).alias("spans"))
+        F.struct(
+            F.lit(r.version).alias("rule"), F.lit(k).alias("rank"), F.lit(r.kind).alias("kind"), F.lit(r.least).alias("least"),
+            F.when(~F.array_contains("done", r.version), steps_of(F.col("text"), r)).otherwise(F.array().cast(STEPS)).alias("steps"),
+        )
         for k, r in enumerate(rules)
     ))
-    scanned = todo.select("digest", F.explode(found).alias("f")).select("digest", "f.rule", "f.spans").where("spans IS NOT NULL")
-    scanned.write.mode("append").parquet(ledger)
+    looked = todo.select("digest", F.array_except(versions_of, "done").alias("rules"), F.filter(found, lambda h: F.size(h["steps"]) > 0).alias("hits"))
+    looked = written(looked.withColumn("scan", F.monotonically_increasing_id()), "secrets-looked")
+    none = looked.select("digest", F.explode(F.array_except("rules", F.transform("hits", lambda h: h["rule"]))).alias("rule"), F.array().cast(SPAN).alias("spans"))
+    _placed(looked).unionByName(none).write.mode("append").parquet(ledger)
     hits = _ledger(spark, ledger).where(F.size("spans") > 0).where(F.col("rule").isin([r.version for r in rules]))
     # what was scanned twice has equal rows in the ledger, which count once
     hits = hits.groupBy("digest", "rule").agg(F.first("spans").alias("spans")).groupBy("digest").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
     return addressed.join(hits, "digest", "left").select("path", "digest", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
 
 
+def _placed(looked: DataFrame) -> DataFrame:
+    """(digest, rule, spans) of what was looked at (scan, digest, hits): the matches of each rule that are long enough, by running sums."""
+    h = looked.select("scan", "digest", F.explode("hits").alias("h")).select("scan", "digest", "h.rule", "h.rank", "h.kind", "h.least", F.posexplode("h.steps").alias("no", "s"))
+    end = F.sum(F.col("s.p") + F.col("s.m")).over(W.partitionBy("scan", "digest", "rule").orderBy("no").rowsBetween(W.unboundedPreceding, W.currentRow))
+    h = h.withColumn("end", end)
+    span = F.struct((F.col("end") - F.col("s.m")).cast("int").alias("start"), "rank", "kind", F.col("end").cast("int").alias("end"))
+    spans = F.array_sort(F.collect_list(F.when(F.col("s.g") >= F.col("least"), span))).cast(SPAN)
+    return h.groupBy("scan", "digest", "rule").agg(spans.alias("spans")).drop("scan")
+
+
+def _gaps(found: DataFrame) -> DataFrame:
+    """(digest, gaps, last) of (digest, spans): what lies before each span or run of overlapping ones, as (a, b), and where the last ends."""
+    s = found.select("digest", F.posexplode("spans").alias("no", "s"))
+    before = F.max("s.end").over(W.partitionBy("digest").orderBy("no").rowsBetween(W.unboundedPreceding, -1))
+    s = s.withColumn("a", F.coalesce(before, F.lit(0)))
+    gap = F.when(F.col("s.start") >= F.col("a"), F.struct("a", F.col("s.start").alias("b")))
+    return s.groupBy("digest").agg(F.array_sort(F.collect_list(gap)).alias("gaps"), F.max("s.end").alias("last"))
+
+
+def _between(blocks: Column, a: Column, b: Column) -> Column:
+    """The code points from a to before b of a text that lies in blocks."""
+    i, j = F.floor(a / BLOCK).cast("int"), F.floor((b - 1) / BLOCK).cast("int")
+    first = F.substring(F.get(blocks, i), a - i * BLOCK + 1, F.least(b - a, F.lit(BLOCK)))
+    rest = F.concat(F.array_join(F.slice(blocks, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substring(F.get(blocks, j), F.lit(1), b - j * BLOCK))
+    return F.when(b <= a, "").when(i == j, first).otherwise(F.concat(first, rest))
+
+
 def _ledger(spark, at: str) -> DataFrame:
     schema = f"digest string, rule string, spans {SPAN}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(at)
@@ -150,19 +181,16 @@ def redacted(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = ALL_
     """
     d, t, names = own_names(docs, text)
     found = scan(d.select(t, F.xxhash64(text_of(t)).alias("path")), "path", t, rules, ledger, max_broadcast_rows)
-    hits = found.where(F.size("spans") > 0).groupBy("digest").agg(F.first("spans").alias("_spans"))
-    hits = written(hits.select(F.col("digest").alias("_digest"), "_spans"), "secrets-hits")
+    hits = found.where(F.size("spans") > 0).groupBy("digest").agg(F.first("spans").alias("spans"))
+    hits = written(_gaps(hits).select(F.col("digest").alias("_digest"), F.col("gaps").alias("_spans"), F.col("last").alias("_last")), "secrets-hits")
     if hits.count() <= max_broadcast_rows:
         hits = F.broadcast(hits)
     joined = d.join(hits, F.sha2(F.encode(text_of(t), "UTF-8"), 256) == F.col("_digest"), "left")
     text, n_chars = t, dict(zip(docs.columns, names, strict=True)).get("n_chars")
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], piece).otherwise(acc["out"]).alias("out"))
-
-    new = F.aggregate("_spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(text))))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / BLOCK).cast("int")), lambda i: F.substring(F.col(text), i * BLOCK + 1, F.lit(BLOCK)))
+    joined = joined.withColumn("_blocks", F.when(F.col("_spans").isNotNull(), blocks))
+    pieces = F.transform("_spans", lambda g: _between(F.col("_blocks"), g["a"], g["b"]))
+    new = F.concat(F.array_join(pieces, mark), F.lit(mark), _between(F.col("_blocks"), F.col("_last"), F.length(text)))
     joined = joined.withColumn("_clean", F.when(F.col("_spans").isNull(), F.col(text)).otherwise(new))
     out = {c: F.col(c) for c in names}
     out[text] = F.col("_clean")
