@@ -2,9 +2,9 @@
 
 Events become lines: runs of text between block-level tags, with the number of tags in them. Lines in menus, headers,
 footers, sidebars, notices, adverts, forms and comments are left out by rule. The text-to-tag ratios of the others,
-smoothed by a Gaussian, are split by a threshold into content and the rest, and the content region is the deepest element
-that holds all of the content. All lines of the region count, short ones too; where articles hold most of the content,
-those of the articles.
+smoothed by a Gaussian, fall into two clusters, content and the rest, and the content region is the deepest element that
+holds most of the content, or the article or main element around it. All lines of the region count, short ones too, but not
+those of sections that are mostly something else.
 """
 
 from __future__ import annotations
@@ -40,8 +40,10 @@ HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A start tag of these ends an open paragraph; of the pairs below, an open element of the same kind.
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 CONTAINERS = frozenset("article body div html main section table td ul ol dl form nav aside header footer".split())
-#: Width of the Gaussian in lines, and the share of the standard deviation that makes the threshold.
-SIGMA, SHARE = 1.0, 1.0
+SECTIONS = frozenset("article aside body div html main section table td".split())
+#: Width of the Gaussian in lines; how many times the ratios of content are those of the rest at least, otherwise all is
+#: content; and the share of the content's text that the region holds.
+SIGMA, APART, SHARE = 1.0, 2.0, 0.75
 
 
 @lru_cache(10_000)
@@ -192,33 +194,84 @@ def main_text(page: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    ratio = smoothed([len(text) / tags for text, tags, _ in lines])
-    mean = sum(ratio) / len(ratio)
-    threshold = SHARE * math.sqrt(sum((r - mean) ** 2 for r in ratio) / len(ratio))
-    content = [i for i, r in enumerate(ratio) if r >= threshold] or list(range(len(lines)))
-    chosen = _region(parser, lines, content)
+    chosen = _region(parser, lines, content_of(smoothed([len(text) / tags for text, tags, _ in lines])))
     return "\n".join(text for text, _, e in lines if chosen[e])
 
 
-def _region(parser: _Lines, lines: list, content: list[int]) -> list[bool]:
-    """Of each element whether its own lines are main text. Elements are numbered from the outside in."""
-    n = len(parser.tag)
-    own = [0] * n  # lines of content in each element
-    for i in content:
-        own[lines[i][2]] += 1
-    for e in range(n - 1, 0, -1):
-        own[parser.parent[e]] += own[e]
-    region = max(e for e in range(n) if own[e] == own[0])  # the deepest one with all of the content
-    article = [False] * n
+def content_of(ratios: list[float]) -> list[bool]:
+    """Of each line whether its ratio is of the higher cluster.
+
+    Of all ways to cut the ratios in two, on a scale of logarithms, that with the least variance inside the clusters; the
+    threshold lies half way between their means. Where these are not APART there is one cluster, and all is content.
+    """
+    scale = [math.log1p(r) for r in ratios]
+    line = sorted(scale)
+    total, n, low = sum(line), len(line), 0.0
+    best, threshold = -1.0, -math.inf
+    for k in range(1, n):
+        low += line[k - 1]
+        below, above = low / k, (total - low) / (n - k)
+        between = k * (n - k) * (above - below) ** 2
+        if line[k] > line[k - 1] and between > best:
+            best = between
+            threshold = (below + above) / 2 if math.expm1(above) >= APART * math.expm1(below) else -math.inf
+    return [x >= threshold for x in scale]
+
+
+def _region(parser: _Lines, lines: list, content: list[bool]) -> list[bool]:
+    """Of each element whether its own lines are main text. Elements are numbered from the outside in.
+
+    The region is the deepest element with most of the content. An article around it counts, with the articles beside it
+    that are content too, or else its main element; otherwise the region grows to a section, and outward while only
+    headings and content of no other section stand beside it. Sections in it that are mostly not content are left out;
+    of an article or main element nothing is.
+    """
+    n, parent, tag = len(parser.tag), parser.parent, parser.tag
+    home = [0] * n  # the section that an element lies in, itself included
     for e in range(1, n):
-        article[e] = article[parser.parent[e]] or parser.tag[e] == "article"
-    in_articles = sum(len(lines[i][0]) for i in content if article[lines[i][2]])
-    if 2 * in_articles >= sum(len(lines[i][0]) for i in content):
-        return article
-    inside = [False] * n
+        home[e] = e if tag[e] in SECTIONS else home[parent[e]]
+    # of each element and all inside: code points, those of content, lines, lines in headings; and its own loose content
+    size, own, count, heads, loose = ([0] * n for _ in range(5))
+    for (text, _, e), c in zip(lines, content, strict=True):
+        heading = tag[e] in HEADING
+        size[e] += len(text)
+        own[e] += c * len(text)
+        count[e] += 1
+        heads[e] += heading
+        loose[home[e]] += c and not heading
+    for e in range(n - 1, 0, -1):
+        for sums in (size, own, count, heads):
+            sums[parent[e]] += sums[e]
+    mostly = [2 * own[e] >= size[e] > 0 for e in range(n)]
+    region = max(e for e in range(n) if own[e] >= SHARE * own[0])
+
+    def around(kind: str) -> int:
+        e = region
+        while e and tag[e] != kind:
+            e = parent[e]
+        return e
+
+    article, main = around("article"), around("main")
+    if article:
+        roots = {e for e in range(1, n) if tag[e] == "article" and parent[e] == parent[article] and mostly[e]} | {article}
+    elif main:
+        roots = {main}
+    else:
+        region = home[region]
+        while region:
+            outer = home[parent[region]]
+            beside = count[outer] - count[region] - (heads[outer] - heads[region]) - loose[outer]
+            if beside > 0:
+                break
+            region = outer
+        roots = {region}
+    chosen = [False] * n
     for e in range(n):
-        inside[e] = e == region or e > 0 and inside[parser.parent[e]]
-    return inside
+        if e in roots:
+            chosen[e] = True
+        elif e and chosen[parent[e]]:
+            chosen[e] = bool(article or main) or mostly[e] or tag[e] not in SECTIONS or not size[e]
+    return chosen
 
 
 def extract(pages: DataFrame) -> DataFrame:

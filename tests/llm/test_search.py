@@ -210,6 +210,40 @@ def test_deep_pages_are_linear(piece):
     assert times[1] < 30 * times[0] + 0.5
 
 
+LONG = "word " * 60
+INDEX = "".join(f"<li><a href=x><b>Link</b> number {i}</a></li>" for i in range(80))
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    # no article: the deepest element with the content, and the headings before it
+    (f"<div><p>Home</p><p>Two</p><p>Three</p></div><div id=content><h1>Title</h1><div class=text><p>{LONG}</p><p>short</p><p>{LONG}</p></div></div>", ["Title", LONG, "short", LONG]),
+    # articles that only tease, and the text beside them
+    (f"<div class=list><article><h2>T1</h2><p>tease one</p></article><article><h2>T2</h2><p>tease two</p></article></div><div class=text><p>{LONG}</p><p>{LONG}</p><p>end.</p></div>", [LONG, LONG, "end."]),
+    (f"<article><h2>Teaser</h2><p>a few words</p></article><div><h1>Big</h1><p>{LONG}</p><p>{LONG}</p></div>", ["Big", LONG, LONG]),
+    # an index with more text than the text itself, in many tags
+    (f"<div id=index><ul>{INDEX}</ul></div><div><h2>Big</h2><p>{LONG}</p><p>a line of middling length</p><p>{LONG}</p></div>", ["Big", LONG, "a line of middling length", LONG]),
+    # several articles hold the content; a section without any is left out
+    (f"<div><article><h2>A</h2><p>{LONG}</p></article><section><ul>{INDEX[:420]}</ul></section><article><h2>B</h2><p>{LONG}</p></article></div>", ["A", LONG, "B", LONG]),
+    # all alike
+    ("<p>one</p><p>two</p>", ["one", "two"]),
+])
+def test_ratios_choose_the_region(page, want):
+    assert html.main_text(f"<html><body>{page}</body></html>").split("\n") == [w.strip() for w in want]
+
+
+def test_without_the_threshold_another_region_comes_out(monkeypatch):
+    page = f"<body><div id=index><ul>{INDEX}</ul></div><div><p>{LONG}</p><p>{LONG}</p></div></body>"
+    assert len(html.main_text(page).split("\n")) == 2
+    monkeypatch.setattr(html, "content_of", lambda ratios: [True] * len(ratios))
+    assert len(html.main_text(page).split("\n")) == 82
+
+
+def test_two_clusters():
+    assert html.content_of([5, 6, 7, 300, 400]) == [False, False, False, True, True]
+    assert html.content_of([50, 60, 70, 80]) == [True] * 4  # not apart
+    assert html.content_of([9]) == [True] and html.content_of([9, 9, 9]) == [True] * 3
+
+
 def test_extraction_equals_a_cut_by_tags(spark, small):
     """On the pages of the tables, whose menus, adverts and footers are known, the text is the article, cut by patterns."""
     import html as entities
