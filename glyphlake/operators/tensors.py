@@ -134,6 +134,21 @@ def noise(n: int, key: Column, seed: int = 0) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.sqrt(-2 * F.log(unit(i, 0))) * F.cos(2 * 3.141592653589793 * unit(i, 1)))
 
 
+def truncation_losses(vectors: DataFrame, settings: DataFrame, vector: str = "mu") -> DataFrame:
+    """settings (hidden) with `loss`: the mean squared length of what a vector loses when only its first `hidden` numbers are kept.
+
+    One pass over the vectors for all settings: squares are summed by place, and each setting takes the places behind it.
+    Vectors without numbers lose nothing; settings that repeat all stay.
+    """
+    parts = vectors.select(F.posexplode_outer(vector).alias("pos", "v"))
+    sums = parts.groupBy("pos").agg(F.sum(F.col("v").cast("double") * F.col("v").cast("double")).alias("s"))  # a row for each place
+    places = sums.where("pos IS NOT NULL").agg(F.collect_list(F.struct("pos", "s")).alias("_p")).join(F.broadcast(vectors.agg(F.count(F.lit(1)).alias("_n"))))
+    d = settings.join(F.broadcast(places))  # one row
+    behind = F.filter("_p", lambda p: p["pos"] >= F.col("hidden"))
+    loss = F.aggregate(behind, F.lit(0.0), lambda a, p: a + p["s"]) / F.col("_n")
+    return d.withColumn("loss", loss).drop("_p", "_n")
+
+
 def grid_position(i: Column, n: Column) -> Column:
     """Row and column of image i of n in a grid of ceil(sqrt(n)) columns."""
     w = F.ceil(F.sqrt(n)).cast("int")

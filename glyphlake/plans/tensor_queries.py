@@ -176,3 +176,13 @@ def multi_channel_loss(spark, sf_dir):
     losses = [t.categorical_cross_entropy(F.slice("e", 16 * ch + 1, 10), (F.col("label") + ch) % 10) for ch in range(4)]
     row = e.select(sum(losses[1:], losses[0]).alias("rebuilt"), t.kl_divergence(F.slice("e", 1, 32), F.slice("e", 33, 32)).alias("kld"))
     return t.batch_loss(row, channels=4).withColumn("loss", F.round("loss", 5))
+
+
+@query("hidden_sweep", """
+WITH v AS (SELECT unnest(range(0, len(embedding))) AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings), s AS (SELECT pos, sum(v * v) AS s FROM v GROUP BY pos),
+h AS (SELECT unnest(range(1, 65)) AS hidden)
+SELECT hidden, round(coalesce((SELECT sum(s) FROM s WHERE pos >= hidden), 0) / (SELECT count(*) FROM embeddings), 6) AS loss FROM h""")
+def hidden_sweep(spark, sf_dir):
+    """The loss at each number of hidden values, all of them in one pass."""
+    found = t.truncation_losses(table(spark, sf_dir, "embeddings"), spark.range(1, 65).withColumnRenamed("id", "hidden"), "embedding")
+    return found.select("hidden", F.round("loss", 6).alias("loss"))

@@ -206,3 +206,17 @@ def test_reports(spark, tmp_path):
     reports.to_csv(h, str(tmp_path / "h"))
     assert spark.read.option("header", True).csv(str(tmp_path / "h")).count() == 2
     assert reports.to_json_map(spark.createDataFrame([("b", "2"), ("a", "1")], "k string, v string"), "k", "v").first().json == '{"a":"1","b":"2"}'
+
+
+def test_truncation_losses(spark):
+    v = spark.createDataFrame([([1.0, 2.0, 3.0],), ([0.0, 0.0, 1.0],), (None,), ([],)], "mu array<double>")
+    settings = spark.createDataFrame([(0,), (1,), (2,), (2,), (3,), (9,)], "hidden int")
+    got = sorted((r.hidden, r.loss) for r in tensors.truncation_losses(v, settings).collect())
+    assert got == [(0, 15 / 4), (1, 14 / 4), (2, 10 / 4), (2, 10 / 4), (3, 0.0), (9, 0.0)]
+
+
+def test_best_sizes_of_large_cells(spark):
+    """The best point may be larger than the dpi that is wanted."""
+    d = spark.createDataFrame([(2000, 0), (128, 8), (64, 4), (32, 2), (16, 1), (4, 2)], "dim int, padding int")
+    got = {(r.dim, r.padding): (r.point, r.dpi) for r in geometry.best_point_dpi(d).collect()}
+    assert got == {(2000, 0): (480, 300), (128, 8): (28, 288), (64, 4): (14, 288), (32, 2): (7, 288), (16, 1): (3, 336)}
