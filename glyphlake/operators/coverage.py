@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from glyphlake.session import checkpointed
+
 #: Parts of a pixel in which pieces are counted, so that sums are whole numbers and do not depend on their order.
 UNIT = 1 << 24
 
@@ -169,6 +171,7 @@ def glyphs(outlines: DataFrame, sizes: list[tuple[int, int]], steps: int = 8) ->
     shapes = shapes.withColumn("_left", F.coalesce(F.floor(end(F.array_min, "x")), F.lit(0))).withColumn("_top", F.coalesce(F.floor(end(F.array_min, "y")), F.lit(0)))
     shapes = shapes.withColumn("width", F.coalesce(F.ceil(end(F.array_max, "x")) - c("_left"), F.lit(0)).cast("int"))
     shapes = shapes.withColumn("rows", F.coalesce(F.ceil(end(F.array_max, "y")) - c("_top"), F.lit(0)).cast("int"))
+    shapes = checkpointed(shapes.drop("_p"))  # read for the edges, the sizes and the places
     keys = [*which, "width", "rows"]
     flat = shapes.select(*keys, "_left", "_top", F.transform("_c", lambda line: flattened(line, steps)).alias("_f"))
     edges = flat.select(*keys, "_left", "_top", F.explode(F.flatten(F.transform("_f", closed_edges))).alias("e"))

@@ -52,7 +52,7 @@ def zip_ranges(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name").repartition(3, "p_partkey")
     parts.mapInArrow(_archive(at), "n bigint").agg(F.sum("n")).collect()
     spark.dataSource.register(zipsource.ZipMembers)
-    found = spark.read.format("zip_members").option("split_bytes", 1 << 14).load(at)
+    found = spark.read.format("zip_members").option("split_bytes", 1 << 16).load(at)
     return found.select("member", F.col("content").cast("string").alias("text"), "size", F.col("error").isNotNull().alias("failed"))
 
 

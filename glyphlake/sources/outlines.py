@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 
 from glyphlake.functions.fonttables import HEAD, RECORD, face_places
 from glyphlake.operators import coverage
+from glyphlake.session import checkpointed
 
 POINT = "struct<x:double,y:double,on:boolean>"
 OUTLINE = f"font_id string, face int, row int, idx int, ch string, units int, advance int, contours array<array<{POINT}>>, load_failed boolean, font_not_loaded boolean, error string"
@@ -215,7 +216,7 @@ def _rows(font_id: str, data: bytes, lines: list[str], every_face: bool) -> Iter
 
 def rendered_sizes(files: DataFrame, lines: list[str], sizes: list[tuple[int, int]]) -> DataFrame:
     """What raster.rendered_sizes() gives, without a library: outlines of the first face, rasterised by built-in functions."""
-    return coverage.glyphs(outlines(files, lines), sizes)
+    return coverage.glyphs(checkpointed(outlines(files, lines)), sizes)  # fonts are parsed once
 
 
 def outlines(files: DataFrame, lines: list[str], every_face: bool = False) -> DataFrame:
