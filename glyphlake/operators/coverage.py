@@ -129,7 +129,8 @@ def pixels(found: DataFrame) -> DataFrame:
 def scan_lines(found: DataFrame, keys: list[str], width: int | str, pictures: DataFrame, height: int | str) -> DataFrame:
     """(keys, row, line) for every row of every picture (keys): the grey bytes of runs that do not overlap.
 
-    A task assembles one line at a time, never a picture.
+    A task assembles one line at a time, never a picture. Lines are far larger than Spark takes them for, so they meet by
+    a shuffle; a broadcast would hold all of them in the driver.
     """
     hexed = lambda v: F.lpad(F.hex(v), 2, "0")
     m = F.array_sort(F.collect_list(F.struct("x", "length", "value")))
@@ -142,14 +143,14 @@ def scan_lines(found: DataFrame, keys: list[str], width: int | str, pictures: Da
     lines = lines.select(*keys, "row", F.array_join(F.transform("_m", piece), "").alias("_hex"))
     every = pictures.select(*keys).distinct().where(_of(height) > 0).withColumn("row", F.explode(F.sequence(F.lit(0), _of(height) - 1)))
     text = F.rpad(F.coalesce("_hex", F.lit("")), 2 * _of(width), F.lit("0"))
-    return every.join(lines, [*keys, "row"], "left").select(*keys, "row", F.unhex(text).alias("line"))
+    return every.join(lines.hint("merge"), [*keys, "row"], "left").select(*keys, "row", F.unhex(text).alias("line"))
 
 
 def bitmaps(found: DataFrame, keys: list[str], width: str, pictures: DataFrame, height: str) -> DataFrame:
     """(keys, bitmap) for every picture: its lines one after the other; for pictures as small as glyphs are."""
     lines = scan_lines(found, keys, width, pictures, height).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("row", F.hex("line").alias("h")))).alias("_l"))
     whole = lines.select(*keys, F.unhex(F.array_join(F.transform("_l", lambda l: l["h"]), "")).alias("bitmap"))
-    return pictures.select(*keys).distinct().join(whole, keys, "left").withColumn("bitmap", F.coalesce("bitmap", F.unhex(F.lit(""))))
+    return pictures.select(*keys).distinct().join(whole.hint("merge"), keys, "left").withColumn("bitmap", F.coalesce("bitmap", F.unhex(F.lit(""))))
 
 
 def glyphs(outlines: DataFrame, sizes: list[tuple[int, int]], steps: int = 8) -> DataFrame:
@@ -177,9 +178,10 @@ def glyphs(outlines: DataFrame, sizes: list[tuple[int, int]], steps: int = 8) ->
     edges = flat.select(*keys, "_left", "_top", F.explode(F.flatten(F.transform("_f", closed_edges))).alias("e"))
     edges = edges.select(*keys, *((c(f"e.{n}") - c("_left" if n[0] == "x" else "_top")).alias(n) for n in ("x0", "y0", "x1", "y1")))
     drawn = bitmaps(runs(edges, keys, "width", "rows"), keys, "width", shapes, "rows")
-    drawn = drawn.join(shapes.select(*which, c("_left").cast("int").alias("bitmap_left"), (-c("_top")).cast("int").alias("bitmap_top")), which)
+    places = shapes.select(*which, c("_left").cast("int").alias("bitmap_left"), (-c("_top")).cast("int").alias("bitmap_top"))
+    drawn = drawn.join(places.hint("merge"), which)
     advance = (F.floor(c("advance") * c("_scale") + 0.5) * 64).cast("int")
     rows = o.select("font_id", "face", "row", "idx", "ch", advance.alias("adv_x"), F.when(c("advance").isNotNull(), 0).alias("adv_y"), "load_failed", "font_not_loaded", "point", "dpi")
-    return rows.join(drawn, which, "left").select(
+    return rows.join(drawn.hint("merge"), which, "left").select(
         "font_id", "face", "row", "idx", "ch", "rows", "width", "bitmap_left", "bitmap_top", "adv_x", "adv_y", "bitmap", "load_failed", "font_not_loaded", "point", "dpi",
     )

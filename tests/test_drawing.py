@@ -152,3 +152,22 @@ def test_outlines_and_crops(spark):
 @pytest.mark.parametrize("name", QUERIES_WITHOUT_PYTHON)
 def test_no_python_workers(spark, small, name):
     assert not re.search("Python|Pandas|Arrow", QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString())
+
+
+def test_lines_of_pictures_are_never_broadcast(spark):
+    # by its guess of their size, Spark collected the lines of all pictures in the driver
+    square = [(3, x0, y0, x1, y1) for x0, y0, x1, y1 in ((1.0, 1.0, 1.0, 3.0), (1.0, 3.0, 3.0, 3.0), (3.0, 3.0, 3.0, 1.0), (3.0, 1.0, 1.0, 1.0))]
+    pictures = spark.createDataFrame([(3, 4, 4), (5, 2, 1)], "id bigint, w int, h int")
+    edges = spark.createDataFrame(square, EDGE).join(F.broadcast(pictures), "id")
+    keys = ["id", "w", "h"]
+    found = coverage.bitmaps(coverage.runs(edges, keys, "w", "h"), keys, "w", pictures, "h")
+    got = {r.id: bytes(r.bitmap) for r in found.collect()}
+    assert got == {3: bytes(5) + b"\xff\xff\0\0\xff\xff" + bytes(5), 5: bytes(2)}
+    outlines = spark.createDataFrame(
+        [("f", 0, 0, 0, "A", 64, 10, [[(0.0, 0.0, True), (0.0, 64.0, True), (64.0, 64.0, True)]], False, False, None)],
+        "font_id string, face int, row int, idx int, ch string, units int, advance int, contours array<array<struct<x: double, y: double, on: boolean>>>, load_failed boolean, font_not_loaded boolean, error string",
+    )
+    for df in (found.drop("w", "h"), coverage.glyphs(outlines, [(16, 72)])):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        joins = [line for line in plan.splitlines() if " Join " in f" {line} " and "strategy=broadcast" not in line]
+        assert joins and all("strategy=merge" in line for line in joins), plan
