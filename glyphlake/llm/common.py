@@ -41,6 +41,16 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def merged(df: DataFrame, tag: str | None = None) -> DataFrame:
+    """df as a side of a join that is merged after a shuffle, at any size; with a tag it is written first.
+
+    Spark guesses a table's size from its files, which repeated ids and exploded arrays make far too small, and collects
+    in the driver what it takes for a small side. A side that is written, not aggregated in the same job, leaves Spark free
+    to split the other one where a key has many rows.
+    """
+    return (df if tag is None else written(df, tag)).hint("merge")
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> Iterator[None]:
     """Jobs started inside send rows to Python in batches of about `most` bytes; all rows are sent, and the setting is put back.

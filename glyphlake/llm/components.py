@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphlake.llm.common import written
+from glyphlake.llm.common import merged, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,10 +22,10 @@ def components(edges: DataFrame) -> DataFrame:
     while seen[0]:
         both = e.union(e.select("v", "u")).toDF("u", "v")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
-        large = both.join(low, F.col("u") == F.col("n")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.join(merged(low, "cc-low"), F.col("u") == F.col("n")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = written(large.where("u <> v").distinct(), "cc")
-        low = e.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), "m")
-        small = e.join(low, F.col("u") == F.col("n")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = written(e.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), "m"), "cc-low")
+        small = e.join(merged(low), F.col("u") == F.col("n")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = written(small.union(low.select(F.col("n").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct(), "cc")
         was, seen = seen, _state(e)
         if was == seen:

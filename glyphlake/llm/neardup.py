@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from glyphlake.llm.common import own_names, text_of, written
+from glyphlake.llm.common import merged, own_names, text_of, written
 from glyphlake.llm.components import components
 from glyphlake.llm.simhash import majority, ring_near, search, shingle_hashes
 
@@ -74,19 +74,19 @@ def _linked(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     g = written(nodes.groupBy("fp").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("n")), "neardup-fps")
     found, many = search(g.select("fp"), LINKED, bucket=BUCKET)
     of = lambda side: g.select(F.col("fp").alias(side), F.col("rep").alias(f"rep_{side}"), F.col("n").alias(f"n_{side}"))
-    found = written(found.join(of("u"), "u").join(of("v"), "v"), "neardup-ring")
-    copies = nodes.join(g.where("n > 1"), "fp").where("node <> rep").select(F.col("rep").alias("u"), F.col("node").alias("v"))
+    found = written(found.join(merged(of("u")), "u").join(merged(of("v")), "v"), "neardup-ring")
+    copies = nodes.join(merged(g.where("n > 1")), "fp").where("node <> rep").select(F.col("rep").alias("u"), F.col("node").alias("v"))
     pairs = found.select(F.least("rep_u", "rep_v").alias("u"), F.greatest("rep_u", "rep_v").alias("v")).union(copies)
     shared = found.where("n_u > 1 OR n_v > 1")
     hot = many.union(shared.select("u")).union(shared.select("v")).union(g.where("n > 1").select("fp")).distinct()
-    return pairs, nodes.join(hot, "fp").select("node")
+    return pairs, nodes.join(merged(hot, "neardup-hot"), "fp").select("node")
 
 
 def _candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs (u, v) of nodes that share a band and pass the filter, linear in the nodes; and the nodes in large buckets."""
     b = nodes.select("node", "fp", F.posexplode("keys").alias("band", "key"))
     n = b.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1")
-    b = written(b.join(n, ["band", "key"]), "neardup-buckets")
+    b = written(b.join(merged(n, "neardup-counts"), ["band", "key"]), "neardup-buckets")
     near = lambda x, y: ring_near(x.bitwiseXOR(y), DISTANCE, SEGMENTS)
     few = b.where(F.col("n") <= BUCKET).groupBy("band", "key").agg(F.collect_list(F.struct("node", "fp")).alias("m"))
     pairs = F.flatten(F.transform("m", lambda x: F.transform(
@@ -107,7 +107,7 @@ def _candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     rank = F.struct(F.xxhash64("node").alias("x"), F.col("node").alias("node"), F.col("fp").alias("fp"))
     parts = big.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(LEADERS)))
     leads = parts.groupBy("band", "key", "part").agg(F.min(rank).alias("lead")).select("band", "key", "lead")
-    led = big.join(leads, ["band", "key"]).where(F.col("node") != F.col("lead.node"))
+    led = big.join(merged(leads, "neardup-leads"), ["band", "key"]).where(F.col("node") != F.col("lead.node"))
     led = led.select(F.col("lead.node").alias("u"), F.col("node").alias("v"), F.col("lead.fp").alias("f"), F.col("fp").alias("g"))
     every = few.union(beside).union(led).where(near(F.col("f"), F.col("g")))
     return every.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), big.select("node").distinct()
@@ -115,9 +115,9 @@ def _candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _sets(wanted: DataFrame, docs: DataFrame, owners: DataFrame, width: int, key: str, text: str, max_broadcast_rows: int) -> DataFrame:
     """(node, h): the shingle hashes of wanted's nodes, sorted; owners: (node, k, th) names a row with the text."""
-    wanted = written(owners.join(wanted, "node").select("node", F.col("k").alias("ok"), F.col("th").alias("oth")), "neardup-involved")
+    wanted = written(owners.join(merged(wanted), "node").select("node", F.col("k").alias("ok"), F.col("th").alias("oth")), "neardup-involved")
     rows = docs.select(F.col(key).cast("bigint").alias("k"), F.xxhash64(text_of(text)).alias("th"), F.encode(text_of(text), "UTF-8").alias("t"))
-    wanted = F.broadcast(wanted) if wanted.count() <= max_broadcast_rows else wanted
+    wanted = F.broadcast(wanted) if wanted.count() <= max_broadcast_rows else merged(wanted)
     texts = rows.join(wanted, (F.col("th") == F.col("oth")) & F.col("k").eqNullSafe(F.col("ok"))).select("node", "t")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,16 +164,16 @@ def _across(rooted: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
             n, keys = zip(*made, strict=True) if made else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("root"), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["node", "root", "n", "keys"])
 
-    keyed = held.join(rooted.select("node", "root"), "node").select("node", "root", "h")
+    keyed = held.join(merged(rooted.select("node", "root")), "node").select("node", "root", "h")
     keyed = keyed.mapInArrow(prefixes, "node binary, root binary, n int, keys array<bigint>")
     keyed = written(keyed.select("node", "root", "n", F.posexplode("keys").alias("pos", "key")), "neardup-prefixes")
     cross = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("a"), F.max("root").alias("b")).where("a != b")
-    keyed = keyed.join(cross.select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "key")
+    keyed = keyed.join(merged(cross.select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "neardup-cross"), "key")
     keyed = written(keyed, "neardup-keyed")
     need = lambda n, share: F.ceil(n * F.lit(share) - 1e-9)
     both = similarity / (1 + similarity)
     x = keyed.where(F.col("pos") <= F.col("n") - need(F.col("n"), 2 * both)).withColumn("block", F.pmod(F.hash("node"), "blocks")).alias("x")
-    y = keyed.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("y")
+    y = merged(keyed.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))).alias("y")
     shorter = F.struct("x.n", "x.node") < F.struct("y.n", "y.node")
     left = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     fits = (F.col("x.n") >= need(F.col("y.n"), similarity)) & (left >= need(F.col("x.n") + F.col("y.n"), both))
@@ -183,7 +183,8 @@ def _across(rooted: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
 
 def _verified(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
     """Pairs whose shingle sets, by node in held, have the Jaccard similarity."""
-    both = pairs.join(held.select(F.col("node").alias("u"), F.col("h").alias("hu")), "u").join(held.select(F.col("node").alias("v"), F.col("h").alias("hv")), "v")
+    of = lambda side: merged(held.select(F.col("node").alias(side), F.col("h").alias(f"h{side}")))
+    both = pairs.join(of("u"), "u").join(of("v"), "v")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,24 +229,24 @@ def near_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, key:
             break
         links = new if links is None else written(links.union(new), "neardup-links")
         comp = components(links)
-        rooted = written(nodes.join(comp, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "neardup-roots")
+        rooted = written(nodes.join(merged(comp), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "neardup-roots")
         large = written(large, "neardup-large")
         if crowded is None:  # large buckets of later rounds are parts of these
             crowded = written(large.union(hot).distinct(), "neardup-crowded-nodes")
         if large.limit(1).count() == 0:
             break
-        again = rooted.join(large, "node").select("root").distinct()
-        heads = rooted.join(again, "root").groupBy("root").agg(F.min(F.struct("least", "node")).alias("h")).select("h.node")
-        looked = written(nodes.join(heads, "node"), "neardup-heads")
+        again = rooted.join(merged(large), "node").select("root").distinct()
+        heads = rooted.join(merged(again, "neardup-again"), "root").groupBy("root").agg(F.min(F.struct("least", "node")).alias("h")).select("h.node")
+        looked = written(nodes.join(merged(heads), "node"), "neardup-heads")
     if crowded.limit(1).count():
         held = written(_sets(crowded, *owned), "neardup-crowded")
         new = written(_verified(written(_across(rooted, held, similarity), "neardup-pairs"), held, similarity), "neardup-links")
         if new.limit(1).count():
             comp = components(written(links.union(new), "neardup-links"))
-            rooted = written(nodes.join(comp, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "neardup-roots")
+            rooted = written(nodes.join(merged(comp), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "neardup-roots")
     keeper = rooted.groupBy("root").agg(F.min("least").alias("keep"))
-    rooted = written(rooted.join(keeper, "root").select("node", "keep"), "neardup-keepers")
-    return made.select("k", "th", "node").join(rooted, "node").select("k", "th", F.col("keep.k").alias("keep_k"), F.col("keep.th").alias("keep_th"))
+    rooted = written(rooted.join(merged(keeper, "neardup-kept"), "root").select("node", "keep"), "neardup-keepers")
+    return made.select("k", "th", "node").join(merged(rooted), "node").select("k", "th", F.col("keep.k").alias("keep_k"), F.col("keep.th").alias("keep_th"))
 
 
 def deduplicated(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text", max_broadcast_rows: int = 500_000) -> DataFrame:
@@ -258,7 +259,7 @@ def deduplicated(docs: DataFrame, width: int = 5, similarity: float = 0.8, key:
     stays = F.col("k").eqNullSafe(F.col("keep_k")) & (F.col("th") == F.col("keep_th"))
     gone = written(c.where(~stays).select("k", "th").distinct(), "neardup-gone")
     repeated = c.where(stays).groupBy("k", "th").count().where("count > 1").limit(1).count()
-    gone = F.broadcast(gone) if gone.count() <= max_broadcast_rows else gone
+    gone = F.broadcast(gone) if gone.count() <= max_broadcast_rows else merged(gone)
     d = d.withColumn("text_hash", F.xxhash64(text_of(text)))
     d = d.join(gone, (F.col("text_hash") == F.col("th")) & F.col(key).cast("bigint").eqNullSafe(F.col("k")), "left_anti")
     if repeated:

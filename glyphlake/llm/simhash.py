@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphlake.llm.common import text_of, written
+from glyphlake.llm.common import merged, text_of, written
 from glyphlake.llm.components import components
 
 BITS = 64
@@ -107,7 +107,7 @@ def search(fps: DataFrame, distance: int = 2, segments: int = 8, bucket: int = 4
     keys = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks))))
     b = fps.select("fp").distinct().select("fp", keys.alias("k")).select("fp", "k.i", "k.key")
     n = b.groupBy("i", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    b = written(b.join(n, ["i", "key"]), "simhash-buckets")
+    b = written(b.join(merged(n, "simhash-counts"), ["i", "key"]), "simhash-buckets")
     # pairs of small buckets, in arrays: chains first, then the whole distance
     def near(x: Column, y: Column) -> Column:
         return ring_near(x.bitwiseXOR(y), distance, segments)
@@ -119,7 +119,7 @@ def search(fps: DataFrame, distance: int = 2, segments: int = 8, bucket: int = 4
     many = b.where(F.col("n") > bucket).select("fp").distinct()
     met = many.select("fp", F.explode(F.transform(flips, lambda f: F.col("fp").bitwiseXOR(f))).alias("at"))
     hubs = met.groupBy("at").agg(F.min("fp").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("at", "hub")
-    stars = met.join(hubs, "at").where("fp <> hub").select(F.col("hub").alias("u"), F.col("fp").alias("v")).distinct()
+    stars = met.join(merged(hubs, "simhash-hubs"), "at").where("fp <> hub").select(F.col("hub").alias("u"), F.col("fp").alias("v")).distinct()
     return few.union(stars), many
 
 
@@ -142,11 +142,11 @@ def classes(fps: DataFrame, key: str = "doc_id", distance: int = 2) -> DataFrame
     """
     nodes = written(fps.groupBy("fp").agg(F.min(key).alias("least")), "simhash-nodes")
     comp = components(links(nodes, distance))
-    nodes = nodes.join(comp, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("f"), "least", F.coalesce("root", "fp").alias("root"))
+    nodes = nodes.join(merged(comp), F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("f"), "least", F.coalesce("root", "fp").alias("root"))
     nodes = written(nodes, "simhash-roots")
     ids = nodes.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
-    nodes = nodes.join(ids, F.col("root") == F.col("r")).select("f", "component_id")
-    return fps.join(nodes, F.col("fp") == F.col("f"), "left").drop("f")
+    nodes = nodes.join(merged(ids, "simhash-ids"), F.col("root") == F.col("r")).select("f", "component_id")
+    return fps.join(merged(nodes, "simhash-components"), F.col("fp") == F.col("f"), "left").drop("f")
 
 
 def near_duplicate_classes(docs: DataFrame, width: int = 3, distance: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:

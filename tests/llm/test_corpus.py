@@ -428,3 +428,30 @@ def test_empty_ledger_needs_no_python_workers(spark, tmp_path):
     none = secrets._ledger(spark, f"file://{tmp_path}/none")
     assert none.count() == 0 and none.dtypes == [("digest", "string"), ("rule", "string"), ("spans", secrets.SPAN)]
     assert "ExistingRDD" not in none._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_side_is_broadcast_by_a_guess_of_its_size(spark, monkeypatch):
+    # Spark took a side of 203 MB for less than 10 MB and collected it in the driver
+    import random
+
+    from glyphlake.llm import common, components, neardup, simhash
+
+    plans, real = [], common.written
+
+    def seen(df, tag):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df, tag)
+
+    for module in (common, components, neardup, simhash):
+        monkeypatch.setattr(module, "written", seen)
+    r = random.Random(5)
+    base = [f"w{r.randrange(10**6)}" for _ in range(80)]
+    near = [" ".join([*base, f"end{k}"]) for k in range(40)]  # a bucket of more than BUCKET texts
+    rows = [(k, t) for k, t in enumerate([*near, near[0], *(" ".join(f"x{r.randrange(10**6)}" for _ in range(40)) for _ in range(8))])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = neardup.near_classes(docs, max_broadcast_rows=0)
+    plans.append(found._jdf.queryExecution().optimizedPlan().toString())
+    joins = [line for p in plans for line in p.splitlines() if " Join " in f" {line.replace('+-', ' ').replace(':-', ' ')} "]
+    # a table that was counted may be broadcast: here only one without rows
+    assert len(joins) > 15 and [line for line in joins if "strategy=" not in line] == []
+    assert {(x.k, x.keep_k) for x in found.collect()} == {(k, 0 if k <= 40 else k) for k, _ in rows}
