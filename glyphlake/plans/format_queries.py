@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import itertools
 import struct
 import zipfile
 from collections.abc import Iterator
@@ -21,25 +22,35 @@ from glyphlake.session import new_folder, table
 from glyphlake.sources import images, outlines, zipsource
 
 
-def _archive(folder: str):
-    """A task's rows as one archive in the folder; of keys that end in 9 the member is damaged."""
+#: Members of an archive; a task's further rows go to its next one.
+MEMBERS = 20_000
+
+
+def _archive(folder: str, most: int = MEMBERS):
+    """A task's rows as archives of at most `most` members in the folder; of keys that end in 9 the member is damaged.
+
+    A task holds one archive and its directory at a time, so its memory does not grow with its rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, n, damaged = io.BytesIO(), 0, []
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            for batch in batches:
-                for key, name in zip(batch.column("p_partkey").to_pylist(), batch.column("p_name").to_pylist(), strict=True):
-                    z.writestr(f"parts/p{key}.txt", name)
-                    damaged += [z.infolist()[-1]] * (key % 10 == 9)
-                    n += 1
-        data = bytearray(out.getvalue())
-        for info in damaged:  # the first byte behind the header and the name
-            data[info.header_offset + 30 + len(info.filename)] ^= 0xFF
         system, at = zipsource.place(folder)
         system.create_dir(at)
-        with system.open_output_stream(f"{at}/a{TaskContext.get().partitionId()}.zip") as f:
-            f.write(bytes(data))
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+        rows = (row for batch in batches for row in zip(batch.column("p_partkey").to_pylist(), batch.column("p_name").to_pylist(), strict=True))
+        for number in itertools.count():
+            out, damaged = io.BytesIO(), []
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                for key, name in itertools.islice(rows, most):
+                    z.writestr(f"parts/p{key}.txt", name)
+                    damaged += [z.infolist()[-1]] * (key % 10 == 9)
+                n = len(z.infolist())
+            if number and not n:
+                return
+            with out.getbuffer() as data:
+                for info in damaged:  # the first byte behind the header and the name
+                    data[info.header_offset + 30 + len(info.filename)] ^= 0xFF
+                with system.open_output_stream(f"{at}/a{TaskContext.get().partitionId()}-{number}.zip") as f:
+                    f.write(data)
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
     return run
 
@@ -47,7 +58,7 @@ def _archive(folder: str):
 @query("zip_ranges", """
 SELECT 'parts/p' || p_partkey || '.txt' AS member, CASE WHEN p_partkey % 10 <> 9 THEN p_name END AS text, strlen(p_name)::BIGINT AS size, p_partkey % 10 = 9 AS failed FROM part""")
 def zip_ranges(spark, sf_dir):
-    """Parts in three archives, whose members several tasks each inflate by ranges."""
+    """Parts in three archives or, if these would be large, in more, whose members several tasks each inflate by ranges."""
     at = new_folder(spark, "zips")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name").repartition(3, "p_partkey")
     parts.mapInArrow(_archive(at), "n bigint").agg(F.sum("n")).collect()

@@ -199,3 +199,15 @@ def test_mosaics_against_a_grid(spark, n):
     for i in range(n):
         want[i // w * 3 : i // w * 3 + 3, i % w * 2 : i % w * 2 + 2] = tiles[i]
     assert sorted(got) == list(range(len(want))) and all(got[y] == want[y].tolist() for y in got)
+
+
+def test_a_task_holds_one_archive_of_a_bounded_number_of_members(spark, tmp_path):
+    from glyphlake.plans import format_queries
+
+    parts = spark.range(95).selectExpr("id AS p_partkey", "'part ' || id AS p_name").coalesce(1)
+    counts = [r.n for r in parts.mapInArrow(format_queries._archive(str(tmp_path), most=20), "n bigint").collect()]
+    assert sorted(counts) == [15, 20, 20, 20, 20]
+    spark.dataSource.register(zipsource.ZipMembers)
+    found = spark.read.format("zip_members").load(str(tmp_path)).collect()
+    assert {r.member: r.content and bytes(r.content).decode() for r in found} == {f"parts/p{k}.txt": None if k % 10 == 9 else f"part {k}" for k in range(95)}
+    assert len(found) == 95 and len({r.archive for r in found}) == 5
