@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of rows that go to a Python worker at a time; a longer row goes alone.
 BATCH_BYTES = 1 << 20
 _BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Folders of the tables written inside the innermost temporary().
+_inside: contextvars.ContextVar[dict[str, None] | None] = contextvars.ContextVar("glyphlake-tables", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,10 +39,44 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a table in the shared folder: lineage is cut there and lost executors do not lose it."""
-    path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df as a table in the shared folder: lineage is cut there and lost executors do not lose it.
+
+    The job's shuffle files go when the table is there; otherwise they stay until the driver happens to collect garbage,
+    and a job of many small tables holds those of hundreds of shuffles.
+    """
+    spark, path = df.sparkSession, new_path(df.sparkSession, tag)
+    if (tables := _inside.get()) is not None:
+        tables[path] = None
+    with _setting(spark, _CLEANUP, "true"):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables that written() makes inside are deleted at the end, but for those made by the function that this gives.
+
+    What is still to be read then has to be written by it: it takes the arguments of written(), and its table belongs to
+    the block around this one, if there is one. Shuffle files of the jobs inside, counts among them, go as each ends.
+    """
+    outer, tables = _inside.get(), {}
+    token = _inside.set(tables)
+
+    def kept(df: DataFrame, tag: str) -> DataFrame:
+        before = _inside.set(outer)
+        try:
+            return written(df, tag)
+        finally:
+            _inside.reset(before)
+
+    try:
+        with _setting(spark, _CLEANUP, "true"):
+            yield kept
+    finally:
+        _inside.reset(token)
+        for path in tables:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def merged(df: DataFrame, tag: str | None = None) -> DataFrame:
@@ -58,12 +96,18 @@ def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> Iterator[None
     By rows alone a batch of texts takes tens of megabytes, in the executor's JVM and in each of its workers, and neither
     gives them back.
     """
-    before = spark.conf.get(_BATCHES, None)
-    spark.conf.set(_BATCHES, str(most))
+    with _setting(spark, _BATCHES, str(most)):
+        yield
+
+
+@contextlib.contextmanager
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(_BATCHES) if before is None else spark.conf.set(_BATCHES, before)
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def text_of(c: str | Column) -> Column:

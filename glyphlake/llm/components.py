@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphlake.llm.common import merged, written
+from glyphlake.llm.common import merged, temporary, written
+
+#: Up to this number of edges the smallest neighbours, a row for each node at most, are broadcast; beyond it that join shuffles.
+FEW = 50_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,18 +19,22 @@ def components(edges: DataFrame) -> DataFrame:
     components. A round is an aggregation and a join on edges written to the shared folder; only a count and a checksum
     come to the driver.
     """
-    e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    e = written(e, "cc")
-    seen = _state(e)
+    spark = edges.sparkSession
+    with temporary(spark) as kept:
+        e = kept(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "cc")
+        seen = _state(e)
     while seen[0]:
-        both = e.union(e.select("v", "u")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
-        large = both.join(merged(low, "cc-low"), F.col("u") == F.col("n")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(large.where("u <> v").distinct(), "cc")
-        low = written(e.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), "m"), "cc-low")
-        small = e.join(merged(low), F.col("u") == F.col("n")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(small.union(low.select(F.col("n").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct(), "cc")
-        was, seen = seen, _state(e)
+        few = seen[0] <= FEW  # no step makes more edges
+        with temporary(spark) as kept:
+            both = e.union(e.select("v", "u")).toDF("u", "v")
+            low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
+            low = F.broadcast(low) if few else merged(low, "cc-low")
+            large = both.join(low, F.col("u") == F.col("n")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            e = written(large.where("u <> v").distinct(), "cc")
+            low = written(e.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), "m"), "cc-low")
+            small = e.join(F.broadcast(low) if few else merged(low), F.col("u") == F.col("n")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            e = kept(small.union(low.select(F.col("n").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct(), "cc")
+            was, seen = seen, _state(e)
         if was == seen:
             break
     roots = e.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")

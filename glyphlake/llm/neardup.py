@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from glyphlake.llm.common import merged, own_names, text_of, written
+from glyphlake.llm.common import merged, own_names, temporary, text_of, written
 from glyphlake.llm.components import components
 from glyphlake.llm.simhash import majority, ring_near, search, shingle_hashes
 
@@ -221,29 +221,33 @@ def near_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, key:
     looked, links, rooted, crowded = nodes, None, None, None
     owned = (docs, owners, width, key, text, max_broadcast_rows)
     while True:
-        pairs, large = _candidates(looked)
-        pairs = written(pairs if rooted is not None else pairs.union(ring).distinct(), "neardup-pairs")
-        involved = pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "node")
-        new = written(_verified(pairs, _sets(involved, *owned), similarity), "neardup-links")
-        if rooted is not None and new.limit(1).count() == 0:
-            break
-        links = new if links is None else written(links.union(new), "neardup-links")
-        comp = components(links)
-        rooted = written(nodes.join(merged(comp), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "neardup-roots")
-        large = written(large, "neardup-large")
-        if crowded is None:  # large buckets of later rounds are parts of these
-            crowded = written(large.union(hot).distinct(), "neardup-crowded-nodes")
-        if large.limit(1).count() == 0:
-            break
-        again = rooted.join(merged(large), "node").select("root").distinct()
-        heads = rooted.join(merged(again, "neardup-again"), "root").groupBy("root").agg(F.min(F.struct("least", "node")).alias("h")).select("h.node")
-        looked = written(nodes.join(merged(heads), "node"), "neardup-heads")
+        with temporary(docs.sparkSession) as kept:
+            pairs, large = _candidates(looked)
+            pairs = written(pairs if rooted is not None else pairs.union(ring).distinct(), "neardup-pairs")
+            involved = pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "node")
+            new = kept(_verified(pairs, _sets(involved, *owned), similarity), "neardup-links")
+            if rooted is not None and new.limit(1).count() == 0:
+                break
+            links = new if links is None else kept(links.union(new), "neardup-links")
+            comp = components(links)
+            rooted = kept(nodes.join(merged(comp), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "neardup-roots")
+            large = kept(large, "neardup-large")
+            if crowded is None:  # large buckets of later rounds are parts of these
+                crowded = kept(large.union(hot).distinct(), "neardup-crowded-nodes")
+            if large.limit(1).count() == 0:
+                break
+            again = rooted.join(merged(large), "node").select("root").distinct()
+            # heads of all classes first: summed up in the tasks, so that no class is one task's
+            heads = rooted.groupBy("root").agg(F.min(F.struct("least", "node")).alias("h"))
+            heads = heads.join(merged(again, "neardup-again"), "root").select("h.node")
+            looked = kept(nodes.join(merged(heads), "node"), "neardup-heads")
     if crowded.limit(1).count():
-        held = written(_sets(crowded, *owned), "neardup-crowded")
-        new = written(_verified(written(_across(rooted, held, similarity), "neardup-pairs"), held, similarity), "neardup-links")
-        if new.limit(1).count():
-            comp = components(written(links.union(new), "neardup-links"))
-            rooted = written(nodes.join(merged(comp), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "neardup-roots")
+        with temporary(docs.sparkSession) as kept:
+            held = written(_sets(crowded, *owned), "neardup-crowded")
+            new = kept(_verified(written(_across(rooted, held, similarity), "neardup-pairs"), held, similarity), "neardup-links")
+            if new.limit(1).count():
+                comp = components(written(links.union(new), "neardup-links"))
+                rooted = kept(nodes.join(merged(comp), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "neardup-roots")
     keeper = rooted.groupBy("root").agg(F.min("least").alias("keep"))
     rooted = written(rooted.join(merged(keeper, "neardup-kept"), "root").select("node", "keep"), "neardup-keepers")
     return made.select("k", "th", "node").join(merged(rooted), "node").select("k", "th", F.col("keep.k").alias("keep_k"), F.col("keep.th").alias("keep_th"))
@@ -255,11 +259,12 @@ def deduplicated(docs: DataFrame, width: int = 5, similarity: float = 0.8, key:
     Empty and null texts are one class. Of rows with equal key and text one stays; an empty table gives an empty result.
     """
     d, key, text, names = own_names(docs, key, text)
-    c = written(near_classes(d, width, similarity, key, text, max_broadcast_rows), "neardup-classes")
-    stays = F.col("k").eqNullSafe(F.col("keep_k")) & (F.col("th") == F.col("keep_th"))
-    gone = written(c.where(~stays).select("k", "th").distinct(), "neardup-gone")
-    repeated = c.where(stays).groupBy("k", "th").count().where("count > 1").limit(1).count()
-    gone = F.broadcast(gone) if gone.count() <= max_broadcast_rows else merged(gone)
+    with temporary(docs.sparkSession) as kept:
+        c = written(near_classes(d, width, similarity, key, text, max_broadcast_rows), "neardup-classes")
+        stays = F.col("k").eqNullSafe(F.col("keep_k")) & (F.col("th") == F.col("keep_th"))
+        gone = kept(c.where(~stays).select("k", "th").distinct(), "neardup-gone")
+        repeated = c.where(stays).groupBy("k", "th").count().where("count > 1").limit(1).count()
+        gone = F.broadcast(gone) if gone.count() <= max_broadcast_rows else merged(gone)
     d = d.withColumn("text_hash", F.xxhash64(text_of(text)))
     d = d.join(gone, (F.col("text_hash") == F.col("th")) & F.col(key).cast("bigint").eqNullSafe(F.col("k")), "left_anti")
     if repeated:
